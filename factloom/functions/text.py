@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Unicode white space, written out because \s is ASCII-only in Java and RE2.
-WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 CJK = r"\x{4e00}-\x{9fff}"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def squeeze(col: Column) -> Column:

@@ -203,33 +203,36 @@ def link_boilerplate(line: Column, lex: Lexicons = DEFAULT) -> Column:
     links = T.occurrences(line, "](")
     images = T.occurrences(line, "![")
     no_images = F.regexp_replace(line, r"!\[[^\]]*\]\([^)]+\)", "")
-    residue = F.regexp_replace(
-        F.regexp_replace(no_images, r"\[[^\]]*\]\([^)]+\)", ""), r"^[ \-*_>|:;，,。]+|[ \-*_>|:;，,。]+$", ""
-    )
+    around = F.btrim(F.regexp_replace(no_images, r"\[[^\]]*\]\([^)]+\)", ""), F.lit(" -*_>|:;，,。"))
     labels = F.array_join(F.regexp_extract_all(line, F.lit(r"\[([^\]]*)\]\([^)]+\)"), F.lit(1)), " ")
-    return ((links > 0) | (images > 0)) & (
-        ((residue == "") & (F.length(labels) <= 80))
-        | ((links >= 2) & (F.length(residue) <= 30))
-        | ((images > 0) & (F.length(residue) <= 20))
-        | (T.contains_any(labels, lex.boilerplate) & (F.length(residue) <= 30))
+    named = T.contains_any(labels, lex.boilerplate)
+    thin = T.let(
+        F.length(around),
+        lambda rest: ((rest == 0) & (F.length(labels) <= 80))
+        | ((links >= 2) & (rest <= 30))
+        | ((images > 0) & (rest <= 20))
+        | ((rest <= 30) & named),
     )
+    return (F.contains(line, F.lit("](")) | F.contains(line, F.lit("!["))) & thin
 
 
 def boilerplate_line(line: Column, lex: Lexicons = DEFAULT) -> Column:
     low = F.lower(line)
-    words = K.content_tokens(low)
-    nav = F.size(F.filter(words, lambda w: w.isin(*lex.nav_words)))
-    links = T.occurrences(low, "](") + T.occurrences(low, "http://") + T.occurrences(low, "https://")
     # fixed values: headers written by page readers
     headers = ("url source:", "published time:", "markdown content:", "warning: target url returned error")
+    nav = lambda words: F.size(F.filter(words, lambda w: w.isin(*lex.nav_words)))
+    few_words = T.let(
+        K.content_tokens(low),
+        lambda words: ((F.size(words) <= 8) & T.contains_any(low, lex.boilerplate))
+        | ((F.size(words) <= 12) & (nav(words) >= 3))
+        | ((F.size(words) <= 20) & (link_marks(low) >= 3)),
+    )
     return (
         (F.length(line) <= 2)
         | T.starts_any(low, headers)
         | link_boilerplate(line, lex)
-        | ((F.size(words) <= 8) & T.contains_any(low, lex.boilerplate))
-        | (T.contains_any(line, lex.boilerplate) & (F.length(line) <= 40))
-        | ((F.size(words) <= 12) & (nav >= 3))
-        | ((F.size(words) <= 20) & (links >= 3))
+        | few_words
+        | ((F.length(line) <= 40) & T.contains_any(line, lex.boilerplate))
         | F.rlike(line, F.lit(r"^[^\p{L}\p{N}]+$"))
     )
 
@@ -361,17 +364,19 @@ def clean_public_text(df: DataFrame, body: str, out: str, lex: Lexicons = DEFAUL
     staged = staged.withColumn(out, T.substitute(F.array_join(cut, "\n"), JOINED_ARTIFACTS))
     staged = strip_trailing_numbers(staged, out)
     # a last line of three or more short tags without punctuation
-    last = T.strip(F.regexp_extract(F.col(out), r"([^\n]*)$", 1))
+    staged = staged.withColumn("_last", F.substring_index(out, "\n", -1))
+    last = T.strip(F.col("_last"))
+    before = F.substring(F.col(out), F.lit(1), F.length(out) - F.length("_last") - 1)
     tags = (
         (F.length(last) < 120)
         & F.rlike(last, F.lit(r"^[^\s/]{2,20}([\s/]+[^\s/]{2,20}){2,}$"))
         & ~F.rlike(last, F.lit(r"[。！？.!?，,：:]"))
     )
     staged = staged.withColumn(
-        out, F.when(tags, T.strip(F.regexp_replace(F.col(out), r"\n?[^\n]*$", ""))).otherwise(F.col(out))
+        out, F.when(tags, T.strip(before)).otherwise(F.col(out))
     )
     return staged.withColumn(out, T.strip(T.substitute(F.col(out), TAIL_ARTIFACTS))).drop(
-        "_lines", "_from", "_stops", "_to", "_body"
+        "_lines", "_from", "_stops", "_to", "_body", "_last"
     )
 
 
@@ -483,11 +488,10 @@ def mojibake_ratio(body: Column, lex: Lexicons = DEFAULT) -> Column:
 
 
 def repeated_line_ratio(body: Column) -> Column:
-    long_lines = F.filter(
-        F.transform(T.lines(body), F.lower), lambda x: F.length(x) >= 20
-    )
-    return F.when(F.size(long_lines) == 0, F.lit(0.0)).otherwise(
-        F.lit(1.0) - F.size(F.array_distinct(long_lines)) / F.size(long_lines)
+    long_lines = F.filter(F.transform(T.lines(body), F.lower), lambda x: F.length(x) >= 20)
+    return T.let(
+        long_lines,
+        lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(x)) / F.size(x)),
     )
 
 
@@ -510,28 +514,37 @@ def signal_count(tokens: Column, lex: Lexicons = DEFAULT) -> Column:
 
 def context_overlap(tokens: Column, context: Column) -> Column:
     wanted = F.array_distinct(F.filter(K.content_tokens(context), lambda t: F.length(t) >= 4))
-    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(wanted, tokens)) / F.size(wanted)
+    return T.let(
+        wanted,
+        lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(w, tokens)) / F.size(w)),
     )
 
 
-def hard_noise_reason(body: Column, title: Column, lex: Lexicons = DEFAULT) -> Column:
+def hard_noise_reason(
+    body: Column, title: Column, lex: Lexicons = DEFAULT, mojibake: Column | None = None, repeat: Column | None = None
+) -> Column:
+    """``mojibake`` and ``repeat`` may be given when they are already columns."""
     low = F.lower(body)
-    links = link_marks(low)
+    moji = mojibake_ratio(body, lex) if mojibake is None else mojibake
+    repeated = repeated_line_ratio(body) if repeat is None else repeat
     site_map = (
         F.contains(low, F.lit("sitemap"))
         | F.contains(body, F.lit("网站地图"))
         | F.contains(body, F.lit("站点地图"))
         | F.contains(F.lower(title), F.lit("sitemap"))
     )
-    repeat = repeated_line_ratio(body)
     aggregated = T.contains_any(low, [a.lower() for a in lex.aggregation])
-    return (
-        F.when((mojibake_ratio(body, lex) >= 0.08) & ~T.has_cjk(body), "mojibake_or_wrong_encoding")
-        .when(site_map & (links >= 10), "site_map_or_link_index")
-        .when(F.rlike(low, F.lit(r"\|\s*0\.[0-9]+\s*\|\s*daily\s*\|")) & (links >= 5), "site_map_or_link_index")
-        .when(aggregated & ((links >= 5) | (repeat >= 0.35) | (F.length(body) < 800)), "search_or_aggregation_page")
-        .when((repeat >= 0.65) & (F.length(body) > 500), "repetitive_boilerplate")
+    daily = F.rlike(low, F.lit(r"\|\s*0\.[0-9]+\s*\|\s*daily\s*\|"))
+    measured = F.struct(link_marks(low).alias("links"), repeated.alias("repeat"))
+    return T.let(
+        measured,
+        lambda m: F.when((moji >= 0.08) & ~T.has_cjk(body), "mojibake_or_wrong_encoding")
+        .when((m["links"] >= 10) & site_map, "site_map_or_link_index")
+        .when((m["links"] >= 5) & daily, "site_map_or_link_index")
+        .when(
+            aggregated & ((m["links"] >= 5) | (m["repeat"] >= 0.35) | (F.length(body) < 800)), "search_or_aggregation_page"
+        )
+        .when((m["repeat"] >= 0.65) & (F.length(body) > 500), "repetitive_boilerplate"),
     )
 
 

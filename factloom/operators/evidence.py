@@ -211,7 +211,9 @@ def read_quality(df: DataFrame, body: str, title: str, snippet: str, lex: Lexico
     reason = (
         F.when(F.length(text) == 0, "empty_after_cleaning")
         .when(C.looks_failed(text, lex), "blocked_or_failure_page")
-        .otherwise(C.hard_noise_reason(text, F.coalesce(F.col(title), F.lit("")), lex))
+        .otherwise(
+            C.hard_noise_reason(text, F.coalesce(F.col(title), F.lit("")), lex, F.col("mojibake"), F.col("repeat"))
+        )
     )
     return (
         staged.withColumn("penalty", penalty)

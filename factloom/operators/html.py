@@ -142,9 +142,8 @@ def block_scores(df: DataFrame, body: str, title: str, snippet: str, lex: Lexico
     context = F.concat_ws(" ", title, snippet)
     asked = F.length(F.trim(context)) > 0
 
-    def score(block: Column) -> Column:
+    def weigh(block: Column, tokens: Column) -> Column:
         low = F.lower(block)
-        tokens = K.content_tokens(block)
         n = F.greatest(F.size(tokens), F.lit(1))
         nav = F.size(F.filter(tokens, lambda t: t.isin(*lex.nav_words)))
         penalty = F.least(nav / n * 2.0 + T.total_occurrences(low, lex.boilerplate) * 0.04, F.lit(0.7)) + F.when(
@@ -159,6 +158,9 @@ def block_scores(df: DataFrame, body: str, title: str, snippet: str, lex: Lexico
         )
         return F.when(F.size(tokens) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), value))
 
+    def score(block: Column) -> Column:
+        return T.let(K.content_tokens(block), lambda tokens: weigh(block, tokens))
+
     blocks = F.filter(F.transform(F.split(body, r"\n\s*\n"), T.strip), lambda x: F.length(x) > 0)
     return df.withColumn(
         "_blocks", F.transform(blocks, lambda b, i: F.struct(score(b).alias("score"), i.alias("at"), b.alias("block")))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WS
+from ..functions.text import WS, WS_CHARS
 from ..lexicons import DEFAULT
 
 # Lists with terms that occur in the given tables, for the queries below.
@@ -213,7 +213,7 @@ def sql_squeeze(col: str) -> str:
 
 
 def sql_strip(col: str) -> str:
-    return f"regexp_replace({col}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({col}, {q(WS_CHARS)})"
 
 
 def sql_ratio(col: str) -> str:
