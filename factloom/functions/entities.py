@@ -128,9 +128,12 @@ def typed(tokens: Column, lex: Lexicons = DEFAULT) -> Column:
         lambda s: F.struct((-base_weight(s["token"], s["type"])).alias("neg"), s["type"].alias("type"), s["token"].alias("token")),
     )
     ordered = F.array_sort(weighed)
-    per_type = [F.slice(F.filter(ordered, lambda s, n=name: s["type"] == n), 1, cap) for name, cap in CAPS.items()]
+
+    def of_type(name: str, cap: int) -> Column:
+        return F.slice(F.filter(ordered, lambda s: s["type"] == name), 1, cap)
+
     return F.transform(
-        F.array_sort(F.concat(*per_type)),
+        F.array_sort(F.concat(*[of_type(name, cap) for name, cap in CAPS.items()])),
         lambda s: F.struct(s["token"].alias("token"), s["type"].alias("type"), (-s["neg"]).alias("weight")),
     )
 

@@ -91,10 +91,11 @@ def query_profile(df: DataFrame, query: str, lex: Lexicons = DEFAULT) -> DataFra
     staged = staged.withColumn(
         "_tagged", F.transform("_terms", lambda t: F.struct(t.alias("t"), term_class(t, lex).alias("c")))
     )
-    for name in CLASSES:
-        staged = staged.withColumn(
-            name, F.transform(F.filter("_tagged", lambda s, n=name: s["c"] == n), lambda s: s["t"])
-        )
+
+    def of_class(name: str) -> Column:
+        return F.transform(F.filter("_tagged", lambda s: s["c"] == name), lambda s: s["t"])
+
+    staged = staged.withColumns({name: of_class(name) for name in CLASSES})
     broad = list(lex.broad)
 
     def specific(terms: Column) -> Column:

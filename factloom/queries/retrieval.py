@@ -1 +1,547 @@
+"""Lexical, dense and hybrid retrieval; evidence."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import tokens as K
+from ..functions import urls as U
+from ..operators import cleaning as C
+from ..operators import dense as D
+from ..operators import evidence as E
+from ..operators import html as H
+from ..operators import hybrid as Y
+from ..operators import lexical as L
+from ..operators import ordered as O
+from ..plans import retrieval as R
+from . import query
+from .base import (
+    CHUNKS, PAIRS, SYN, chunks, pairs, q, sql_any, sql_hits, sql_in, sql_list, sql_occs, sql_squeeze, table,
+)
+from .sourcing import _HOST_SQL, _boilerplate_sql, _url_part
+
+# ------------------------------------------------------------------ lexical
+
+
+@query(
+    "token_idf",
+    f"""WITH t AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS token FROM documents)
+      SELECT token, count(*) AS df, round(ln((SELECT count(*) FROM documents) + 1) - ln(count(*) + 1) + 1.0, 6) AS idf FROM t GROUP BY token""",
+)
+def token_idf(spark, sf):
+    return L.token_idf(table(spark, sf, "documents"), "doc_id", K.words(F.col("text")))
+
+
+def _low(x: str) -> str:
+    return f"lower({x})"
+
+
+# query profile in SQL: distinct runs, then longer single tokens, classified
+_CLASS_SQL = f"""CASE WHEN regexp_matches(k, {q(L._DESIGNATOR)}) THEN 'refdes' WHEN regexp_matches(k, {q(L._VALUE)}) THEN 'values'
+  WHEN k NOT IN {sql_in(SYN.model_like)} AND upper(t) NOT IN {sql_in(SYN.acronyms)} AND (
+    {" OR ".join(f"regexp_matches(k, {q(p)})" for p in L._MODEL_LOW)}
+    OR regexp_matches(t, '^[A-Z][A-Za-z0-9_.+\\-]*[A-Z][A-Za-z0-9_.+\\-]*$') AND length(t) >= 4 AND regexp_matches(t, '^[A-Za-z0-9_.+\\-]+$')
+    OR regexp_matches(t, {q(L._MODEL_UPPER)})) THEN 'models'
+  WHEN k IN {sql_in(SYN.topology)} THEN 'topology' WHEN k IN {sql_in(SYN.fault)} THEN 'fault' ELSE 'other' END"""
+_RANK_SQL = "CASE c WHEN 'models' THEN 1 WHEN 'refdes' THEN 2 WHEN 'values' THEN 3 WHEN 'topology' THEN 4 WHEN 'fault' THEN 5 ELSE 6 END"
+PROFILE = f"""runs AS (SELECT item_id, text, list_filter(list_transform(regexp_extract_all(text, {q(K.QUERY_RUN)}),
+      lambda x: trim(x, '-_./+ ')), lambda x: length(x) >= 2)
+      || list_filter(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x)), lambda x: length(x) >= 2) AS all_terms FROM benchmark),
+  spread AS (SELECT item_id, unnest(all_terms) AS t, generate_subscripts(all_terms, 1) AS i FROM runs),
+  firsts AS (SELECT item_id, lower(t) AS k, arg_min(t, i) AS t, min(i) AS i FROM spread GROUP BY 1, 2),
+  classed AS (SELECT *, {_CLASS_SQL} AS c FROM firsts),
+  ranked AS (SELECT *, {_RANK_SQL} AS cr, k IN {sql_in(SYN.broad)} AS broad,
+     row_number() OVER (PARTITION BY item_id, c ORDER BY i) AS cn FROM classed),
+  strong AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cr, i) AS n FROM ranked WHERE cr <= 3),
+  loose AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cr, i) AS n FROM (
+     SELECT *, bool_and(broad) OVER (PARTITION BY item_id) AS only_broad FROM ranked WHERE cr < 6 OR cn <= 4) WHERE only_broad OR NOT broad),
+  wanted AS (SELECT item_id, k, t, n FROM strong WHERE n <= 6 UNION ALL
+     SELECT item_id, k, t, n FROM loose WHERE n <= 12 AND item_id NOT IN (SELECT item_id FROM strong)),
+  likes AS (SELECT item_id, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM (
+     SELECT *, bool_and(broad) OVER (PARTITION BY item_id) AS only_broad FROM ranked) WHERE only_broad OR NOT broad) WHERE n <= 4)"""
+
+
+def _profiled(spark, sf):
+    return L.query_profile(table(spark, sf, "benchmark"), "text", SYN)
+
+
+@query(
+    "query_profile",
+    f"""WITH {PROFILE}, counts AS (SELECT item_id, {", ".join(f"CAST(count(*) FILTER (WHERE c = '{c}') AS INT) AS {c}" for c in L.CLASSES)} FROM ranked GROUP BY 1),
+      fts AS (SELECT item_id, string_agg('"' || t || '"', ' OR ' ORDER BY n) AS fts_query FROM wanted GROUP BY 1)
+      SELECT * FROM counts JOIN fts USING (item_id)""",
+)
+def query_profile(spark, sf):
+    prof = _profiled(spark, sf)
+    return prof.select("item_id", *[F.size(c).alias(c) for c in L.CLASSES], L.fts_expression(F.col("fts_terms")).alias("fts_query"))
+
+
+_TF = """tf AS (SELECT k, chunk_id, CAST(sum((length(body) - length(replace(body, k, ''))) / length(k)) AS DOUBLE) AS tf
+    FROM (SELECT DISTINCT k FROM wanted WHERE length(k) >= 3) CROSS JOIN
+      (SELECT chunk_id, lower(title) || ' ' || lower(url) || ' ' || lower(text) AS body FROM chunks)
+    WHERE contains(body, k) GROUP BY 1, 2)"""
+BM25 = f"""{CHUNKS}, {PROFILE}, {_TF},
+  dl AS (SELECT chunk_id, greatest(length(title) - 2, 0) + greatest(length(url) - 2, 0) + greatest(length(text) - 2, 0) AS dl FROM chunks),
+  st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+  idf AS (SELECT k, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END AS idf FROM tf, st GROUP BY k, n),
+  bm AS (SELECT item_id, chunk_id, -sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25_score
+     FROM wanted JOIN tf USING (k) JOIN idf USING (k) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
+  cand AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25_score, 9), chunk_id) AS rank FROM bm)"""
+
+
+def _bm25(spark, sf, limit):
+    base = chunks(spark, sf)
+    return L.bm25(_profiled(spark, sf), L.postings(base), L.lengths(base), "item_id", limit)
+
+
+@query(
+    "bm25_topk",
+    f"WITH {BM25} SELECT item_id, chunk_id, CAST(rank AS INT) AS rank, round(bm25_score, 6) AS score FROM cand WHERE rank <= 10",
+)
+def bm25_topk(spark, sf):
+    return _bm25(spark, sf, 10).select("item_id", "chunk_id", "rank", F.round("bm25_score", 6).alias("score"))
+
+
+@query(
+    "like_fallback",
+    f"""WITH {CHUNKS}, {PROFILE}, hit AS (SELECT DISTINCT item_id, chunk_id FROM (SELECT * FROM likes WHERE length(k) >= 3) CROSS JOIN
+        (SELECT chunk_id, lower(title) || ' ' || lower(url) || ' ' || lower(text) AS body FROM chunks) WHERE contains(body, k))
+      SELECT item_id, chunk_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) AS INT) AS rank, 10.0::DOUBLE AS score FROM hit
+      QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) <= 80""",
+)
+def like_fallback(spark, sf):
+    found = L.like_search(_profiled(spark, sf), L.postings(chunks(spark, sf)), "item_id")
+    return found.select("item_id", "chunk_id", "rank", F.col("bm25_score").alias("score"))
+
+
+# pieces of the rerank score as SQL over columns h(ead), low, flat, text, url, title
+def _sum_terms(cls: str, inner: str) -> str:
+    return f"coalesce((SELECT sum({inner}) FROM UNNEST(p.{cls}) AS u(t)), 0)"
+
+
+_PROFILE_LISTS = f"""prof AS (SELECT item_id, {", ".join(f"coalesce(list(k ORDER BY i) FILTER (WHERE c = '{c}'), []) AS {c}" for c in L.CLASSES)},
+   coalesce(list(k ORDER BY cr, i) FILTER (WHERE only_broad OR NOT broad), []) AS spec FROM (SELECT *, bool_and(broad) OVER (PARTITION BY item_id) AS only_broad FROM ranked) GROUP BY item_id)"""
+
+
+def _worth(lst: str, yes_head: float | None, yes: float, no: float) -> str:
+    head = f"WHEN contains(h, x) THEN {yes_head}" if yes_head is not None else ""
+    return f"coalesce(list_sum(list_transform({lst}, lambda x: CAST(CASE {head} WHEN contains(low, x) THEN {yes} ELSE {no} END AS DOUBLE))), 0.0)"
+
+
+_HV = "len(list_filter(list_distinct(refdes || \"values\" || topology || fault), lambda x: contains(low, x)))"
+_TECH = f"""(least(3, {sql_hits('low', SYN.high_value)}) + least(3, {sql_hits('low', [t.lower() for t in SYN.technical])})
+   + CAST(regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])(r|c|l|d|q|u|j|t)[0-9]+($|[^\\p{{L}}\\p{{N}}_])') AS INT)
+   + CAST(regexp_matches(low, '[0-9]+(\\.[0-9]+)?\\s*(v|a|ma|ua|w|uf|nf|pf|ohm|khz|mhz)($|[^\\p{{L}}\\p{{N}}_])') AS INT))"""
+
+
+def _comp(tokens: str) -> str:
+    shape = "^[a-z]{1,4}[0-9]+[a-z0-9_.+-]*$"
+    return f"list_filter({tokens}, lambda x: regexp_matches(x, {q(shape)}) OR regexp_matches(x, {q(L._VALUE)}))"
+
+
+_SHARED = " + ".join(
+    f"CASE WHEN contains(low, {q(t.lower())}) AND (contains(ql, {q(t.lower())}) OR contains(h, {q(t.lower())})) THEN 0.6 ELSE 0.0 END" for t in SYN.technical
+)
+_PROJECT = sql_any("lower(url)", SYN.project_sources)
+RERANK = f"""{BM25}, {_PROFILE_LISTS},
+  hits AS (SELECT item_id, chunk_id, bm25_score, title, url, c.text, lower(title || ' ' || url) AS h, lower(title || ' ' || url || ' ' || c.text) AS low,
+      lower(b.text) AS ql, p.* EXCLUDE (item_id) FROM (SELECT * FROM cand WHERE rank <= 80) JOIN chunks c USING (chunk_id) JOIN prof p USING (item_id) JOIN benchmark b USING (item_id)),
+  flats AS (SELECT *, {sql_squeeze('low')} AS flat, {_HV} AS hv FROM hits),
+  rr AS (SELECT *, 1.0 / (1.0 + abs(bm25_score)) - CASE WHEN {_boilerplate_sql('flat')} THEN 8.0 ELSE 0.0 END
+     - CASE WHEN {sql_any('lower(url)', SYN.low_value_sources)} THEN 8.0 ELSE 0.0 END
+     - CASE WHEN {_PROJECT} THEN 2.5 + CASE WHEN {sql_any('lower(title)', SYN.project_titles)} THEN 4.0 ELSE 0.0 END
+         + CASE WHEN {_TECH} < 2 THEN 2.0 ELSE 0.0 END ELSE 0.0 END
+     + {_worth('spec', 3.0, 1.0, 0.0)} + {_worth('models', None, 5.0, -1.5)} + {_worth('refdes', None, 2.0, 0.0)}
+     + {_worth('topology', 2.0, 1.0, 0.0)} + {_worth('fault', None, 1.2, 0.0)} + hv
+     - CASE WHEN len(models) = 0 AND len(refdes) + len("values") + len(topology) + len(fault) > 0 AND hv < 2 THEN 2.0 ELSE 0.0 END
+     + CASE WHEN {sql_any('low', SYN.high_value)} THEN 0.8 ELSE 0.0 END + {_SHARED}
+     + 1.2 * len(list_intersect(list_distinct({_comp('spec')}), list_distinct({_comp("regexp_extract_all(low, '[A-Za-z0-9_.+-]+')")})))
+     - CASE WHEN {sql_any('low', SYN.noise)} THEN 3.0 ELSE 0.0 END - CASE WHEN length(text) < 160 THEN 2.0 ELSE 0.0 END AS rerank_score FROM flats)"""
+
+
+def _reranked(spark, sf):
+    return L.rerank(R.sparse(table(spark, sf, "benchmark").withColumnRenamed("text", "question"), chunks(spark, sf), "item_id", "question", SYN), "question", SYN)
+
+
+@query("rule_rerank", f"WITH {RERANK} SELECT item_id, chunk_id, round(rerank_score, 6) AS score FROM rr")
+def rule_rerank(spark, sf):
+    return _reranked(spark, sf).select("item_id", "chunk_id", F.round("rerank_score", 6).alias("score"))
+
+
+@query(
+    "overlap_retrieval",
+    f"""WITH d AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS toks FROM documents),
+      b AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS asked FROM benchmark),
+      s AS (SELECT item_id, doc_id, len(list_intersect(asked, toks)) AS overlap, len(asked) AS na, len(toks) AS nt FROM b CROSS JOIN d),
+      r AS (SELECT item_id, doc_id, overlap, round(overlap / CAST(na AS DOUBLE) + overlap / sqrt(CAST(nt AS DOUBLE)), 4) AS score FROM s WHERE overlap > 0)
+      SELECT item_id, doc_id, overlap, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r
+      QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 4""",
+)
+def overlap_retrieval(spark, sf):
+    return L.overlap_search(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
+
+
+@query(
+    "multi_query_search",
+    f"""WITH d AS (SELECT doc_id, source, list_distinct(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS toks FROM documents),
+      b AS (SELECT item_id % 8 AS sample, item_id, list_distinct(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS asked FROM benchmark),
+      s AS (SELECT sample, item_id, doc_id, source, len(list_intersect(asked, toks)) AS overlap, len(asked) AS na, len(toks) AS nt FROM b CROSS JOIN d),
+      r AS (SELECT sample, item_id, doc_id, source, round(overlap / CAST(na AS DOUBLE) + overlap / sqrt(CAST(nt AS DOUBLE)), 4) AS score FROM s WHERE overlap > 0),
+      t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 4),
+      f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY sample, source ORDER BY item_id, score DESC, doc_id) = 1)
+      SELECT sample, source, doc_id, score, CAST(row_number() OVER (PARTITION BY sample ORDER BY score DESC, source) AS INT) AS rank FROM f
+      QUALIFY row_number() OVER (PARTITION BY sample ORDER BY score DESC, source) <= 4""",
+)
+def multi_query_search(spark, sf):
+    """Every sample asks several questions; items are dealt to eight samples."""
+    docs = table(spark, sf, "documents")
+    found = L.overlap_search(table(spark, sf, "benchmark"), docs, "item_id", "text", "doc_id", "text").drop("rank", "overlap")
+    hits = found.join(docs.select("doc_id", "source"), "doc_id").withColumn("sample", F.col("item_id") % 8)
+    hits = hits.withColumn("order", F.struct("item_id", F.negative("score"), "doc_id"))
+    best = R.best_per_source(hits, ["sample"], "source", "score", "order", 4)
+    return best.select("sample", "source", "doc_id", "score", "rank")
+
+
+# -------------------------------------------------------------------- dense
+
+_CENTROIDS = """cent AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, round(avg(CAST(x AS DOUBLE)), 9) AS x FROM
+    (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY 1, 2) GROUP BY label)"""
+_DENSE = f"""{_CENTROIDS}, dense AS (SELECT label, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 6) AS score FROM cent CROSS JOIN
+    (SELECT vec_id, embedding FROM embeddings))"""
+
+
+@query(
+    "dense_topk",
+    f"""WITH {_DENSE} SELECT label, vec_id, score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INT) AS rank FROM dense
+        QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 20""",
+)
+def dense_topk(spark, sf):
+    """One query per label: its mean vector."""
+    vectors = table(spark, sf, "embeddings")
+    queries = D.centroids(vectors, "label", "embedding")
+    return D.nearest_batch(vectors, "vec_id", "embedding", queries, "label", "centroid", 20).select("label", "vec_id", "score", "rank")
+
+
+@query(
+    "index_status",
+    """SELECT count(*) AS vectors, CAST(min(len(embedding)) AS INT) AS min_dim, CAST(max(len(embedding)) AS INT) AS max_dim,
+       count(*) FILTER (WHERE embedding IS NULL) AS missing, (SELECT count(*) FROM documents) AS chunks,
+       count(*) > 0 AND min(len(embedding)) = max(len(embedding)) AND count(*) FILTER (WHERE embedding IS NULL) = 0 AS usable FROM embeddings""",
+)
+def index_status(spark, sf):
+    return D.index_status(table(spark, sf, "embeddings"), "embedding", table(spark, sf, "documents"))
+
+
+# benchmark items have no vectors of their own: item i asks with the mean of label i mod 10
+_HYBRID = f"""{RERANK}, {_CENTROIDS}, dn AS (SELECT b.item_id, vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 6) AS score
+     FROM benchmark b JOIN cent ON label = b.item_id % 10 CROSS JOIN embeddings),
+  dtop AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 80),
+  mx AS (SELECT item_id, CASE WHEN max(rerank_score) <= 0 THEN 5.0 ELSE max(rerank_score) END AS m FROM rr GROUP BY 1),
+  sp AS (SELECT item_id, chunk_id, rerank_score, greatest(0.0, least(1.0, rerank_score / greatest(m, 1.0))) AS sparse_norm FROM rr JOIN mx USING (item_id)),
+  mg AS (SELECT item_id, chunk_id, sparse_norm, greatest(0.0, least(1.0, dtop.score)) AS dense_norm FROM sp FULL OUTER JOIN dtop USING (item_id, chunk_id)),
+  merged AS (SELECT *, 0.65 * coalesce(dense_norm, 0.0) + 0.35 * coalesce(sparse_norm, 0.0) AS hybrid_score FROM mg WHERE sparse_norm IS NOT NULL OR dense_norm >= 0.3)"""
+
+
+def _dense_hits(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    found = D.nearest_batch(vectors, "vec_id", "embedding", D.centroids(vectors, "label", "embedding"), "label", "centroid", 80)
+    items = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 10).cast("int").alias("label"))
+    return items.join(found, "label").select("item_id", F.col("vec_id").alias("chunk_id"), "score")
+
+
+@query(
+    "hybrid_merge",
+    f"WITH {_HYBRID} SELECT item_id, chunk_id, round(sparse_norm, 6) AS sparse_norm, round(dense_norm, 6) AS dense_norm, round(hybrid_score, 6) AS score FROM merged",
+)
+def hybrid_merge(spark, sf):
+    merged = Y.merge(_reranked(spark, sf), _dense_hits(spark, sf), "item_id")
+    return merged.select(
+        "item_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("sparse_norm", "dense_norm")], F.round("hybrid_score", 6).alias("score")
+    )
+
+
+_STRONG_HIT = "len(list_filter(models || refdes || \"values\", lambda x: contains(low, x))) > 0"
+_REQUIRED = f"""CASE WHEN len(models) + len(refdes) + len("values") > 0 THEN {_STRONG_HIT}
+   WHEN len(topology) + len(fault) > 0 THEN {_HV} >= 2 ELSE true END"""
+_LOWPROJECT = f"""({_PROJECT} AND ({sql_any('lower(title)', SYN.project_titles)} OR NOT (({_STRONG_HIT} AND {_TECH} >= 2)
+   OR (len(models) + len(refdes) + len("values") = 0 AND {_HV} >= 2 AND {_TECH} >= 3))))"""
+_SEARCHED = f"""{_HYBRID}, full_rows AS (SELECT m.*, title, url, c.text, lower(title || ' ' || url || ' ' || c.text) AS low,
+     lower({sql_squeeze("title || chr(10) || url || chr(10) || c.text")}) AS flat, p.* EXCLUDE (item_id)
+     FROM merged m JOIN chunks c USING (chunk_id) JOIN prof p USING (item_id)),
+  tested AS (SELECT *, CASE WHEN {sql_any('lower(url)', SYN.low_value_sources)} THEN 'low_value_source' WHEN {_boilerplate_sql('flat')} THEN 'noise'
+     WHEN {_LOWPROJECT} THEN 'low_value_project' WHEN coalesce(dense_norm, 0.0) < 0.3 AND NOT ({_REQUIRED}) THEN 'required_terms' END AS content FROM full_rows),
+  quota AS (SELECT *, row_number() OVER (PARTITION BY item_id, content IS NULL, url ORDER BY round(hybrid_score, 9) DESC, chunk_id) AS nth FROM tested),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY item_id, content IS NULL AND nth <= 2 AND hybrid_score >= 0.15
+       ORDER BY round(hybrid_score, 9) DESC, chunk_id) AS place FROM quota),
+  searched AS (SELECT *, CASE WHEN content IS NOT NULL THEN content WHEN nth > 2 THEN 'duplicate_source' WHEN hybrid_score < 0.15 THEN 'low_relevance'
+       WHEN place > 4 THEN 'over_limit' END AS discard_reason FROM placed)"""
+
+
+def _searched(spark, sf):
+    queries = table(spark, sf, "benchmark").withColumnRenamed("text", "question")
+    return R.hybrid_search(queries, chunks(spark, sf), _dense_hits(spark, sf), "item_id", "question", SYN)
+
+
+@query(
+    "search_results",
+    f"""WITH {_SEARCHED} SELECT item_id, chunk_id, round(hybrid_score, 6) AS score, coalesce(discard_reason, 'kept') AS outcome,
+        hybrid_score >= 0.4 AND discard_reason IS NULL AS high_relevance FROM searched""",
+)
+def search_results(spark, sf):
+    return _searched(spark, sf).select(
+        "item_id", "chunk_id", F.round("hybrid_score", 6).alias("score"), F.coalesce("discard_reason", F.lit("kept")).alias("outcome"), "high_relevance"
+    )
+
+
+_COUNTS = ", ".join(
+    f"count(*) FILTER (WHERE discard_reason = '{r}') AS discarded_{r}" for r in Y.REASONS if r != "over_limit"
+)
+
+
+@query(
+    "search_diagnostics",
+    f"""WITH {_SEARCHED} SELECT item_id, count(*) AS candidate_count, count(*) FILTER (WHERE discard_reason IS NULL) AS kept_count, {_COUNTS},
+        count(*) FILTER (WHERE discard_reason IS NULL AND hybrid_score >= 0.4) AS high_relevance_count,
+        CASE WHEN count(*) FILTER (WHERE discard_reason IS NULL) > 0 THEN round(count(*) FILTER (WHERE discard_reason IS NULL AND hybrid_score >= 0.4)
+          / CAST(count(*) FILTER (WHERE discard_reason IS NULL) AS DOUBLE), 4) ELSE 0.0 END AS high_relevance_rate FROM searched GROUP BY item_id""",
+)
+def search_diagnostics(spark, sf):
+    return Y.diagnostics(_searched(spark, sf), "item_id")
+
+
+@query(
+    "per_source_quota",
+    f"""WITH {BM25} SELECT item_id, source, chunk_id, CAST(row_number() OVER (PARTITION BY item_id, source ORDER BY rank) AS INT) AS nth
+        FROM (SELECT * FROM cand WHERE rank <= 80) JOIN chunks USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY rank) <= 2""",
+)
+def per_source_quota(spark, sf):
+    hits = _bm25(spark, sf, 80).join(chunks(spark, sf).select("chunk_id", "source"), "chunk_id")
+    return O.top_k(hits, ["item_id", "source"], [F.col("rank")], Y.PER_SOURCE, "nth").select("item_id", "source", "chunk_id", "nth")
+
+
+# ----------------------------------------------------------------- evidence
+
+
+
+def _terms_sql(col: str) -> str:
+    """Distinct evidence terms in order of appearance."""
+    found = f"""list_filter(list_transform(regexp_extract_all({col}, {q(K.EVIDENCE_TERM)}), lambda x: trim(x, {q(T.WS_CHARS)})),
+       lambda x: length(x) > 0 AND x NOT IN {sql_in(K.EVIDENCE_STOP)})"""
+    return f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
+
+
+_KINDS = ["domain_skill", "image_inspection", "local_kb_chunk", "web_page", "web_search_result", "image_context"]
+_EVID = f"""{BM25}, ev AS (SELECT item_id, b.text AS question, rank, CASE WHEN chunk_id % 9 = 0 THEN '' ELSE url END AS source, title, c.text AS content,
+     -bm25_score AS score, {sql_list(_KINDS)}[1 + chunk_id % 6] AS kind FROM (SELECT * FROM cand WHERE rank <= 80) JOIN chunks c USING (chunk_id) JOIN benchmark b USING (item_id))"""
+
+
+def _evidence(spark, sf):
+    hits = _bm25(spark, sf, 80).join(chunks(spark, sf), "chunk_id")
+    asked = table(spark, sf, "benchmark").withColumnRenamed("text", "question")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("chunk_id") % 6 + 1).cast("int"))
+    return hits.join(asked, "item_id").select(
+        "item_id", "question", F.col("rank").alias("place"), F.when(F.col("chunk_id") % 9 == 0, "").otherwise(F.col("url")).alias("source"),
+        "title", F.col("text").alias("content"), F.negative("bm25_score").alias("score"), kind.alias("kind"),
+    )
+
+
+@query(
+    "evidence_rank",
+    f"""WITH {_EVID}, k AS (SELECT *, trim(lower(coalesce(nullif(source, ''), nullif(title, ''), substr(content, 1, 80))), {q(T.WS_CHARS)}) AS key,
+        lower(title || ' ' || content || ' ' || source) AS low, {_terms_sql('question')} AS terms FROM ev),
+      s AS (SELECT *, score + len(list_filter(terms, lambda t: contains(low, lower(t)))) + CASE kind WHEN 'domain_skill' THEN 4.0 WHEN 'image_inspection' THEN 3.0
+          WHEN 'local_kb_chunk' THEN 1.5 ELSE 0.0 END + CASE WHEN regexp_extract(source, '://([^/]+)', 1) IN {sql_in(SYN.trusted_hosts)} THEN 2.0 ELSE 0.0 END AS total FROM k WHERE key <> ''),
+      f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY rank) = 1)
+      SELECT item_id, rank AS place, round(total, 4) AS score, kind, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(total, 4) DESC, rank) AS INT) AS rank FROM f
+      QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(total, 4) DESC, f.rank) <= 12""",
+)
+def evidence_rank(spark, sf):
+    top = E.rank(_evidence(spark, sf), "item_id", "question", "place", SYN)
+    return top.select("item_id", "place", F.round("evidence_score", 4).alias("score"), "kind", "rank")
+
+
+@query("answer_context")
+def answer_context(spark, sf):
+    out = E.answer_context(_evidence(spark, sf), "item_id")
+    return out.select("item_id", F.length("context").alias("chars"), F.md5(F.encode("context", "UTF-8")).alias("digest"))
+
+
+@query(
+    "coverage_gaps",
+    f"""WITH {_EVID}, a AS (SELECT item_id, title || ' ' || content AS body, list_filter({_terms_sql('question')},
+          lambda t: regexp_matches(t, '^([A-Z]{{1,6}}[0-9]{{0,4}}[A-Z0-9_.+-]*|[0-9]+(?:\\.[0-9]+)?[A-Za-zΩμ]*)$')) AS asked FROM ev),
+      g AS (SELECT item_id, count(*) AS evidence_count, any_value(asked) AS asked, list_distinct(flatten(list(list_filter(asked, lambda t: contains(body, t))))) AS found FROM a GROUP BY 1)
+      SELECT item_id, evidence_count, len(list_filter(asked, lambda t: NOT list_contains(found, t))) AS missing FROM g""",
+)
+def coverage_gaps(spark, sf):
+    out = E.gaps(_evidence(spark, sf), "item_id", "question")
+    return out.select("item_id", "evidence_count", F.size("missing").cast("long").alias("missing"))
+
+
+@query(
+    "search_result_filter",
+    f"""WITH p AS (SELECT page_id, {_HOST_SQL} AS host, lower({_url_part(3)}) AS path, lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages),
+      s AS (SELECT *, list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) AS parents FROM p)
+      SELECT CASE WHEN list_has_any(parents, {sql_list(SYN.low_value_hosts)}) THEN 'low_value_host:' || host
+         WHEN {sql_any('path', SYN.low_value_paths)} THEN 'low_value_path' WHEN {sql_any('title', SYN.low_value_titles)} THEN 'low_value_title' ELSE 'kept' END AS reason,
+       count(*) AS results FROM s GROUP BY 1""",
+)
+def search_result_filter(spark, sf):
+    reason = E.low_value_result(F.col("url"), H.title(F.col("html")), F.lit(""), SYN)
+    return table(spark, sf, "pages").groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("results"))
+
+
+_STERMS = f"""list_distinct(list_filter(list_transform(regexp_extract_all(question, {q(K.SEARCH_TERM)}), lambda x: lower(x)),
+   lambda x: length(x) >= 2 AND x NOT IN {sql_in(SYN.search_stop)}))"""
+
+
+@query(
+    "search_relevance",
+    f"""WITH {_EVID}, t AS (SELECT item_id, rank, score, source, lower(title || ' ' || content || ' ' || source) AS low, {_STERMS} AS terms FROM ev),
+      u AS (SELECT item_id, rank, score, source, low, terms, unnest(terms) AS term FROM t),
+      h AS (SELECT item_id, rank, any_value(score) AS score, any_value(source) AS source, count(*) AS n,
+          count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE model) AS models, count(*) FILTER (WHERE model AND hit) AS mhits FROM (
+            SELECT *, CASE WHEN regexp_matches(term, '^[a-z0-9_.+-]+$') THEN regexp_matches(low, '(^|[^a-z0-9_.+-])' || regexp_replace(term, '([.+])', '\\\\\\1', 'g') || '($|[^a-z0-9_.+-])')
+               ELSE contains(low, term) END AS hit, regexp_matches(term, '[a-z]{{1,8}}[0-9]{{2,6}}|[0-9]{{2,6}}[a-z]{{1,8}}') AS model FROM u) GROUP BY 1, 2),
+      c AS (SELECT *, hits / CAST(n AS DOUBLE) AS cov, regexp_extract(source, '://([^/]+)', 1) IN {sql_in(SYN.trusted_hosts)} AS ok FROM h)
+      SELECT item_id, rank AS place, round(CASE WHEN NOT ok AND ((models > 0 AND mhits = 0 AND cov < 0.35) OR (mhits = 0 AND cov < 0.12) OR (mhits = 0 AND score <= 0 AND cov < 0.2)) THEN 0.0
+         ELSE greatest(score + cov * 3.0 + mhits * 2.0 + CASE WHEN ok THEN 1.0 ELSE 0.0 END + CASE WHEN models > 0 AND mhits = 0 THEN -1.5 ELSE 0.0 END, 0.01) END, 6) AS relevance FROM c""",
+)
+def search_relevance(spark, sf):
+    out = E.result_relevance(_evidence(spark, sf), "question", "relevance", SYN)
+    return out.select("item_id", "place", F.round("relevance", 6).alias("relevance"))
+
+
+@query("html_search_relevance")
+def html_search_relevance(spark, sf):
+    from dataclasses import replace
+
+    lex = replace(SYN, html_terms=("heed", "eaux", "thern", "tionch", "erin", "unge"), html_bad_terms=("license", "reedes"))
+    out = E.html_result_relevance(_evidence(spark, sf), "question", "content", "relevance", lex)
+    return out.select("item_id", "place", F.round("relevance", 6).alias("relevance"))
+
+
+_SKILLS = [
+    {"id": "alpha", "triggers": ["than", "erin", "heed"]},
+    {"id": "beta", "triggers": ["the", "onen"]},
+    {"id": "gamma", "triggers": ["que", "les", "eau"]},
+    {"id": "delta", "triggers": ["tion", "ing", "thth"]},
+    {"id": "epsilon", "triggers": ["und", "der", "sch"]},
+    {"id": "zeta", "triggers": ["st", "re", "nd", "ou"]},
+]
+
+
+@query(
+    "skill_match",
+    f"""WITH {PAIRS}, s(id, pos, triggers) AS (VALUES {", ".join(f"({q(s['id'])}, {i}, {sql_list(s['triggers'])})" for i, s in enumerate(_SKILLS))}),
+      h AS (SELECT sample_id, id AS skill_id, pos, CAST(len(list_filter(triggers, lambda t: contains(lower(question), t))) AS INT) AS hits FROM pairs CROSS JOIN s)
+      SELECT sample_id, skill_id, hits, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY hits DESC, pos) AS INT) AS rank FROM h WHERE hits > 0
+      QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY hits DESC, pos) <= 5""",
+)
+def skill_match(spark, sf):
+    return E.match_skills(pairs(spark, sf), "sample_id", "question", _SKILLS).select("sample_id", "skill_id", "hits", "rank")
+
+
+_SEEDS = ((("than", "erin"), "canned query one"), (("que", "les"), "canned query two"), (("und", "der"), "canned query three"))
+
+
+@query(
+    "seed_queries",
+    f"""WITH {PAIRS}, l AS (SELECT sample_id, [{", ".join(f"CASE WHEN {sql_any('question', k)} THEN {q(v)} END" for k, v in _SEEDS)},
+        CASE WHEN question <> '' THEN array_to_string(list_slice({_terms_sql('question')}, 1, 10), ' ') || ' electronics circuit troubleshooting' END] AS every FROM pairs)
+      SELECT sample_id, array_to_string(list_filter(every, lambda x: x IS NOT NULL), ' | ') AS queries FROM l""",
+)
+def seed_queries(spark, sf):
+    queries = E.seed_queries(F.col("question"), rules=_SEEDS)
+    return pairs(spark, sf).select("sample_id", F.array_join(queries, " | ").alias("queries"))
+
+
+_BUCKETS = (("power_supply", ("than", "erin")), ("embedded_software", ("que", "eau")), ("component_selection", ("und", "sch")))
+_MARKERS = ("tion", "inges", "aux")
+
+
+@query(
+    "retrieval_trigger",
+    f"""WITH {PROFILE}, s AS (SELECT item_id, least(3.0, 1.5 * count(*) FILTER (WHERE c = 'models')) + least(3.0, 1.5 * count(*) FILTER (WHERE c = 'refdes'))
+        + least(3.0, 1.0 * count(*) FILTER (WHERE c = 'values')) + least(2.0, 1.0 * count(*) FILTER (WHERE c = 'topology')) + least(2.0, 1.0 * count(*) FILTER (WHERE c = 'fault')) AS base FROM ranked GROUP BY 1),
+      t AS (SELECT item_id, CAST(base + CASE WHEN {sql_any('lower(text)', _MARKERS)} THEN 2.0 ELSE 0.0 END + CASE WHEN item_id % 2 = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS score, text FROM s JOIN benchmark USING (item_id))
+      SELECT item_id, score, CASE WHEN item_id % 3 = 0 AND score < 4.0 THEN false ELSE score >= 2.0 END AS use_retrieval,
+        CASE {" ".join(f"WHEN {sql_any('upper(text)', [k.upper() for k in ks])} THEN '{n}'" for n, ks in _BUCKETS)} ELSE 'general_component_anomaly' END AS bucket FROM t""",
+)
+def retrieval_trigger(spark, sf):
+    prof = _profiled(spark, sf)
+    score = E.retrieval_score(F.col("text"), F.col("item_id") % 2 == 0, _MARKERS)
+    scored = prof.withColumn("score", score.cast("double"))
+    use = E.use_retrieval(F.col("score"), F.col("item_id") % 3 == 0, F.lit(False))
+    return scored.select("item_id", "score", use.alias("use_retrieval"), E.question_bucket(F.col("text"), _BUCKETS).alias("bucket"))
+
+
+# ------------------------------------------------------------------ reading
+
+
+@query("read_candidates")
+def read_candidates(spark, sf):
+    """Two readings of every page compete; the better one wins."""
+    rows = table(spark, sf, "pages").select(
+        "page_id",
+        H.title(F.col("html")).alias("title"),
+        F.lit("").alias("snippet"),
+        F.length("html").alias("raw_chars"),
+        F.inline(
+            F.array(
+                F.struct(F.lit("main").alias("backend"), H.main_text(F.col("html")).alias("content")),
+                F.struct(F.lit("strip").alias("backend"), H.strip_text(F.col("html")).alias("content")),
+            )
+        ),
+    )
+    scored = E.read_quality(rows, "content", "title", "snippet", SYN, "raw_chars")
+    scored = E.read_candidate_score(scored, "content", "title", "snippet", SYN)
+    best = E.best_read(scored, "page_id", "backend")
+    return best.select("page_id", "backend", F.round("final_score", 5).alias("final_score"), "clean_chars")
+
+
+@query(
+    "best_candidate",
+    """WITH c AS (SELECT l_orderkey, l_linenumber, round(1.0 - l_discount * 6.0 + l_tax, 6) AS final_score, l_quantity FROM lineitem)
+       SELECT l_orderkey, l_linenumber AS backend, final_score, CAST(l_quantity AS BIGINT) AS clean_chars FROM c WHERE final_score > 0
+       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY final_score DESC, least(l_quantity, 12000) DESC, l_linenumber DESC) = 1""",
+)
+def best_candidate(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        F.col("l_linenumber").alias("backend"),
+        F.round(1.0 - F.col("l_discount") * 6.0 + F.col("l_tax"), 6).alias("final_score"),
+        F.lit(0.0).alias("purity"),
+        F.col("l_quantity").cast("long").alias("clean_chars"),
+    )
+    return E.best_read(rows, "l_orderkey", "backend").drop("purity")
+
+
+@query(
+    "read_cascade",
+    """SELECT l_orderkey, l_linenumber AS priority, l_extendedprice AS score FROM lineitem WHERE l_quantity >= 20 AND l_returnflag <> 'N'
+       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1""",
+)
+def read_cascade(spark, sf):
+    """First acceptable backend in preference order."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("priority"), F.col("l_extendedprice").alias("score"), "l_quantity", "l_returnflag"
+    )
+    ok = (F.col("l_quantity") >= 20) & (F.col("l_returnflag") != "N")
+    return E.first_acceptable(rows, "l_orderkey", "priority", ok, ["score"])
+
+
+@query(
+    "read_target",
+    f"""WITH {_EVID}, r AS (SELECT item_id, source, rank FROM ev WHERE source LIKE 'http%'),
+      seen AS (SELECT DISTINCT 'https://' || source || '.example.org/' || lang AS source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+      SELECT item_id, source, rank AS place FROM r WHERE source NOT IN (SELECT source FROM seen) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank) = 1""",
+)
+def read_target(spark, sf):
+    """Best unread address per question; addresses of toxic documents count as read."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").filter("toxic = 1"), "doc_id", "left_semi")
+    seen = docs.select(F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang").alias("source")).distinct()
+    open_ = _evidence(spark, sf).filter(F.startswith("source", F.lit("http"))).select("item_id", "source", "place")
+    unread = open_.join(seen, "source", "left_anti")
+    return unread.groupBy("item_id").agg(F.min_by("source", "place").alias("source"), F.min("place").alias("place"))
