@@ -22,7 +22,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def clamp01(col: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col))
+    # greatest and least skip NULL, so a missing score must stay missing here
+    return F.when(col.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), col)))
 
 
 def nearest(vectors: DataFrame, vec_id: str, embedding: str, query: list[float], k: int) -> DataFrame:

@@ -125,7 +125,7 @@ def entity_counts(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("sample_id", "role")
         .pivot("type", ["structured", "domain_abbrev", "keyphrase"])
-        .agg(F.count("*"))
+        .agg(F.count("token"))
         .na.fill(0)
         .withColumn("total", F.col("structured") + F.col("domain_abbrev") + F.col("keyphrase"))
     )

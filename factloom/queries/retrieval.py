@@ -239,7 +239,7 @@ _HYBRID = f"""{RERANK}, {_CENTROIDS}, dn AS (SELECT b.item_id, vec_id AS chunk_i
   dtop AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 80),
   mx AS (SELECT item_id, CASE WHEN max(rerank_score) <= 0 THEN 5.0 ELSE max(rerank_score) END AS m FROM rr GROUP BY 1),
   sp AS (SELECT item_id, chunk_id, rerank_score, greatest(0.0, least(1.0, rerank_score / greatest(m, 1.0))) AS sparse_norm FROM rr JOIN mx USING (item_id)),
-  mg AS (SELECT item_id, chunk_id, sparse_norm, greatest(0.0, least(1.0, dtop.score)) AS dense_norm FROM sp FULL OUTER JOIN dtop USING (item_id, chunk_id)),
+  mg AS (SELECT item_id, chunk_id, sparse_norm, CASE WHEN dtop.score IS NOT NULL THEN greatest(0.0, least(1.0, dtop.score)) END AS dense_norm FROM sp FULL OUTER JOIN dtop USING (item_id, chunk_id)),
   merged AS (SELECT *, 0.65 * coalesce(dense_norm, 0.0) + 0.35 * coalesce(sparse_norm, 0.0) AS hybrid_score FROM mg WHERE sparse_norm IS NOT NULL OR dense_norm >= 0.3)"""
 
 

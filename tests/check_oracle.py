@@ -54,8 +54,9 @@ def check(spark, con, sf_dir: str, name: str, plan, sql: str | None) -> tuple[st
         return f"COLUMNS {sorted(df.columns)} vs {sorted(columns)}", took, sql_took, len(got)
     if got == want:
         return "ok", took, sql_took, len(got)
-    only_got = [r for r in got if r not in set(want)][:2]
-    only_want = [r for r in want if r not in set(got)][:2]
+    got_set, want_set = set(got), set(want)
+    only_got = [r for r in got if r not in want_set][:2]
+    only_want = [r for r in want if r not in got_set][:2]
     return f"DIFF {len(got)} vs {len(want)}\n   spark {only_got}\n   sql   {only_want}", took, sql_took, len(got)
 
 
