@@ -104,8 +104,8 @@ EVAL_COLUMNS = """
   'P' || CAST(l_partkey AS STRING) AS sample_id,
   l_orderkey * 10 + l_linenumber AS position,
   CAST(l_quantity AS DOUBLE) / 50.0 AS final_score,
-  1.0 - CAST(l_discount AS DOUBLE) * 6.0 AS semantic,
-  CAST(l_tax AS DOUBLE) * 8.0 AS claim,
+  1.0 - CAST(l_discount AS DOUBLE) * 6.0123457 AS semantic,
+  CAST(l_tax AS DOUBLE) * 8.0071193 AS claim,
   CAST(l_suppkey % 11 AS DOUBLE) / 10.0 AS entity,
   CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_orderkey % 21 AS DOUBLE) / 20.0 END AS coverage,
   CASE WHEN l_linenumber <= 2 THEN NULL ELSE CAST(l_partkey % 17 AS DOUBLE) / 16.0 END AS required_coverage,
@@ -130,20 +130,20 @@ EVALS = f"evals AS (SELECT {EVAL_COLUMNS} FROM lineitem)"
 
 
 def evals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").selectExpr(*[c for c in _split(EVAL_COLUMNS)])
+    rows = table(spark, sf, "lineitem").selectExpr(*_split(EVAL_COLUMNS))
     as_list = lambda c: F.array_compact(F.array(c))
     return rows.withColumn("errors", as_list("error_text")).withColumn("judge_error_list", as_list("judge_error_text"))
 
 
 def _split(block: str) -> list[str]:
-    """Select list -> one expression per column (every column ends a line)."""
+    """Select list -> one expression per column (a column ends with its line)."""
     out, part = [], ""
     for line in block.strip().splitlines():
-        part += " " + line.strip()
-        if part.rstrip().endswith(",") or line is block.strip().splitlines()[-1]:
-            out.append(part.strip().rstrip(","))
+        part = f"{part} {line.strip()}"
+        if part.endswith(","):
+            out.append(part.rstrip(","))
             part = ""
-    return out
+    return [*out, part] if part else out
 
 
 # --- event log: a sample is one user's day, a step is one event ------------

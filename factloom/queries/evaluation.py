@@ -253,10 +253,10 @@ def judge_parse(spark, sf):
     "weighted_final_score",
     f"""WITH {EVALS}, w AS (SELECT position, core_contradicted, (CASE WHEN judge_enabled THEN 0.45 ELSE 0.0 END + CASE WHEN coverage IS NULL THEN 0.0 ELSE 0.25 END + 0.30) AS tw,
         (CASE WHEN judge_enabled THEN 0.45 * judge_score ELSE 0.0 END + 0.25 * coalesce(coverage, 0.0) + 0.20 * semantic + 0.05 * claim + 0.05 * entity) AS s FROM evals)
-      SELECT position, round(CASE WHEN core_contradicted THEN least(s / tw, 0.45) ELSE s / tw END, 5) AS final_score FROM w""",
+      SELECT position, round(CASE WHEN core_contradicted THEN least(s / tw, 0.45) ELSE s / tw END, 6) AS final_score FROM w""",
 )
 def weighted_final_score(spark, sf):
-    return evals(spark, sf).select("position", F.round(S.final_score(), 5).alias("final_score"))
+    return evals(spark, sf).select("position", S.final_score().alias("final_score"))
 
 
 _CORRECT = """(NOT core_contradicted AND point_errors = 0 AND (coverage IS NULL OR coverage >= 0.80) AND (required_coverage IS NULL OR (required_coverage >= 0.80 AND core_hit))
