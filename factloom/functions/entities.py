@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicons import DEFAULT, TOKEN_ALIASES, Lexicons
-from .text import CJK, nfkc
+from .text import CJK, let, nfkc
 
 # fixed values: entity shapes
 COMPONENT = (
@@ -36,20 +36,32 @@ def fold(text: Column, normalise: bool = True) -> Column:
     return base
 
 
+# texts without any of these have nothing to fold
+_FOLDABLE = "[" + CJK + "ΩωμΜ]|mosfet|MOSFET"
+
+
 def normal(folded: Column) -> Column:
     """Comparison form of folded text: aliases applied, separators dropped."""
-    out = folded
-    for source, target in TOKEN_ALIASES.items():
-        out = F.replace(out, F.lit(source), F.lit(target))
-        if source.upper() != source:
-            out = F.replace(out, F.lit(source.upper()), F.lit(target))
-    return F.lower(F.regexp_replace(out, KEPT, ""))
+
+    def aliased(text: Column) -> Column:
+        out = text
+        for source, target in TOKEN_ALIASES.items():
+            out = F.replace(out, F.lit(source), F.lit(target))
+            if source.upper() != source:
+                out = F.replace(out, F.lit(source.upper()), F.lit(target))
+        return out
+
+    foldable = F.rlike(folded, F.lit(_FOLDABLE))
+    return F.lower(F.regexp_replace(F.when(foldable, aliased(folded)).otherwise(folded), KEPT, ""))
 
 
 def normal_token(folded: Column) -> Column:
-    token = normal(folded)
+    """Comparison form of one token."""
     table = F.create_map(*[F.lit(x) for pair in TOKEN_ALIASES.items() for x in pair])
-    return F.coalesce(F.element_at(table, token), token)
+    return let(
+        normal(folded),
+        lambda t: F.when(F.rlike(t, F.lit(_FOLDABLE)), F.coalesce(F.element_at(table, t), t)).otherwise(t),
+    )
 
 
 def _full(token: Column, pattern: str) -> Column:
@@ -113,27 +125,35 @@ def phrases(text: Column, lex: Lexicons = DEFAULT) -> Column:
 def candidates(folded: Column, lex: Lexicons = DEFAULT) -> Column:
     """Distinct normal tokens of a folded text."""
     shaped = F.concat(*[F.regexp_extract_all(folded, F.lit(p), F.lit(0)) for p in (COMPONENT, MODEL, QUANTITY)])
-    english = F.filter(
-        F.regexp_extract_all(folded, F.lit(ENGLISH), F.lit(0)), lambda w: abbreviation(w, normal_token(w), lex)
+    words = F.transform(
+        F.regexp_extract_all(folded, F.lit(ENGLISH), F.lit(0)),
+        lambda w: F.struct(w.alias("raw"), normal_token(w).alias("token")),
     )
-    every = F.transform(F.concat(shaped, english, phrases(folded, lex)), normal_token)
+    english = F.transform(
+        F.filter(words, lambda w: abbreviation(w["raw"], w["token"], lex)), lambda w: w["token"]
+    )
+    every = F.concat(F.transform(F.concat(shaped, phrases(folded, lex)), normal_token), english)
     return F.array_distinct(F.filter(every, lambda t: ~low_value(t, lex)))
 
 
 def typed(tokens: Column, lex: Lexicons = DEFAULT) -> Column:
     """``array<struct<token,type,weight>>``, heaviest first, capped per type."""
-    named = F.transform(tokens, lambda t: F.struct(t.alias("token"), kind(t, lex).alias("type")))
-    weighed = F.transform(
-        named,
-        lambda s: F.struct((-base_weight(s["token"], s["type"])).alias("neg"), s["type"].alias("type"), s["token"].alias("token")),
-    )
-    ordered = F.array_sort(weighed)
 
-    def of_type(name: str, cap: int) -> Column:
-        return F.slice(F.filter(ordered, lambda s: s["type"] == name), 1, cap)
+    def weigh(token: Column) -> Column:
+        return let(
+            kind(token, lex),
+            lambda k: F.struct((-base_weight(token, k)).alias("neg"), k.alias("type"), token.alias("token")),
+        )
+
+    def capped(ordered: Column) -> Column:
+        def of_type(name: str, cap: int) -> Column:
+            return F.slice(F.filter(ordered, lambda s: s["type"] == name), 1, cap)
+
+        few = F.size(ordered) <= min(CAPS.values())
+        return F.when(few, ordered).otherwise(F.array_sort(F.concat(*[of_type(n, c) for n, c in CAPS.items()])))
 
     return F.transform(
-        F.array_sort(F.concat(*[of_type(name, cap) for name, cap in CAPS.items()])),
+        let(F.array_sort(F.transform(tokens, weigh)), capped),
         lambda s: F.struct(s["token"].alias("token"), s["type"].alias("type"), (-s["neg"]).alias("weight")),
     )
 

@@ -146,9 +146,11 @@ def clean_claim(col: Column) -> Column:
 
 
 def informative(claim: Column, lex: Lexicons = DEFAULT) -> Column:
-    size = F.length(E.normal(claim))
     worded = F.rlike(claim, F.lit(f"{CLAIM_RELATION}|{CLAIM_NEGATION}"))
-    return (size >= 4) & ((size >= 16) | ((size >= 10) & worded) | (F.size(E.candidates(claim, lex)) > 0))
+    return T.let(
+        F.length(E.normal(claim)),
+        lambda size: (size >= 4) & ((size >= 16) | ((size >= 10) & worded) | (F.size(E.candidates(claim, lex)) > 0)),
+    )
 
 
 def _soft_parts(claim: Column) -> Column:
@@ -164,11 +166,14 @@ def _soft_parts(claim: Column) -> Column:
             F.length(E.normal(piece)) < 10, F.struct(acc["done"].alias("done"), piece.alias("open"))
         ).otherwise(F.struct(F.concat(acc["done"], F.array(piece)).alias("done"), F.lit("").alias("open")))
 
-    merged = F.aggregate(
-        parts, start, step,
-        lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))),
-    )
-    return F.when((F.length(E.normal(claim)) <= 38) | (F.size(parts) <= 1), F.array(claim)).otherwise(merged)
+    def merged(pieces: Column) -> Column:
+        return F.aggregate(
+            pieces, start, step,
+            lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))),
+        )
+
+    cut = T.let(parts, lambda p: F.when(F.size(p) <= 1, F.array(claim)).otherwise(merged(p)))
+    return F.when(F.length(E.normal(claim)) <= 38, F.array(claim)).otherwise(cut)
 
 
 def claims(folded: Column, limit: int = 12, lex: Lexicons = DEFAULT) -> Column:
@@ -180,46 +185,57 @@ def claims(folded: Column, limit: int = 12, lex: Lexicons = DEFAULT) -> Column:
 
 def claim_tokens(claim: Column, lex: Lexicons = DEFAULT) -> Column:
     words = F.transform(E.entities(claim, lex), lambda e: e["token"])
-    text = E.normal(claim)
-    pairs = F.when(F.length(text) == 1, F.array(text)).otherwise(K.bigrams(text))
+    pairs = T.let(E.normal(claim), lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(K.bigrams(t)))
     return F.array_distinct(F.concat(words, pairs))
 
 
 def claim_weight(claim: Column, lex: Lexicons = DEFAULT) -> Column:
-    size = F.length(E.normal(claim))
-    found = E.entities(claim, lex)
-    heavy = F.aggregate(found, F.lit(0.0), lambda acc, e: acc + F.when(e["weight"] >= 2.0, e["weight"]).otherwise(0.0))
     relations = F.regexp_count(claim, F.lit(CLAIM_RELATION))
-    raw = (
-        1.0
-        + F.least(heavy / 10.0, F.lit(0.55))
-        + F.least(relations * 0.08, F.lit(0.25))
-        + F.when(F.rlike(claim, F.lit(CLAIM_NEGATION)), 0.15).otherwise(0.0)
-        + F.when(F.rlike(claim, F.lit("[0-9]")), 0.12).otherwise(0.0)
-        + F.least(size / 80.0, F.lit(0.35))
-    )
-    thin = (F.size(found) == 0) & (size < 12)
-    return F.greatest(F.lit(0.6), F.least(raw * F.when(thin, 0.75).otherwise(1.0), F.lit(2.0)))
-
-
-def lcs_length(a: list, b: list) -> int:
-    """Longest common subsequence, one row of the table at a time."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return row[-1]
+
+    def weigh(m: Column) -> Column:
+        found, size = m["found"], m["size"]
+        heavy = F.aggregate(
+            found, F.lit(0.0), lambda acc, e: acc + F.when(e["weight"] >= 2.0, e["weight"]).otherwise(0.0)
+        )
+        raw = (
+            1.0
+            + F.least(heavy / 10.0, F.lit(0.55))
+            + F.least(relations * 0.08, F.lit(0.25))
+            + F.when(F.rlike(claim, F.lit(CLAIM_NEGATION)), 0.15).otherwise(0.0)
+            + F.when(F.rlike(claim, F.lit("[0-9]")), 0.12).otherwise(0.0)
+            + F.least(size / 80.0, F.lit(0.35))
+        )
+        thin = (F.size(found) == 0) & (size < 12)
+        return F.greatest(F.lit(0.6), F.least(raw * F.when(thin, 0.75).otherwise(1.0), F.lit(2.0)))
+
+    measured = F.struct(E.entities(claim, lex).alias("found"), F.length(E.normal(claim)).alias("size"))
+    return T.let(measured, weigh)
+
+
+def lcs_lengths(ref: list, preds: list[list]) -> list[float]:
+    """Longest common subsequence of one token list with several others.
+
+    One integer holds a whole row of the usual table, a bit per position, so a
+    token costs a few integer operations instead of a loop over the other list.
+    """
+    out = []
+    for pred in preds:
+        where: dict = {}
+        for i, token in enumerate(pred):
+            where[token] = where.get(token, 0) | (1 << i)
+        full = (1 << len(pred)) - 1
+        row = full
+        for token in ref:
+            hit = row & where.get(token, 0)
+            row = ((row + hit) | (row - hit)) & full
+        out.append(float(len(pred) - row.bit_count()))
+    return out
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _lcs_rows(ref: pd.Series, pred: pd.Series) -> pd.Series:
     """LCS of one reference claim with every prediction claim of its sample."""
-    return pd.Series(
-        [[float(lcs_length(list(r), list(p))) for p in (ps if ps is not None else [])] for r, ps in zip(ref, pred)]
-    )
+    return pd.Series([lcs_lengths(list(r), [list(p) for p in ps]) for r, ps in zip(ref, pred)])
 
 
 def claim_rouge(pairs: DataFrame, beta: float = 1.5, limit: int = 12, lex: Lexicons = DEFAULT, normalise: bool = True) -> DataFrame:
@@ -294,8 +310,12 @@ def _strength(found: Column) -> Column:
 
 
 def _grams_shared(a: Column, b: Column) -> Column:
-    own = F.array_distinct(K.bigrams(a))
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, K.bigrams(b))) / F.size(own))
+    return T.let(
+        F.array_distinct(K.bigrams(a)),
+        lambda own: F.when(F.size(own) == 0, F.lit(0.0)).otherwise(
+            F.size(F.array_intersect(own, K.bigrams(b))) / F.size(own)
+        ),
+    )
 
 
 def scoring_points(refs: DataFrame, limit: int = 12, lex: Lexicons = DEFAULT, normalise: bool = True) -> DataFrame:

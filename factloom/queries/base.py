@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, WS_CHARS
 from ..lexicons import DEFAULT
+from ..session import spread
 
 # Lists with terms that occur in the given tables, for the queries below.
 SYN = replace(
@@ -49,8 +50,13 @@ SYN = replace(
 )
 
 
+# text tables, whose rows are expensive to work on, with their keys
+_TEXT = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    data = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(data, _TEXT[name]) if name in _TEXT else data
 
 
 # --- chunks: every document as one chunk of the knowledge base ------------
@@ -88,13 +94,14 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
     turns = table(spark, sf, "conversations")
     answers = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prediction"))
-    return (
+    paired = (
         assemble(turns, "conv_id", "turn", "role", "text")
         .join(answers, "conv_id", "left")
         .select(
             F.col("conv_id").alias("sample_id"), "question", "reference", F.coalesce("prediction", F.lit("")).alias("prediction")
         )
     )
+    return spread(paired, "sample_id", scan=False)
 
 
 # --- evaluation rows: one per order line, the return flag names the run ----

@@ -23,6 +23,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def spread(df: DataFrame, *keys: str, scan: bool = True) -> DataFrame:
+    """Give heavy per-row work one partition per core.
+
+    A scan that is already split into enough tasks is left alone, so large
+    inputs are never shuffled for this; a few big files, or the small result of
+    a shuffle that adaptive execution would pack into one task, are dealt out
+    by key.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if scan and df.rdd.getNumPartitions() >= cores:
+        return df
+    if not scan:
+        cores = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(cores, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``.
 
