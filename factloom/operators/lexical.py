@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..lexicons import DEFAULT, QUERY_EXPANSIONS, Lexicons
+from ..session import cut_lineage
 from . import cleaning as C
 from .ordered import top_k
 
@@ -131,15 +132,46 @@ def _search_text(title: str, url: str, body: str) -> Column:
     return F.lower(F.concat_ws(" \n ", F.col(title), F.col(url), F.col(body)))
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text") -> DataFrame:
-    text = _search_text(title, url, body)
-    phrases = F.flatten(
-        F.array(*[F.array_repeat(F.lit(p), T.occurrences(F.col("_text"), p)) for p in PHRASES])
+def _run_lengths(words: Column) -> Column:
+    """``array<struct<token,n>>``: sort, keep the start of every run, and take
+    the distance to the next start."""
+
+    def starts(ordered: Column) -> Column:
+        back = F.concat(F.array(F.lit(None).cast("string")), ordered)
+        placed = F.transform(ordered, lambda x, i: F.struct(x.alias("t"), i.alias("i")))
+        marked = F.zip_with(
+            placed, back, lambda x, b: F.struct(x["t"].alias("t"), x["i"].alias("i"), x["t"].eqNullSafe(b).alias("same"))
+        )
+        return F.filter(marked, lambda m: m["t"].isNotNull() & ~m["same"])
+
+    def runs(heads: Column, total: Column) -> Column:
+        following = F.slice(heads, F.lit(2), F.greatest(F.size(heads), F.lit(1)))
+        ends = F.concat(F.transform(following, lambda m: m["i"]), F.array(total))
+        return F.zip_with(
+            heads, ends, lambda m, end: F.struct(m["t"].alias("token"), (end - m["i"]).cast("long").alias("n"))
+        )
+
+    return T.let(
+        F.array_sort(words),
+        lambda o: F.when(F.size(o) == 0, F.array().cast("array<struct<token:string,n:bigint>>")).otherwise(
+            T.let(starts(o), lambda h: runs(h, F.size(o)))
+        ),
     )
-    staged = chunks.select(F.col(chunk_id).alias("chunk_id"), text.alias("_text"))
+
+
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text") -> DataFrame:
+    """(chunk_id, token, n).  A chunk is one row, so its tokens are counted
+    inside the row and nothing is shuffled.
+
+    Multi-word expansion terms, a fixed list, are indexed like tokens.
+    """
+    staged = chunks.select(F.col(chunk_id).alias("chunk_id"), _search_text(title, url, body).alias("_text"))
     words = F.filter(F.split(F.col("_text"), f"{T.WS}+"), lambda t: F.length(t) >= 3)
-    counted = staged.select("chunk_id", F.explode(F.concat(words, phrases)).alias("token"))
-    return counted.groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
+    present = F.filter(F.array(*[F.lit(p) for p in PHRASES]), lambda p: F.contains(F.col("_text"), p))
+    phrases = F.transform(
+        present, lambda p: F.struct(p.alias("token"), T.occurrences(F.col("_text"), p).cast("long").alias("n"))
+    )
+    return staged.select("chunk_id", F.inline(F.concat(_run_lengths(words), phrases)))
 
 
 def lengths(chunks: DataFrame, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text") -> DataFrame:
@@ -183,6 +215,8 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, query_id: str, l
         .groupBy("term", "chunk_id")
         .agg(F.sum(F.col("n") * F.col("occ")).alias("tf"))
     )
+    # read twice: for the document frequencies and for the scores
+    tf = cut_lineage(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n_chunks = lens.agg(F.count("*")).scalar()
     idf = F.ln((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..lexicons import DEFAULT, Lexicons
 from ..operators import hybrid
 from ..operators import lexical as L
+from ..session import cut_lineage
+
+
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """Term index of chunks that have no stored one: written once, because every
+    search reads it several times (vocabulary, frequencies, both fallbacks)."""
+    return cut_lineage(L.postings(chunks))
 
 
 def sparse(
@@ -20,7 +27,7 @@ def sparse(
     specific terms with a constant score.
     """
     profiled = L.query_profile(queries, query, lex)
-    posts = L.postings(chunks) if posts is None else posts
+    posts = stored_postings(chunks) if posts is None else posts
     lens = L.lengths(chunks) if lens is None else lens
     found = L.bm25(profiled, posts, lens, query_id, limit)
     unmatched = profiled.join(found.select(query_id).distinct(), query_id, "left_anti")

@@ -92,7 +92,7 @@ BM25 = f"""{CHUNKS}, {PROFILE}, {_TF},
 
 def _bm25(spark, sf, limit):
     base = chunks(spark, sf)
-    return L.bm25(_profiled(spark, sf), L.postings(base), L.lengths(base), "item_id", limit)
+    return L.bm25(_profiled(spark, sf), R.stored_postings(base), L.lengths(base), "item_id", limit)
 
 
 @query(
@@ -111,7 +111,7 @@ def bm25_topk(spark, sf):
       QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) <= 80""",
 )
 def like_fallback(spark, sf):
-    found = L.like_search(_profiled(spark, sf), L.postings(chunks(spark, sf)), "item_id")
+    found = L.like_search(_profiled(spark, sf), R.stored_postings(chunks(spark, sf)), "item_id")
     return found.select("item_id", "chunk_id", "rank", F.col("bm25_score").alias("score"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,17 +41,23 @@ def spread(df: DataFrame, *keys: str, scan: bool = True) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in
+    ``spark.checkpoint.dir``.  Only a session that names none (tests, a single
+    machine) gets a scratch folder of its own, kept for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that names none (tests, a single machine) gets a scratch folder.
+    Lost executors then repeat a scan, not the work before it, and the planner
+    sees real sizes and single columns.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="factloom-ckpt-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
