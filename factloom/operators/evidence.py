@@ -462,3 +462,61 @@ def answer_context(df: DataFrame, group: str, lex: Lexicons = DEFAULT, limit: in
             F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda s: s["entry"]), "\n\n"
         ).alias("context")
     )
+
+
+# fixed values: designators, part numbers, pins and value notations
+_REFDES = r"(?i)[RCLDQUV][0-9]+[A-Z0-9]*"
+_PART = r"(?i)[A-Z]{1,3}[0-9]{2,6}[A-Z]?[0-9]*[A-Z]*"
+_PIN = r"(?i)(?:PIN|GPIO|引脚|第)\s*[0-9]+"
+_NOT_PARTS = ("3V3", "5V", "12V", "24V", "220V", "311V", "0V", "1V", "2V", "10V", "15V", "30V")
+
+
+def sanitise_answer(df: DataFrame, answer: str, question: str, context: str, out: str) -> DataFrame:
+    """Take designators and part numbers out of an answer that neither the
+    question nor the evidence mentions."""
+
+    def found(text: Column, pattern: str) -> Column:
+        return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.upper))
+
+    both = F.concat_ws(" ", question, context)
+    known = F.concat(*[found(both, p) for p in (_REFDES, _PART, _PIN)])
+    staged = df.withColumn("_known", known)
+    stray_refs = F.array_except(found(F.col(answer), _REFDES), F.col("_known"))
+
+    def drop_ref(text: Column, ref: Column) -> Column:
+        value = F.regexp_replace(text, F.concat(F.lit("(?i)"), ref, F.lit(r"\s*[=≈]\s*[0-9]+(?:\.[0-9]+)?\s*[A-Za-zΩμ]+")), F.lit(""))
+        listed = F.regexp_replace(value, F.concat(F.lit(r"(?i)(?:,\s*|和\s*|、\s*)?"), ref), F.lit(""))
+        return listed
+
+    def drop_part(text: Column, part: Column) -> Column:
+        noted = F.regexp_replace(text, F.concat(F.lit("(?i)"), part, F.lit(r"\s*[（(].*?[）)]")), F.lit(""))
+        named = F.regexp_replace(noted, F.concat(F.lit(r"(?i)(?:芯片|IC|集成电路|型号)\s*"), part), F.lit(""))
+        return F.regexp_replace(named, F.concat(F.lit("(?i)"), part), F.lit(""))
+
+    staged = staged.withColumn("_clean", F.aggregate(stray_refs, F.col(answer), drop_ref))
+    stray_parts = F.array_except(
+        found(F.col("_clean"), _PART), F.concat("_known", F.array(*[F.lit(x) for x in _NOT_PARTS]))
+    )
+    tidy = T.substitute(
+        F.aggregate(stray_parts, F.col("_clean"), drop_part),
+        ((r"\(\s*\)", ""), (r"[,，]\s*[,，]", ","), (r"\s{2,}", " ")),
+    )
+    return staged.withColumn(out, T.strip(tidy)).drop("_known", "_clean")
+
+
+# fixed values: allowed arguments per tool
+TOOL_ARGS = {
+    "web_search": ("query",), "local_retrieve": ("query", "limit"), "web_read": ("url",),
+    "evidence_rank": ("max_items",), "finish_answer": (),
+}
+
+
+def valid_arguments(tool: Column, args: Column, schema: dict = TOOL_ARGS) -> Column:
+    """Known tool, and every key of its JSON arguments is one of its own."""
+    keys = F.coalesce(F.json_object_keys(args), F.array().cast("array<string>"))
+    out = None
+    for name, allowed in schema.items():
+        own = F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>")
+        ok = F.size(F.array_except(keys, own)) == 0
+        out = F.when(tool == name, ok) if out is None else out.when(tool == name, ok)
+    return out.otherwise(F.lit(False))

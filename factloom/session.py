@@ -41,14 +41,19 @@ def spread(df: DataFrame, *keys: str, scan: bool = True) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in
     ``spark.checkpoint.dir``.  Only a session that names none (tests, a single
     machine) gets a scratch folder of its own, kept for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="factloom-")
+        folder = _SCRATCH[app]
     return folder
 
 
