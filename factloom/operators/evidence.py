@@ -328,7 +328,7 @@ def first_acceptable(df: DataFrame, key: str, priority: str, acceptable: Column,
     return (
         df.filter(acceptable)
         .groupBy(key)
-        .agg(F.min_by(F.struct(priority, *columns), F.col(priority)).alias("_c"))
+        .agg(F.min(F.struct(priority, *columns)).alias("_c"))
         .select(key, "_c.*")
     )
 

@@ -521,7 +521,7 @@ def best_candidate(spark, sf):
 @query(
     "read_cascade",
     """SELECT l_orderkey, l_linenumber AS priority, l_extendedprice AS score FROM lineitem WHERE l_quantity >= 20 AND l_returnflag <> 'N'
-       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1""",
+       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) = 1""",
 )
 def read_cascade(spark, sf):
     """First acceptable backend in preference order."""
