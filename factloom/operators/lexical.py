@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..lexicons import DEFAULT, QUERY_EXPANSIONS, Lexicons
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import cleaning as C
 from .ordered import top_k
 
@@ -195,7 +195,7 @@ def match_vocabulary(terms: DataFrame, posts: DataFrame) -> DataFrame:
     """
     probe = terms.select("term").distinct().filter(F.length("term") >= 3)
     probe = probe.withColumn("gram", F.substring("term", 1, 3))
-    vocabulary = posts.select("token").distinct().withColumn("gram", F.explode(_trigrams(F.col("token"))))
+    vocabulary = spread(posts.select("token").distinct(), "token", scan=False).withColumn("gram", F.explode(_trigrams(F.col("token"))))
     inside = (
         vocabulary.join(probe, "gram")
         .filter(F.contains("token", "term"))

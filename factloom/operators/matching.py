@@ -19,6 +19,7 @@ from ..functions import entities as E
 from ..functions import text as T
 from ..functions import tokens as K
 from ..lexicons import DEFAULT, Lexicons
+from ..session import cut_lineage
 
 
 def f_beta(precision: Column, recall: Column, beta: float) -> Column:
@@ -359,8 +360,9 @@ def scoring_points(refs: DataFrame, limit: int = 12, lex: Lexicons = DEFAULT, no
     at = F.struct("_s", "_c")
     rows = rows.withColumn("_info", info).withColumn("_at", at).filter(F.col("_size") >= 4)
     # the first usable piece is always a candidate, later ones need information
-    opening = rows.groupBy("sample_id").agg(F.min("_at").alias("_first"))
-    named = rows.join(opening, "sample_id").filter((F.col("_info") >= 0.35) | (F.col("_at") == F.col("_first")))
+    # (a sample is one text, so its window holds the sentences of one cell)
+    opening = rows.withColumn("_first", F.min("_at").over(W.partitionBy("sample_id")))
+    named = opening.filter((F.col("_info") >= 0.35) | (F.col("_at") == F.col("_first")))
     cols = [c for c in named.columns if c not in ("sample_id", "_norm", "_first")]
     unique = (
         named.groupBy("sample_id", "_norm")
@@ -399,6 +401,8 @@ def scoring_points(refs: DataFrame, limit: int = 12, lex: Lexicons = DEFAULT, no
         F.transform("_ent", lambda e: e["token"]).alias("aliases"),
         F.round(F.least(F.greatest(F.col("_best.s"), F.lit(0.35)), F.lit(1.0)), 6).alias("confidence"),
     )
+    # matching, coverage and aliases all read the points again
+    points = cut_lineage(points)
     return points.unionByName(_leftover_points(folded, points, limit, lex))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..lexicons import DEFAULT, Lexicons
 from ..operators import hybrid
 from ..operators import lexical as L
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 
 def stored_postings(chunks: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def sparse(
 
 def with_context(hits: DataFrame, profiled: DataFrame, chunks: DataFrame, query_id: str) -> DataFrame:
     """Chunk columns by the few ids that were hit, then the query's profile."""
-    return hits.join(chunks.select("chunk_id", "title", "url", "text"), "chunk_id").join(profiled, query_id)
+    found = hits.join(chunks.select("chunk_id", "title", "url", "text"), "chunk_id").join(profiled, query_id)
+    return spread(found, query_id, "chunk_id", scan=False)
 
 
 def hybrid_search(
