@@ -105,12 +105,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def _rank(value, bounds, n: int):
     """How many of the ``n`` sorted bounds are at or below the value, by halving."""
+
+    def advance(at, step: int):
+        # the lambda names the place so far, so each step's expression holds the one before it only once
+        higher = lambda x: x + F.when((x + step <= n) & (F.get(bounds, x + step - 1) <= value), step).otherwise(0)
+        return F.transform(F.array(at), higher)[0]
+
     at = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        probe = at + step
-        at = at + F.when((probe <= n) & (F.get(bounds, F.least(probe, F.lit(n)) - 1) <= value), step).otherwise(0)
-        step >>= 1
+    for step in (1 << k for k in reversed(range(n.bit_length()))):
+        at = advance(at, step)
     return at
 
 
