@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import fingerprints, mixing
+from . import fingerprints, mixing, packing
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,9 +19,14 @@ def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(_docs(spark, sf))
 
 
+def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
+    "op10_pack": op10_pack,
 }
 
 # The dealt operators hash, learn or tokenize, which SQL cannot say the same way; tests/llm holds them against brute force.
