@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing
+from . import fingerprints, mixing, packing, secrets, toxicity
+from . import quality as quality_model
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
 def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.document_shares(_docs(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -19,6 +24,18 @@ def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(_docs(spark, sf))
 
 
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf))
+
+
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.quality(_docs(spark, sf), _labels(spark, sf))
+
+
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(_docs(spark, sf), _labels(spark, sf))
+
+
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_docs(spark, sf))
 
@@ -26,6 +43,9 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
+    "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
+    "op8_toxicity": op8_toxicity,
     "op10_pack": op10_pack,
 }
 
