@@ -50,6 +50,7 @@ FORCED_GAP = 256
 FORCED_STEP = 128
 SMALLEST_POWER = 256
 CACHE_WORDS = 400_000
+RUN_WORDS = 500
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -76,24 +77,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.bare: dict[str, bytes] = {}
         self.space = re.compile(r"[\t\n\r]")
         ids = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(max(ids.values()) + 1, bool)
+        self.word_end = np.zeros(len(self.sentence_end), bool)
         for token, i in ids.items():
-            self.sentence_end[i] = token.endswith("</w>") and token.removesuffix("</w>")[-1:] in (".", "!", "?")
+            self.word_end[i] = token.endswith("</w>")
+            self.sentence_end[i] = self.word_end[i] and token.removesuffix("</w>")[-1:] in (".", "!", "?")
         self.marks = {m: self._ids([m])[0] for m in ".,"}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _run(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, which are encoded in one go: each ends with its only id that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self._ids(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def _learn(self, words: set[str]) -> None:
         plain = {w: w[:-1] for w in words if w[-1] in self.marks and w[:-1].isalpha()}
-        lower = {w: b.lower() for w in words if (b := plain.get(w, w)).isascii() and b.isalpha()}
-        bare = {w: lower.get(w, plain.get(w, w)) for w in words}
-        new = list(set(bare.values()) - self.known.keys())
-        self.known.update(zip(new, self._ids(new), strict=True))
+        bare = {w: b.lower() if (b := plain.get(w, w)).isascii() and b.isalpha() else b for w in words}
+        if len(self.bare) > CACHE_WORDS:
+            self.bare = {}
+        new = set(bare.values()) - self.bare.keys()
+        letters = [b for b in new if b.isalpha() and max(b) <= "\u00ff"]
+        for at in range(0, len(letters), RUN_WORDS):
+            run = letters[at : at + RUN_WORDS]
+            self.bare.update(zip(run, self._run(run), strict=True))
+        others = list(new.difference(letters))
+        self.bare.update(zip(others, self._ids(others), strict=True))
         for w, b in bare.items():
-            self.known[w] = self.known[b] + (self.marks[w[-1]] if w in plain else b"")
+            self.known[w] = self.bare[b] + self.marks[w[-1]] if w in plain else self.bare[b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [self.space.sub(" ", t or "").split(" ") for t in texts]
