@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, secrets, toxicity
+from . import fingerprints, mixing, neighbours, packing, personal, secrets, toxicity
 from . import quality as quality_model
 
 
@@ -32,6 +32,14 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.quality(_docs(spark, sf), _labels(spark, sf))
 
 
+def op5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.scan(_docs(spark, sf))
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf), _labels(spark, sf))
 
@@ -45,6 +53,8 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_neighbours": op5_neighbours,
+    "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op10_pack": op10_pack,
 }

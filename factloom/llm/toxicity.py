@@ -4,7 +4,7 @@ A text's score is a bias, a weight for each of its terms, and for each pair of
 its terms the product of their factor vectors: so an insult together with the
 mention of a group counts for more than both alone, which additive weights cannot
 say.  Terms are the distinct lower-case words without marks at their ends, and
-their first five bytes, weighted by the inverse of their frequency in the
+the first four and five letters of longer ones (compounds and inflections), weighted by the inverse of their frequency in the
 training rows.  Pairs cost no more than terms, because
 
     sum over pairs of v_a . v_b  =  (|sum v|^2 - sum |v|^2) / 2.
@@ -38,8 +38,12 @@ TERM_BITS = 18
 FACTORS = 4
 ROUNDS = 12
 BATCH = 64
-RATE = 0.1
-DECAY = 2e-4
+HEADS = (4, 5)
+RATE = 0.2
+PAIR_RATE = 0.08
+DECAY = 0.05
+LEAST_ROWS = 40
+SCALE = 0.3
 ACCEPT = 0.5
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 
@@ -48,7 +52,8 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term numbers of all texts in text order, and their n + 1 offsets."""
     bare = [_MARKS.sub(b" ", (t or "").encode("utf-8", "surrogatepass")).decode("utf-8", "surrogatepass") for t in texts]
     keys = []
-    for salt, forms in ((0, bare), (1, [" ".join({w[:5] for w in t.lower().split() if len(w) > 5}) for t in bare])):
+    heads = [[" ".join({w[:n] for w in t.lower().split() if len(w) > n}) for t in bare] for n in HEADS]
+    for salt, forms in enumerate((bare, *heads)):
         words, offsets = word_hashes(forms)
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
         keys.append((doc << TERM_BITS) | (mix(words + np.uint64(salt)) >> np.uint64(64 - TERM_BITS)).astype(np.int64))
@@ -74,11 +79,9 @@ class Machine(NamedTuple):
             return out
         at = offsets[:-1][full]
         x = self.presence[ids]
-        size = np.sqrt(np.add.reduceat(x * x, at))
         v = self.factors[ids] * x[:, None]
-        linear = np.add.reduceat(self.weights[ids] * x, at) / size
-        pairs = ((np.add.reduceat(v, at) ** 2).sum(1) - np.add.reduceat((v * v).sum(1), at)) / (2 * size**2)
-        out[full] += linear + pairs
+        pairs = ((np.add.reduceat(v, at) ** 2).sum(1) - np.add.reduceat((v * v).sum(1), at)) / 2
+        out[full] += np.add.reduceat(self.weights[ids] * x, at) + pairs
         return out
 
     def probabilities(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -89,12 +92,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share_of_ones: float, roun
     """Fit on four fifths, and the curve to probabilities on the rest."""
     n = 1 << TERM_BITS
     draw = np.random.default_rng(seed)
-    counts = np.ones(n)
+    counts = np.zeros(n)
     for ids in rows:
         counts[ids] += 1
-    presence = np.log((len(rows) + 2) / counts)
+    # a term of very few training rows says nothing but which rows those are
+    presence = np.where(counts >= LEAST_ROWS, SCALE * np.log((len(rows) + 2) / np.maximum(counts, 1)), 0.0)
     bias, weights = 0.0, np.zeros(n)
-    factors = draw.normal(0, 0.05, (n, FACTORS))
+    factors = draw.normal(0, 0.01, (n, FACTORS))
     if len(set(labels.tolist())) < 2:
         p = min(max(share_of_ones, 0.01), 0.99)
         return Machine(float(np.log(p / (1 - p))), weights, 0 * factors, presence)
@@ -113,8 +117,6 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share_of_ones: float, roun
                 continue
             doc = np.repeat(np.arange(len(own)), lengths)
             x = presence[ids]
-            size = np.sqrt(np.maximum(np.bincount(doc, x * x, len(own)), 1e-12))
-            x = x / size[doc]
             v = factors[ids] * x[:, None]
             total = np.stack([np.bincount(doc, v[:, f], len(own)) for f in range(FACTORS)], axis=1)
             pairs = ((total**2).sum(1) - np.bincount(doc, (v * v).sum(1), len(own))) / 2
@@ -129,7 +131,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share_of_ones: float, roun
             past_v[terms_] += grad_v**2
             past_b += error.sum() ** 2
             weights[terms_] -= RATE * grad_w / np.sqrt(past_w[terms_])
-            factors[terms_] -= RATE * grad_v / np.sqrt(past_v[terms_])
+            factors[terms_] -= PAIR_RATE * grad_v / np.sqrt(past_v[terms_])
             bias -= RATE * error.sum() / np.sqrt(past_b)
     model = Machine(float(bias), weights, factors, presence)
     seen = np.flatnonzero(aside) if aside.any() else fitted
