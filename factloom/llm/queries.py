@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, neighbours, packing, personal, secrets, toxicity
+from . import fingerprints, jaccard, mixing, neighbours, packing, personal, secrets, toxicity
 from . import quality as quality_model
 
 
@@ -36,6 +36,10 @@ def op5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(_docs(spark, sf))
+
+
 def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal.scan(_docs(spark, sf))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_neighbours": op5_neighbours,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op10_pack": op10_pack,
