@@ -19,12 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     changes nothing.
     """
     now = cut_lineage(_directed(edges))
+    before = _digest(now)
     while True:
         low = _attach(now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a")), larger_only=True)
         after = cut_lineage(_attach(low.select(F.col("a").alias("node"), F.col("b").alias("other")), larger_only=False))
-        if _digest(after) == _digest(now):
+        found = _digest(after)
+        if found == before:
             break
-        now = after
+        now, before = after, found
     members = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("node")).distinct().join(members.select("node"), "node", "left_anti")
     return members.union(roots.select("node", F.col("node").alias("component")))

@@ -284,7 +284,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     # every class of a block is tied to the block's smallest; blocks of one class say nothing
     least = F.min("class").over(Window.partitionBy("block"))
     most = F.max("class").over(Window.partitionBy("block"))
-    blocks = keyed.withColumn("least", least).where(most > F.col("least")).select("block", "class", "least").distinct()
+    blocks = keyed.withColumn("least", least).withColumn("most", most).where("most > least").select("block", "class", "least").distinct()
     blocks = cut_lineage(blocks)
     families = cut_lineage(components(blocks.select(F.col("class").alias("a"), F.col("least").alias("b"))))
     found = _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)

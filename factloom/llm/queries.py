@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, neighbours, packing, personal, secrets, toxicity
+from . import fingerprints, jaccard, mixing, neighbours, packing, personal, repeats, secrets, toxicity
 from . import quality as quality_model
 
 
@@ -48,6 +48,10 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf), _labels(spark, sf))
 
 
+def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.removed(_docs(spark, sf))
+
+
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_docs(spark, sf))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
     "op10_pack": op10_pack,
 }
 
