@@ -340,3 +340,19 @@ def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
         return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype="int64")
 
     return cut_lineage(texts.groupBy("task").applyInPandas(links, "a long, b long"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, of the smallest key of each component.  Of rows equal in key and text one
+    stays; rows without a key stay unless a row with a key is in their component."""
+    kept = join(docs, key=key, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("kept_id"), F.col("doc_id").isNull().alias("kept_null")).distinct()
+    names = docs.columns
+    rows = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("kept_id"), F.col(key).isNull().alias("kept_null"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    )
+    whole = rows.repartition("kept_id", "kept_null").join(kept, ["kept_id", "kept_null"], "left_semi")
+    same = Window.partitionBy("kept_id", "kept_null").orderBy(F.xxhash64(f"row.{text}"))
+    whole = whole.withColumn("before", F.lag(F.xxhash64(f"row.{text}")).over(same))
+    whole = whole.where(F.col("before").isNull() | (F.col("before") != F.xxhash64(f"row.{text}")))
+    return whole.select("row.*")

@@ -119,3 +119,17 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         "doc_id", "row_hash", "copy", "source", "size", "source_size", "target", "pass", "slot",
         F.when(F.col("target") > 0, end / F.col("target")).alias("finish"), words.alias("words"),
     )
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 17, **options) -> DataFrame:
+    """The mix itself: the rows, with all their columns, in order of virtual finish time, once for each pass that takes them.
+
+    Documents stay whole: the one that a source is serving at the end is taken if
+    at least half of it is.  Texts are shuffled to their places in the schedule and then by the order.
+    """
+    names = docs.columns
+    taken = schedule(docs, key=key, text=text, seed=seed, **options).where((F.col("words") > 0) & (2 * F.col("words") >= F.col("size")))
+    taken = taken.select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("row_hash").alias("h"), "copy", "pass", "finish")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("k"), row_hash(key, text, seed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    one = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.xxhash64("row")))).where("nth = 1")
+    return one.join(taken, ["k", "h"]).orderBy("finish", "h", "k", "copy", "pass").select("row.*")

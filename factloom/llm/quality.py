@@ -230,3 +230,17 @@ def quality(docs: DataFrame, labels: DataFrame, model: Classifier | None = None,
     """Score of every row; the model is learned from ``labels`` unless given."""
     model = model or fit(docs, labels, key=key, text=text)
     return score_texts(lambda texts: model.probabilities(*features(texts)), docs, 4, 2, ACCEPT, key, text)
+
+
+def kept(docs: DataFrame, labels: DataFrame, least: float = ACCEPT, model: Classifier | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``least``."""
+    model = model or fit(docs, labels, key=key, text=text)
+    place = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            scores = [model.probabilities(*features(texts[a:b])) for a, b in text_slices(texts, 2 << 20)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) >= least))
+
+    return docs.mapInArrow(work, docs.schema)
