@@ -24,9 +24,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Colu
     order = (F.xxhash64("chosen"), F.col("chosen"))
     classes = [usable.where(F.col("label") == c).orderBy(*order).limit(most // 2) for c in (0, 1)]
     chosen = classes[0].union(classes[1])
-    return docs.join(F.broadcast(chosen), docs[key] == F.col("chosen")).select(
-        F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), "label"
-    )
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "label")
 
 
 def sample_texts(docs: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
