@@ -318,7 +318,8 @@ def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
     tasks = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     wanted = tasks.select(F.col("doc_id").alias("wanted_id"), "class", "task", "side")
     # one row of the key is enough; equal keys with other texts are told apart by their class
-    texts = rows.join(wanted, rows.doc_id == F.col("wanted_id")).select("class", "text", "task", "side")
+    # what is wanted grows with the table: never broadcast, also where it is small by chance
+    texts = rows.join(wanted.hint("merge"), rows.doc_id == F.col("wanted_id")).select("class", "text", "task", "side")
 
     def links(members: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("class", kind="stable")
