@@ -3,9 +3,10 @@
 1. Every text becomes the set of its distinct n-gram hashes (64 bits, lower-case
    A-Z).  Texts with equal sets are one *class* from here on.
 2. Blocking without loss.  Sets of a band of sizes are dealt, element by element,
-   into more parts than a linked pair of that band can have differing elements,
-   so a linked pair has a part in common that is equal and not empty (a set with two or
-   more empty parts also says so).  The hash of each part's elements is a key.  Classes sharing a key are
+   into more parts than a linked pair of that band can have differing elements
+   (and some to spare, for empty parts),
+   so a linked pair has a part in common that is equal and not empty (a set with very
+   many empty parts gives these as keys too).  The hash of each part's elements is a key.  Classes sharing a key are
    candidates, and connected candidates form a family.
 3. Prefix-tree join inside a family.  N-grams that occur in the same members
    count as one with a weight.  The sets, ordered by the family's
@@ -14,8 +15,8 @@
    and a set leaves a subtree when the misses are more than any set of its sizes
    allows, or when all sets there are known to be connected with it already.
    So a family of thousands of copies is joined without forming its pairs.
-4. A family with more than ``MOST_ELEMENTS`` elements in its sets is not put into one task: its classes are
-   joined key by key, and keys with too many classes in pairs of chunks.
+4. A family with more than ``MOST_ELEMENTS`` elements in its sets is not put into one task: it is joined
+   band by band (with the next smaller one), and where that is too much, key by key, and keys with too many classes in pairs of chunks.
 5. Links give components, by minima of edge tables.
 
 Hash values stand for n-grams and classes: with 64 bits (classes: with their size) false equality is
@@ -23,12 +24,14 @@ negligible below some 10^9 classes.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, no links and are
 their own component; a text of fewer words than an n-gram is one n-gram; repeated
-rows are linked through their class; ties go to the smallest key; an empty table gives no
-rows; other columns are not read.
+rows are linked through their class; a row without a key is linked through an equal set only; ties go to
+the smallest key; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +69,24 @@ class Overlap:
             starts.append(100 * starts[-1] // self.percent + 1)
         return np.array(starts)
 
+    def layout(self, low: int, top: int) -> tuple[int, int]:
+        """(parts, spare) for sets of ``low`` to ``top`` elements, or (0, 0) if linked sets of these sizes are equal.
+
+        Linked sets differ in at most ``misses`` parts, so that ``spare + 1`` parts or
+        more are equal; ``spare`` is above the number of empty parts that a set of random hashes has, if that can be.
+        """
+        misses = self.most_misses(top, top)
+        if misses == 0:
+            return 0, 0
+        spare = 1
+        while spare < misses + 4:
+            parts = misses + 1 + spare
+            empty = parts * math.exp(-low / parts)
+            if empty + 3 * math.sqrt(empty) < spare:
+                break
+            spare += 1
+        return misses + 1 + spare, spare
+
 
 def text_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
@@ -85,17 +106,15 @@ def block_keys(elements: np.ndarray, rule: Overlap, bands: np.ndarray) -> np.nda
     own = int(np.searchsorted(bands, size, side="right")) - 1
     out = []
     for band in (own, own + 1):
-        top = int(bands[band + 1]) - 1
-        misses = rule.most_misses(top, top)
-        if misses == 0 or band < own:
+        parts, spare = rule.layout(int(bands[max(band - 1, 0)]), int(bands[band + 1]) - 1)
+        if not parts:
             continue
-        parts = misses + 2
         spread = mix(elements + np.uint64(band * 2 + 1))
         part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, spread)
         full = np.bincount(part, minlength=parts) > 0
-        keep = np.ones(parts, bool) if parts - np.count_nonzero(full) >= 2 else full
+        keep = np.ones(parts, bool) if parts - np.count_nonzero(full) > spare else full
         where = np.flatnonzero(keep).astype(np.uint64)
         out.append(mix(sums[keep] + mix(where + np.uint64(band << 32))))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
@@ -247,27 +266,42 @@ class Family:
 # ---- Spark
 
 
-def _scan(n: int, rule: Overlap):
-    """Per text (doc_id, size, class) and, for the first text of a class in the task's batch, its keys."""
+def _sizes(n: int):
+    """Per text (doc_id, size, class)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in text_slices(texts):
+                sets = text_sets(texts[a:b], n)
+                names = [class_of(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "size", "class"]
+                )
+
+    return work
+
+
+def _keys(n: int, rule: Overlap):
+    """Per text with a key (node, keys); of equal sets in a batch only the first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = rule.bands(1 << 12)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            seen: set[int] = set()
             for a, b in text_slices(texts):
                 sets = text_sets(texts[a:b], n)
                 top = max(map(len, sets))
                 if bands[-2] <= top:
                     bands = rule.bands(8 * top)
-                names = [class_of(s) if len(s) else None for s in sets]
-                keys, seen = [], set()
-                for s, c in zip(sets, names, strict=True):
-                    keys.append(block_keys(s, rule, bands) if c is not None and c not in seen else None)
-                    seen.add(c)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "size", "class", "keys"],
-                )
+                nodes, keys = [], []
+                for i, s in zip(ids[a:b], sets, strict=True):
+                    if i is not None and len(s) and (c := class_of(s)) not in seen:
+                        seen.add(c)
+                        nodes.append(i)
+                        keys.append(block_keys(s, rule, bands))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
     return work
 
@@ -277,15 +311,16 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest key reachable by links, itself included)."""
     rule = Overlap(percent)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scanned = rows.mapInArrow(_scan(n, rule), "doc_id long, size long, class long, keys array<long>")
-    scanned = cut_lineage(scanned)
-    sized = scanned.select("doc_id", "size", "class")
-    keyed = scanned.select("class", F.explode("keys").alias("block")).repartition("block")
+    sized = cut_lineage(rows.mapInArrow(_sizes(n), "doc_id long, size long, class long"))
+    # keys are many and are not stored; numbers of documents are shorter than names of classes
+    keyed = rows.mapInArrow(_keys(n, rule), "node long, keys array<long>").select("node", F.explode("keys").alias("block")).repartition("block")
+    block = Window.partitionBy("block")
+    shared = keyed.withColumn("least", F.min("node").over(block)).withColumn("most", F.max("node").over(block)).where("most > least")
+    shared = cut_lineage(shared.select("block", "node"))
+    named = shared.join(sized.select(F.col("doc_id").alias("node"), "class").where("class IS NOT NULL"), "node").select("block", "class").distinct()
     # every class of a block is tied to the block's smallest; blocks of one class say nothing
-    least = F.min("class").over(Window.partitionBy("block"))
-    most = F.max("class").over(Window.partitionBy("block"))
-    blocks = keyed.withColumn("least", least).withColumn("most", most).where("most > least").select("block", "class", "least").distinct()
-    blocks = cut_lineage(blocks)
+    tied = named.withColumn("least", F.min("class").over(block)).withColumn("most", F.max("class").over(block)).where("most > least")
+    blocks = cut_lineage(tied.select("block", "class", "least"))
     families = cut_lineage(components(blocks.select(F.col("class").alias("a"), F.col("least").alias("b"))))
     found = _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
     joined = components(found)
@@ -298,16 +333,25 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
 
 def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk) -> DataFrame:
     """Links (a, b) between classes."""
-    one = sized.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
+    one = sized.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
     members = families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(one, "class")
     weights = members.groupBy("family").agg(F.sum("size").alias("elements"))
     members = cut_lineage(members.join(weights, "family"))
     small = members.where(F.col("elements") <= most_elements).select("doc_id", "class", F.col("family").alias("task"), F.lit(-1).alias("side"))
-    large = members.where(F.col("elements") > most_elements).select("doc_id", "class")
+    large = members.where(F.col("elements") > most_elements).select("doc_id", "class", "size", "family")
     parts = [small]
-    if large.limit(1).count():
+    largest = large.agg(F.max("size")).first()[0]
+    if largest:
+        # linked sets are of one band of sizes or of two next to each other: each class goes to two groups
+        starts = F.array(*[F.lit(int(b)) for b in rule.bands(largest)])
+        band = F.size(F.filter(starts, lambda b: b <= F.col("size")))
+        groups = large.withColumn("band", F.explode(F.array(band, band + 1)))
+        weights = groups.groupBy("family", "band").agg(F.sum("size").alias("elements"))
+        groups = groups.join(weights, ["family", "band"])
+        parts.append(groups.where(F.col("elements") <= most_elements).select("doc_id", "class", F.xxhash64("family", "band").alias("task"), F.lit(-1).alias("side")))
+        huge = groups.where(F.col("elements") > most_elements).select("doc_id", "class").distinct()
         # a block is joined in pairs of chunks: every chunk goes to the tasks of all pairs that it is in
-        inside = blocks.join(large, "class").select("doc_id", "class", "block")
+        inside = blocks.select("block", "class").join(huge, "class")
         counted = inside.groupBy("block").count()
         inside = inside.join(counted, "block").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
         inside = inside.withColumn("part", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
@@ -315,7 +359,7 @@ def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
         low, high = F.least("part", "other"), F.greatest("part", "other")
         parts.append(others.select("doc_id", "class", F.xxhash64("block", low, high, F.lit(1)).alias("task"),
                                    F.when(low == high, -1).when(F.col("part") == low, 0).otherwise(1).alias("side")))
-    tasks = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    tasks = functools.reduce(DataFrame.union, parts)
     wanted = tasks.select(F.col("doc_id").alias("wanted_id"), "class", "task", "side")
     # one row of the key is enough; equal keys with other texts are told apart by their class
     # what is wanted grows with the table: never broadcast, also where it is small by chance

@@ -138,7 +138,7 @@ def brute_components(texts, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "options"), [(3, 90, {}), (5, 80, {}), (3, 80, {"most_elements": 10, "chunk": 3})])
+@pytest.mark.parametrize(("n", "percent", "options"), [(3, 90, {}), (5, 80, {}), (3, 80, {"most_elements": 10, "chunk": 3}), (3, 80, {"most_elements": 1500})])
 def test_jaccard_join(docs, texts, n, percent, options):
     want = brute_components(texts, n, percent)
     got = jaccard.join(docs, n=n, percent=percent, **options).collect()
