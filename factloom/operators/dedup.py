@@ -58,7 +58,7 @@ def evidence_key(source: Column, kind: Column, content: Column) -> Column:
     return F.concat_ws("\n", *[T.strip(F.lower(p)) for p in parts])
 
 
-def first_by_any_key(df: DataFrame, keys: list[str], order: str, max_rounds: int = 50) -> DataFrame:
+def first_by_any_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows a sequential scan keeps when a row is dropped as soon as one of its
     keys was already registered by a *kept* row.
 
@@ -66,16 +66,18 @@ def first_by_any_key(df: DataFrame, keys: list[str], order: str, max_rounds: int
     of its key groups, and certainly dropped when it shares a key with a kept
     row.  Deciding those two sets and repeating reaches exactly the sequential
     result; each round handles all rows at once, and only chains of rows that
-    alternate between keys need a further round.
+    alternate between keys need a further round.  The earliest undecided row is
+    always decided, so the rounds end.  A NULL key equals no other.  Rounds carry
+    the order and the keys only.
     """
     undecided = df.select(order, *keys)
     kept: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         marked = undecided
         for i, key in enumerate(keys):
             firsts = undecided.groupBy(key).agg(F.min(order).alias(f"_first{i}"))
-            marked = marked.join(firsts, key)
-        winner = reduce(lambda a, b: a & b, [F.col(f"_first{i}") == F.col(order) for i in range(len(keys))])
+            marked = marked.join(firsts.filter(F.col(key).isNotNull()), key, "left")
+        winner = reduce(lambda a, b: a & b, [F.col(k).isNull() | (F.col(f"_first{i}") == F.col(order)) for i, k in enumerate(keys)])
         marked = marked.select(order, *keys, winner.alias("_kept"))
         marked = cut_lineage(marked)
         new = marked.filter("_kept").select(order, *keys)
@@ -86,4 +88,3 @@ def first_by_any_key(df: DataFrame, keys: list[str], order: str, max_rounds: int
         undecided = cut_lineage(undecided)
         if undecided.isEmpty():
             return df.join(kept.select(order), order, "left_semi")
-    raise RuntimeError("duplicate chains longer than max_rounds; raise max_rounds")

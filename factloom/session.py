@@ -42,14 +42,17 @@ def spread(df: DataFrame, *keys: str, scan: bool = True) -> DataFrame:
 
 
 _SCRATCH: dict[str, str] = {}
+_TABLES: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``.  Only a session that names none (tests, a single
-    machine) gets a scratch folder of its own, kept for the session."""
+    ``spark.checkpoint.dir``.  Only a session on one machine (tests) may name none; it gets a
+    scratch folder of its own.  Executors elsewhere could not see that, so a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _SCRATCH:
             _SCRATCH[app] = tempfile.mkdtemp(prefix="factloom-")
@@ -65,4 +68,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/factloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written so far, when their results are stored.  Returns their number."""
+    conf = spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -30,8 +32,22 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """The committer swaps the folder's files only when all of them are written."""
-    safe(df).write.mode("overwrite").json(path)
+    """Write to a new folder, then swap it in by renaming: a job that fails leaves the old rows as they were."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    safe(df).write.json(fresh)
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(at(path))
+    if had and not files.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(at(fresh), at(path)):
+        if had:
+            files.rename(at(old), at(path))
+        raise OSError(f"cannot move the new rows to {path}")
+    if had:
+        files.delete(at(old), True)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
