@@ -110,8 +110,36 @@ _NAV_RESIDUE = (
 )
 
 
-def page_quality(df: DataFrame, title: str, url: str, body: str, lex: Lexicons = DEFAULT, families: str = _MODEL_FAMILIES) -> DataFrame:
-    """Adds one column per quality dimension (``q_*``) and their sum ``quality``."""
+# fixed values: adjustments of single hosts
+_MISMATCH_HOST = "elecfans.com"
+_DOWNLOAD_MARKS = ("下载次数", "资源积分", "资源大小")
+_DRAWING_WORDS = ("电路图", "原理图", "schematic", "电路分析", "设计实例")
+_SHELL_HOST, _SHELL_MARKS = "circuitmaker.com", ("loading project", "please wait")
+_PROFILE_HOSTS, _PROFILE_MARKS = ("hackster.io", "hackster.com"), (" - hackster.io", " - hackster.com")
+_PATH_HOST, _PATHS, _CRUMB = "radiokot.ru", ("/circuit/", "/articles/"), "радиокот >"
+
+
+def host_adjustment(title: Column, url: Column, low: Column, body: Column, host: Column, families: str) -> tuple[Column, Column]:
+    """(penalty, bonus) of the rules of single hosts: a title naming models that the text does not have, a
+    download page without drawings, a page still loading, a user profile, a path without articles."""
+    on = lambda *names: T.contains_any(F.coalesce(host, F.lit("")), names)
+    named = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(families), F.lit(0)))
+    missing = F.size(F.filter(named, lambda m: ~F.contains(F.lower(body), m)))
+    rules = (
+        (on(_MISMATCH_HOST) & (F.size(named) > 0) & (missing >= F.floor(F.size(named) / 2)), -3),
+        (on(_MISMATCH_HOST) & T.contains_any(low, _DOWNLOAD_MARKS) & ~T.contains_any(low, _DRAWING_WORDS), -10),
+        (on(_SHELL_HOST) & T.contains_any(low, _SHELL_MARKS), -10),
+        (on(*_PROFILE_HOSTS) & T.contains_any(low, _PROFILE_MARKS), -10),
+        (on(_PATH_HOST) & ~T.contains_any(F.lower(url), _PATHS), -5),
+    )
+    penalty = sum((F.when(condition, F.lit(value)).otherwise(F.lit(0)) for condition, value in rules), F.lit(0))
+    return penalty, F.when(on(_PATH_HOST) & F.contains(low, F.lit(_CRUMB)), F.lit(2)).otherwise(F.lit(0))
+
+
+def page_quality(
+    df: DataFrame, title: str, url: str, body: str, lex: Lexicons = DEFAULT, families: str = _MODEL_FAMILIES, host: str | None = None
+) -> DataFrame:
+    """Adds one column per quality dimension (``q_*``) and their sum ``quality``; ``host`` adds the rules of single hosts."""
     low = F.lower(F.concat_ws("\n", F.col(title), F.col(body)))
     staged = df.withColumn("_low", low).withColumn("_flat", T.squeeze(F.col("_low")))
     text, page = F.col("_low"), F.col(body)
@@ -135,6 +163,7 @@ def page_quality(df: DataFrame, title: str, url: str, body: str, lex: Lexicons =
         + flag(F.length(page) < 200, -3)
         + flag(T.contains_any(text, _NAV_RESIDUE), -2)
     )
+    penalty, bonus = host_adjustment(F.col(title), F.col(url), text, page, F.col(host), families) if host else (F.lit(0), F.lit(0))
     scored = (
         staged.withColumn("q_diagnosis", capped(5, lex.diagnosis))
         .withColumn("q_depth", capped(5, lex.depth, 2))
@@ -143,7 +172,8 @@ def page_quality(df: DataFrame, title: str, url: str, body: str, lex: Lexicons =
         .withColumn("q_structure", structure)
         .withColumn("q_causal", capped(3, lex.causal, 3))
         .withColumn("q_qa", capped(3, lex.qa, 2))
-        .withColumn("q_penalties", penalties)
+        .withColumn("q_penalties", penalties + penalty)
+        .withColumn("q_host_bonus", bonus)
     )
     parts = [c for c in scored.columns if c.startswith("q_")]
     return scored.withColumn("quality", sum((F.col(c) for c in parts), F.lit(0))).drop("_low", "_flat")

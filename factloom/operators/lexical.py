@@ -240,14 +240,29 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, query_id: str, l
     return top_k(ranked, [query_id], order, limit)
 
 
-def like_search(queries: DataFrame, posts: DataFrame, query_id: str, limit: int = CANDIDATES) -> DataFrame:
-    """Fallback: chunks that contain one of the query's first specific terms,
-    all with the same score, in chunk order."""
+def like_search(queries: DataFrame, chunks: DataFrame, query_id: str, limit: int = CANDIDATES) -> DataFrame:
+    """Fallback: chunks whose title or text contains one of the query's first specific
+    terms, all with the same score, in chunk order.
+
+    A term of any length counts, also of one or two characters, which an index of
+    trigrams cannot answer.  The first word of a term is looked for inside the distinct
+    words of titles and texts, which it meets on its first characters (up to three);
+    only chunks with such a word are searched for the whole term.
+    """
     wanted = queries.select(query_id, F.explode(F.array_distinct(F.transform("like_terms", F.lower))).alias("term"))
+    wanted = wanted.filter(T.strip(F.col("term")) != "")
+    probe = wanted.select("term").distinct().withColumn("piece", F.split(T.strip(F.col("term")), f"{T.WS}+")[0])
+    probe = probe.withColumn("gram", F.substring("piece", 1, 3))
+    fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "text")]
+    texts = chunks.select("chunk_id", fields[0].alias("_title"), fields[1].alias("_text"))
+    words = texts.select("chunk_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "_title", "_text"), f"{T.WS}+"))).alias("token"))
+    vocabulary = words.select("token").distinct().withColumn("gram", F.explode(F.concat(*[_grams(F.col("token"), n) for n in (1, 2, 3)])))
+    inside = vocabulary.join(probe, "gram").filter(F.contains("token", "piece")).select("term", "token")
+    candidates = words.join(inside, "token").select("chunk_id", "term").distinct()
     found = (
-        posts.join(match_vocabulary(wanted, posts), "token")
-        .select("term", "chunk_id")
-        .distinct()
+        texts.join(candidates, "chunk_id")
+        .filter(F.contains("_title", "term") | F.contains("_text", "term"))
+        .select("chunk_id", "term")
         .join(wanted, "term")
         .select(query_id, "chunk_id")
         .distinct()
@@ -256,6 +271,12 @@ def like_search(queries: DataFrame, posts: DataFrame, query_id: str, limit: int
     return top_k(found, [query_id], [F.col("chunk_id")], limit)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(n))))
+
+
 # ------------------------------------------------------------------ rerank
 
 

@@ -76,7 +76,7 @@ def entity_match(rows: DataFrame, samples: DataFrame, beta: float = 1.5) -> Data
         F.bool_or(F.col("role") == "prediction").alias("p"),
         F.bool_or(F.col("role") == "support").alias("s"),
         F.max("weight").alias("w"),
-        F.max_by("type", "weight").alias("type"),
+        F.max_by("type", F.struct("weight", "type")).alias("type"),
     )
     risky = F.col("p") & (F.col("type") != "keyphrase")
     backed = F.col("s") | F.col("r")

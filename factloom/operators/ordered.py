@@ -107,3 +107,27 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     to ``k`` rows in each map task, before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+
+
+def ttl_hits(df: DataFrame, keys: list[str], order: list[str], bucket: Column, at: str, ttl: float) -> DataFrame:
+    """Adds ``hit``: whether a cache that stores at a miss, for ``ttl`` seconds, answers the lookup.
+
+    A hit does not renew what is stored, so a lookup's answer depends on all before
+    it; but one that comes ``ttl`` or more after its predecessor is a miss whatever was
+    before.  Such lookups cut a key into independent stretches, and inside a
+    stretch the time of the last store is a fold over the lookup times (``at``, in seconds).
+    """
+    before = previous_value(df, keys, order, bucket, at, "_previous")
+    starts = before.withColumn("_new", F.when(F.col("_previous").isNull() | (F.col(at) - F.col("_previous") >= ttl), 1).otherwise(0))
+    stretched = running_sum(starts, keys, order, bucket, "_new", "_stretch")
+    row = F.struct(*order, at, *[c for c in df.columns if c not in (*keys, *order, at)])
+    stretches = stretched.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    start = F.struct(F.lit(None).cast("double").alias("stored"), F.array().cast("array<boolean>").alias("hits"))
+
+    def look(state: Column, r: Column) -> Column:
+        hit = F.coalesce(r[at] - state["stored"] < ttl, F.lit(False))
+        return F.struct(F.when(hit, state["stored"]).otherwise(r[at].cast("double")).alias("stored"), F.array_append(state["hits"], hit).alias("hits"))
+
+    hits = F.aggregate("_rows", start, look, lambda state: state["hits"])
+    pairs = stretches.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), hits.alias("hit"))))
+    return pairs.select(*keys, *[F.col(f"r.{c}").alias(c) for c in (*order, at, *[c for c in df.columns if c not in (*keys, *order, at)])], "hit")

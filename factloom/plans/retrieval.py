@@ -31,7 +31,7 @@ def sparse(
     lens = L.lengths(chunks) if lens is None else lens
     found = L.bm25(profiled, posts, lens, query_id, limit)
     unmatched = profiled.join(found.select(query_id).distinct(), query_id, "left_anti")
-    loose = L.like_search(unmatched, posts, query_id, limit)
+    loose = L.like_search(unmatched, chunks, query_id, limit)
     hits = found.unionByName(loose)
     return with_context(hits, profiled, chunks, query_id)
 

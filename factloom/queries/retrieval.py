@@ -105,13 +105,13 @@ def bm25_topk(spark, sf):
 
 @query(
     "like_fallback",
-    f"""WITH {CHUNKS}, {PROFILE}, hit AS (SELECT DISTINCT item_id, chunk_id FROM (SELECT * FROM likes WHERE length(k) >= 3) CROSS JOIN
-        (SELECT chunk_id, lower(title) || ' ' || lower(url) || ' ' || lower(text) AS body FROM chunks) WHERE contains(body, k))
+    f"""WITH {CHUNKS}, {PROFILE}, hit AS (SELECT DISTINCT item_id, chunk_id FROM likes CROSS JOIN
+        (SELECT chunk_id, lower(title) AS head, lower(text) AS body FROM chunks) WHERE contains(head, k) OR contains(body, k))
       SELECT item_id, chunk_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) AS INT) AS rank, 10.0::DOUBLE AS score FROM hit
       QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) <= 80""",
 )
 def like_fallback(spark, sf):
-    found = L.like_search(_profiled(spark, sf), R.stored_postings(chunks(spark, sf)), "item_id")
+    found = L.like_search(_profiled(spark, sf), chunks(spark, sf), "item_id")
     return found.select("item_id", "chunk_id", "rank", F.col("bm25_score").alias("score"))
 
 

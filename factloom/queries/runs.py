@@ -143,12 +143,10 @@ def delta_summary(spark, sf):
 
 @query(
     "win_rate",
-    f"""WITH {DELTAS}, c AS (SELECT least(count(*) FILTER (WHERE delta > 0), 30) AS up, least(count(*) FILTER (WHERE delta < 0), 30) AS down, count(*) AS n FROM deltas)
-      SELECT round(up / CAST(greatest(n, up + down) AS DOUBLE), 4) AS win_rate FROM c""",
+    f"""WITH {DELTAS} SELECT round(count(*) FILTER (WHERE delta > 0) / CAST(count(*) AS DOUBLE), 4) AS win_rate FROM deltas""",
 )
 def win_rate(spark, sf):
-    """Parity variant: both lists are truncated to thirty before counting."""
-    return R.win_rate(_deltas(spark, sf), cap=30)
+    return R.win_rate(_deltas(spark, sf))
 
 
 @query(

@@ -282,12 +282,12 @@ def host_rules(spark, sf):
 @query(
     "quick_candidates",
     f"""WITH {CHUNKS}, s AS (SELECT chunk_id, {sql_hits("lower(title || chr(10) || url)", [m.lower() for m in SYN.quick_check])} AS quick FROM chunks)
-      SELECT chunk_id, quick FROM s WHERE quick > 0 ORDER BY quick DESC, chunk_id LIMIT 200""",
+      SELECT chunk_id, quick FROM s WHERE quick > 0""",
 )
 def quick_candidates(spark, sf):
     low = F.lower(F.concat_ws("\n", "title", "url"))
     scored = chunks(spark, sf).select("chunk_id", T.hits(low, [m.lower() for m in SYN.quick_check]).alias("quick"))
-    return scored.filter("quick > 0").orderBy(F.desc("quick"), "chunk_id").limit(200)
+    return scored.filter("quick > 0")
 
 
 def _capped(limit: int, terms, per: int = 1) -> str:
@@ -299,18 +299,34 @@ _FAMILIES = r"(?i)\b(?:heed|eaux|unge|tionch)[a-z]*\b"
 
 @query(
     "page_quality",
-    f"""WITH {CHUNKS}, l AS (SELECT *, lower(title || chr(10) || text) AS low, {sql_squeeze("lower(title || chr(10) || text)")} AS flat FROM chunks),
+    f"""WITH {CHUNKS}, h AS (SELECT chunk_id, title, text || CASE chunk_id % 7 WHEN 0 THEN ' 下载次数 ' WHEN 1 THEN ' 下载次数 电路图' WHEN 2 THEN ' please wait' WHEN 3 THEN ' - hackster.io' WHEN 4 THEN ' радиокот > ' ELSE '' END AS text,
+        url || CASE chunk_id % 3 WHEN 0 THEN '/circuit/1' ELSE '/x' END AS url, CASE chunk_id % 5 WHEN 0 THEN 'www.elecfans.com' WHEN 1 THEN 'circuitmaker.com' WHEN 2 THEN 'hackster.io' WHEN 3 THEN 'radiokot.ru' ELSE 'example.org' END AS host FROM chunks),
+      l AS (SELECT *, lower(title || chr(10) || text) AS low, {sql_squeeze("lower(title || chr(10) || text)")} AS flat,
+        list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^(heed|eaux|unge|tionch)[a-z]*$'))) AS named FROM h),
       s AS (SELECT chunk_id, {_capped(5, SYN.diagnosis)} AS q_diagnosis, {_capped(5, SYN.depth, 2)} AS q_depth,
         least(3, len(list_distinct(list_filter(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^(heed|eaux|unge|tionch)[a-z]*$'))))) AS q_models, {_capped(3, C._DRAWING, 2)} AS q_drawings,
         CAST(length(text) > 2000 AS INT) + CAST({sql_occ('text', '##')} >= 3 AS INT) + CAST(regexp_matches(text, '[0-9]+\\.\\s+[\\p{{L}}\\p{{N}}_]+') AS INT) AS q_structure,
         {_capped(3, SYN.causal, 3)} AS q_causal, {_capped(3, SYN.qa, 2)} AS q_qa,
         CASE WHEN {sql_any('lower(url)', SYN.low_value_sources)} THEN -5 ELSE 0 END + CASE WHEN {_boilerplate_sql('flat')} THEN -3 ELSE 0 END
-        + CASE WHEN length(text) < 200 THEN -3 ELSE 0 END + CASE WHEN {sql_any('low', C._NAV_RESIDUE)} THEN -2 ELSE 0 END AS q_penalties FROM l)
-      SELECT *, q_diagnosis + q_depth + q_models + q_drawings + q_structure + q_causal + q_qa + q_penalties AS quality FROM s""",
+        + CASE WHEN length(text) < 200 THEN -3 ELSE 0 END + CASE WHEN {sql_any('low', C._NAV_RESIDUE)} THEN -2 ELSE 0 END
+        + CASE WHEN host = 'www.elecfans.com' AND len(named) > 0 AND len(list_filter(named, lambda m: NOT contains(lower(text), m))) >= len(named) // 2 THEN -3 ELSE 0 END
+        + CASE WHEN host = 'www.elecfans.com' AND regexp_matches(low, '下载次数|资源积分|资源大小') AND NOT regexp_matches(low, '电路图|原理图|schematic|电路分析|设计实例') THEN -10 ELSE 0 END
+        + CASE WHEN host = 'circuitmaker.com' AND regexp_matches(low, 'loading project|please wait') THEN -10 ELSE 0 END
+        + CASE WHEN host = 'hackster.io' AND regexp_matches(low, ' - hackster\\.(io|com)') THEN -10 ELSE 0 END
+        + CASE WHEN host = 'radiokot.ru' AND NOT regexp_matches(lower(url), '/circuit/|/articles/') THEN -5 ELSE 0 END AS q_penalties,
+        CASE WHEN host = 'radiokot.ru' AND contains(low, 'радиокот >') THEN 2 ELSE 0 END AS q_host_bonus FROM l)
+      SELECT *, q_diagnosis + q_depth + q_models + q_drawings + q_structure + q_causal + q_qa + q_penalties + q_host_bonus AS quality FROM s""",
 )
 def page_quality(spark, sf):
-    scored = C.page_quality(chunks(spark, sf), "title", "url", "text", SYN, families=_FAMILIES)
-    return scored.drop("title", "url", "text", "source", "lang")
+    """Chunks stand for pages of the hosts that have rules of their own, with the marks those rules look for."""
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("chunk_id") % n + 1).cast("int"))
+    marks = pick(7, " 下载次数 ", " 下载次数 电路图", " please wait", " - hackster.io", " радиокот > ", "", "")
+    pages_ = chunks(spark, sf).select(
+        "chunk_id", "title", F.concat("text", marks).alias("text"), F.concat("url", pick(3, "/circuit/1", "/x", "/x")).alias("url"),
+        pick(5, "www.elecfans.com", "circuitmaker.com", "hackster.io", "radiokot.ru", "example.org").alias("host"),
+    )
+    scored = C.page_quality(pages_, "title", "url", "text", SYN, families=_FAMILIES, host="host")
+    return scored.drop("title", "url", "text", "host")
 
 
 @query(

@@ -120,20 +120,22 @@ def error_streaks(spark, sf):
     return O.longest_streak(events, ["user_id"], ["ts", "step"], F.to_date("ts"), "failed")
 
 
+# fifteen minutes, stretched to the pace of the events
 _TTL = 900 * 60
 
 
 @query(
     "ttl_cache_hits",
-    f"""WITH {LOG}, g AS (SELECT tool_name, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id, tool_name ORDER BY ts, step)) AS gap FROM log)
-      SELECT tool_name, count(*) AS lookups, count(*) FILTER (WHERE gap <= {_TTL}) AS hits FROM g GROUP BY tool_name""",
+    f"""WITH RECURSIVE {LOG}, l AS (SELECT user_id, tool_name, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id, tool_name ORDER BY ts, step) AS n FROM log),
+      r AS (SELECT user_id, tool_name, n, sec AS stored, false AS hit FROM l WHERE n = 1
+        UNION ALL SELECT l.user_id, l.tool_name, l.n, CASE WHEN l.sec - r.stored < {_TTL} THEN r.stored ELSE l.sec END, l.sec - r.stored < {_TTL}
+        FROM r JOIN l ON l.user_id = r.user_id AND l.tool_name = r.tool_name AND l.n = r.n + 1)
+      SELECT tool_name, count(*) AS lookups, count(*) FILTER (WHERE hit) AS hits FROM r GROUP BY tool_name""",
 )
 def ttl_cache_hits(spark, sf):
-    events = log(spark, sf).select("user_id", "tool_name", "step", "ts")
-    with_previous = O.previous_value(events, ["user_id", "tool_name"], ["ts", "step"], F.to_date("ts"), "ts", "before")
-    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
-    gap = seconds("ts") - seconds("before")
-    return with_previous.groupBy("tool_name").agg(F.count("*").alias("lookups"), F.count_if(gap <= _TTL).alias("hits"))
+    events = log(spark, sf).select("user_id", "tool_name", "step", "ts", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    looked = O.ttl_hits(events, ["user_id", "tool_name"], ["ts", "step"], F.to_date("ts"), "at", _TTL)
+    return looked.groupBy("tool_name").agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"))
 
 
 @query(

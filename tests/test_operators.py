@@ -156,12 +156,13 @@ def test_overlap_chunks(spark):
     assert chunking.overlap_chunks(df, "t", 300, 50, 120).count() == len(spans)
 
 
-def test_section_chunks_lose_no_long_text():
+def test_section_chunks_lose_no_long_text(spark):
     text = "\n".join(f"# head {i}\n" + "word " * 150 for i in range(6))
-    pieces = chunking.section_pieces(text, 900, 160, 5000)
+    one = spark.createDataFrame([(text, "x" * 12000)], "t string, x string")
+    pieces = one.select(chunking.section_pieces(F.col("t"), 900, 160, 5000)).first()[0]
     assert all(160 <= len(p) <= 5000 for p in pieces)
     assert sum(p.count("word") for p in pieces) == text.count("word")
-    assert max(map(len, chunking.hard_split("x" * 12000, 5000, 160))) == 5000
+    assert [len(p) for p in one.select(chunking.hard_split(F.col("x"), 5000, 160)).first()[0]] == [5000, 5000, 2000]
 
 
 # ------------------------------------------------------------------ lexical
@@ -413,3 +414,57 @@ def test_hybrid_quota_precedes_relevance(spark):
     got = hybrid.search(rows_.join(q, "qid"), "qid", "hybrid_score", 4)
     assert {r["chunk_id"]: r["discard_reason"] for r in got.collect()} == {0: None, 1: None, 2: "duplicate_source", 3: "duplicate_source"}
     assert DEFAULT.noise
+
+
+# --------------------------------------------------- rows that must not vanish
+
+
+def _scan_two_keys(rows):
+    seen, kept = (set(), set()), []
+    for i, a, b in rows:
+        if (a is not None and a in seen[0]) or (b is not None and b in seen[1]):
+            continue
+        kept.append(i)
+        seen[0].add(a)
+        seen[1].add(b)
+    return kept
+
+
+def test_two_key_dedup_keeps_rows_with_a_null_key(spark):
+    rows = [(1, "a", None), (2, "b", "x"), (3, "c", "x"), (4, None, None), (5, None, "x"), (6, "a", "y"), (7, None, None)]
+    df = spark.createDataFrame(rows, "o int, a string, b string")
+    assert sorted(r["o"] for r in dedup.first_by_any_key(df, ["a", "b"], "o").collect()) == _scan_two_keys(rows)
+
+
+def test_two_key_dedup_on_a_chain(spark):
+    rows = [(i, f"k{(i + 1) // 2}", f"m{i // 2}") for i in range(24)]
+    df = spark.createDataFrame(rows, "o int, a string, b string")
+    assert sorted(r["o"] for r in dedup.first_by_any_key(df, ["a", "b"], "o").collect()) == _scan_two_keys(rows)
+
+
+def test_failed_replace_keeps_the_old_rows(spark, tmp_path):
+    from factloom.sources import jsonl
+
+    path = str(tmp_path / "rows")
+    jsonl.replace(spark.range(5), path)
+    bad = spark.range(3).select(F.when(F.col("id") < 2, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        jsonl.replace(bad, path)
+    assert spark.read.json(path).count() == 5
+    jsonl.replace(spark.range(2), path)
+    assert spark.read.json(path).count() == 2
+
+
+def test_like_search_finds_short_terms_in_title_and_text_only(spark):
+    chunks = spark.createDataFrame([(1, "t", "https://电压.example", "输出电压不稳"), (2, "a 电压", "u", "x"), (3, "t", "https://电压.example", "none")],
+                                   "chunk_id long, title string, url string, text string")
+    queries = spark.createDataFrame([(9, ["电压"]), (8, ["none", "x"])], "q long, like_terms array<string>")
+    got = {(r["q"], r["chunk_id"]) for r in lexical.like_search(queries, chunks, "q").collect()}
+    assert got == {(9, 1), (9, 2), (8, 3), (8, 2)}
+
+
+def test_ttl_hits_do_not_renew(spark):
+    times = [0, 600, 1200, 1300, 2100, 5000, 5899, 5900]
+    df = spark.createDataFrame([("k", i, float(t), t // 1000) for i, t in enumerate(times)], "k string, i int, at double, day int")
+    got = {r["i"]: r["hit"] for r in ordered.ttl_hits(df, ["k"], ["i"], F.col("day"), "at", 900.0).collect()}
+    assert [got[i] for i in range(8)] == [False, True, False, True, False, False, True, False]
