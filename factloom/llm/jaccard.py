@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import functools
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ from .words import mix, shingles, text_slices, word_hashes
 
 MOST_ELEMENTS = 2_000_000
 CHUNK_CLASSES = 256
-TABLE_CELLS = 4_000_000
+TABLE_CELLS = 24_000_000
 
 
 class Overlap:
@@ -186,6 +187,8 @@ class Family:
         rank[order] = np.arange(len(alike))
         number = rank[group]
         self.weights = np.bincount(number, minlength=len(alike))
+        # n-grams of one member come last; they match nothing, so tables leave them out
+        self.shared = int(np.count_nonzero(seen[first] > 1))
         pairs = np.unique((member << 40) | number[place])
         own = np.searchsorted(pairs, np.arange(len(sets) + 1) << 40)
         self.sets = [(pairs[a:b] & ((1 << 40) - 1)).tolist() for a, b in zip(own[:-1], own[1:], strict=True)]
@@ -201,18 +204,21 @@ class Family:
             node.ends = [numbers[e] for e in node.ends]
             todo += node.children.values()
         links: list[tuple[int, int]] = []
-        batch = max(1, TABLE_CELLS // len(self.weights))
+        batch = max(1, TABLE_CELLS // (self.shared + 1))
         for at in range(0, len(probes), batch):
             self._walk(np.array(probes[at : at + batch]), root, links)
         return links
 
     def _walk(self, probes: np.ndarray, root: Node, links: list[tuple[int, int]]) -> None:
         """Walk the trie with many sets at once, each carrying its matched weight; those that a bound rules out are dropped on the way."""
-        has = np.zeros((len(probes), len(self.weights)), bool)
+        shared = self.shared
+        has = np.zeros((len(probes), shared + 1), bool)
         for row, i in enumerate(probes):
-            has[row, self.sets[i]] = True
-        held = np.zeros((len(probes), len(self.weights) + 1), np.int32)
-        np.cumsum(has * self.weights.astype(np.int32), axis=1, out=held[:, 1:])
+            own = self.sets[i]
+            has[row, own[: bisect_left(own, shared)]] = True
+        held = np.zeros((len(probes), shared + 1), np.int32)
+        np.cumsum(has[:, :shared] * self.weights[:shared].astype(np.int32), axis=1, out=held[:, 1:])
+        alone = self.sizes[probes] - held[:, shared]  # what no other set has is missed for certain
         size, percent = self.sizes[probes], self.rule.percent
         everyone = np.arange(len(probes))
         # (node, rows of probes, their matched weight, weight of the path above); None closes a node
@@ -229,10 +235,11 @@ class Family:
             if not fits.all():
                 rows, common = rows[fits], common[fits]
             if len(rows) and node.grams:
-                path = np.array(node.grams)
-                common = common + has[rows[:, None], path[None]] @ np.array(node.weights)
+                known = bisect_left(node.grams, shared)
+                if known:
+                    common = common + has[rows[:, None], np.array(node.grams[:known])[None]] @ np.array(node.weights[:known])
                 above += sum(node.weights)
-                missed = above + held[rows, path[-1] + 1] - 2 * common
+                missed = above + held[rows, min(node.grams[-1] + 1, shared)] + alone[rows] - 2 * common
                 fits = missed <= (size[rows] + node.high) * (100 - percent) // (100 + percent)
                 if not fits.all():
                     rows, common = rows[fits], common[fits]
