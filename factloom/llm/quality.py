@@ -148,17 +148,25 @@ def dual_descent(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, r
     return weights, bias
 
 
-def platt(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through weighted labels, by Newton's method with smoothed targets."""
+def platt(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray, guarded: bool = False) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through weighted labels, by Newton's method with smoothed targets.
+    ``guarded`` halves steps that raise the loss: few labels with large margins throw full steps off."""
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([margins, np.ones(len(margins))], axis=1)
     beta = np.array([1.0, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 5e-4 * b @ b)
+
     for _ in range(50):
         p = logistic(x @ beta)
         grad = x.T @ (weight * (p - target)) + 1e-3 * beta
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
+        while guarded and np.abs(step).max() >= 1e-8 and loss(beta - step) > loss(beta):
+            step = step / 2
         beta = beta - step
         if np.abs(step).max() < 1e-8:
             break

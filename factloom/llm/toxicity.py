@@ -5,7 +5,9 @@ its terms the product of their factor vectors: so an insult together with the
 mention of a group counts for more than both alone, which additive weights cannot
 say.  Terms are the distinct lower-case words without marks at their ends, and
 the first four and five letters of longer ones (compounds and inflections), weighted by the inverse of their frequency in the
-training rows.  Pairs cost no more than terms, because
+training rows and by the evidence that they tell the classes apart.  No term is cut off by a count: evidence is a
+chi-square of one term, so a term of one class has a say from its second row on, and one that falls on both
+classes alike fades at any frequency.  Pairs cost no more than terms, because
 
     sum over pairs of v_a . v_b  =  (|sum v|^2 - sum |v|^2) / 2.
 
@@ -42,7 +44,7 @@ HEADS = (4, 5)
 RATE = 0.2
 PAIR_RATE = 0.08
 DECAY = 0.05
-LEAST_ROWS = 40
+DOUBT = 10.0
 SCALE = 0.3
 ACCEPT = 0.5
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
@@ -88,24 +90,35 @@ class Machine(NamedTuple):
         return logistic(self.slope * self.margins(ids, offsets) + self.shift)
 
 
+def evidence(counts: np.ndarray, ones: np.ndarray, share: float) -> np.ndarray:
+    """Trust in terms of ``counts`` rows, ``ones`` of them of label 1, where ``share`` of all rows is: 0 to 1, a half at a chi-square of ``DOUBT``."""
+    off = np.maximum(np.abs(ones - counts * share) - 0.5, 0)
+    chi = off**2 / np.maximum(counts * share * (1 - share), 1e-9)
+    return chi / (chi + DOUBT)
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, share_of_ones: float, rounds: int = ROUNDS, seed: int = 3) -> Machine:
     """Fit on four fifths, and the curve to probabilities on the rest."""
     n = 1 << TERM_BITS
     draw = np.random.default_rng(seed)
-    counts = np.zeros(n)
-    for ids in rows:
-        counts[ids] += 1
-    # a term of very few training rows says nothing but which rows those are
-    presence = np.where(counts >= LEAST_ROWS, SCALE * np.log((len(rows) + 2) / np.maximum(counts, 1)), 0.0)
     bias, weights = 0.0, np.zeros(n)
     factors = draw.normal(0, 0.01, (n, FACTORS))
     if len(set(labels.tolist())) < 2:
         p = min(max(share_of_ones, 0.01), 0.99)
-        return Machine(float(np.log(p / (1 - p))), weights, 0 * factors, presence)
+        return Machine(float(np.log(p / (1 - p))), weights, 0 * factors, np.zeros(n))
     aside = np.arange(len(rows)) % 5 == 0
     if len(set(labels[aside].tolist())) < 2 or len(set(labels[~aside].tolist())) < 2:
         aside = np.zeros(len(rows), bool)
     fitted = np.flatnonzero(~aside)
+    counts, ones = np.zeros(n), np.zeros(n)
+    for i in fitted:
+        counts[rows[i]] += 1
+        ones[rows[i]] += labels[i]
+    share = float(labels[fitted].mean())
+    rarity = SCALE * np.log((len(fitted) + 2) / np.maximum(counts, 1))
+    presence = rarity * evidence(counts, ones, share)
+    # a fitted row does not vouch for its own terms, or those of one row would say nothing but which row that is
+    others = np.stack([rarity * evidence(np.maximum(counts - 1, 0), np.maximum(ones - y, 0), share) for y in (0, 1)])
     past_b, past_w, past_v = 1e-8, np.full(n, 1e-8), np.full((n, FACTORS), 1e-8)
     for _ in range(rounds):
         order = draw.permutation(fitted)
@@ -116,7 +129,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share_of_ones: float, roun
             if not len(ids):
                 continue
             doc = np.repeat(np.arange(len(own)), lengths)
-            x = presence[ids]
+            x = others[labels[own][doc], ids]
             v = factors[ids] * x[:, None]
             total = np.stack([np.bincount(doc, v[:, f], len(own)) for f in range(FACTORS)], axis=1)
             pairs = ((total**2).sum(1) - np.bincount(doc, (v * v).sum(1), len(own))) / 2
@@ -139,7 +152,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share_of_ones: float, roun
     margins = model.margins(ids, np.concatenate([[0], np.cumsum([len(rows[i]) for i in seen])]))
     y = labels[seen]
     weight = np.where(y == 1, share_of_ones / max(1, y.sum()), (1 - share_of_ones) / max(1, (1 - y).sum())) * len(y)
-    slope, shift = platt(margins, y, weight)
+    slope, shift = platt(margins, y, weight, guarded=True)
     return model._replace(slope=slope, shift=shift, weights=weights.astype(np.float32), factors=factors.astype(np.float32), presence=presence.astype(np.float32))
 
 

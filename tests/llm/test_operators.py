@@ -442,6 +442,21 @@ def test_scores_on_held_out_rows(spark, score, column, modulus, held, least):
     assert {0 <= r.score <= 1 for r in score(docs, labels.where("false")).collect()} == {True}
 
 
+def test_insults_of_few_training_rows_count():
+    insults = [f"insult{i}" for i in range(4)]
+
+    def rude(i):
+        return f"{prose(30, 40_000 + i)} {insults[i % 4]} {prose(30, 50_000 + i)}"
+
+    texts = [rude(i) for i in range(36)] + [prose(61, 60_000 + i) for i in range(260)]
+    labels = np.array([1] * 36 + [0] * 260)
+    order = np.random.default_rng(1).permutation(len(texts))
+    ids, at = toxicity.terms([texts[i] for i in order])
+    model = toxicity.train([ids[at[i] : at[i + 1]] for i in range(len(order))], labels[order], 0.12)
+    scores = model.probabilities(*toxicity.terms([rude(1000 + i) for i in range(40)] + [prose(61, 70_000 + i) for i in range(100)]))
+    assert (scores[:40] >= 0.5).sum() >= 36 and (scores[40:] < 0.5).sum() >= 95
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(6)
     x = draw.normal(size=(900, 24))
