@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _window(keys: list[str], order: list[str]) -> W:
     return W.partitionBy(*keys).orderBy(*order)
@@ -113,21 +115,40 @@ def ttl_hits(df: DataFrame, keys: list[str], order: list[str], bucket: Column, a
     """Adds ``hit``: whether a cache that stores at a miss, for ``ttl`` seconds, answers the lookup.
 
     A hit does not renew what is stored, so a lookup's answer depends on all before
-    it; but one that comes ``ttl`` or more after its predecessor is a miss whatever was
-    before.  Such lookups cut a key into independent stretches, and inside a
-    stretch the time of the last store is a fold over the lookup times (``at``, in seconds).
+    it.  After a store, the next one is the first lookup ``ttl`` or more later.  Each
+    key is cut into buckets of ``ttl`` width, which hold one store at most; every
+    lookup gets a pointer to the store that would follow it, found in the bucket that its
+    end falls into or at the head of the next one.  The stores are what the pointers reach from
+    lookups that come ``ttl`` or more after their predecessor, and pointers double in
+    each round, so a stretch of n buckets takes log2(n) rounds of written tables and no row holds a key.
+
+    ``order`` must not contradict ``at`` (in seconds); a lookup without a time is a miss that
+    stores nothing.  ``bucket`` is not used: buckets follow from ``ttl``.
     """
-    before = previous_value(df, keys, order, bucket, at, "_previous")
-    starts = before.withColumn("_new", F.when(F.col("_previous").isNull() | (F.col(at) - F.col("_previous") >= ttl), 1).otherwise(0))
-    stretched = running_sum(starts, keys, order, bucket, "_new", "_stretch")
-    row = F.struct(*order, at, *[c for c in df.columns if c not in (*keys, *order, at)])
-    stretches = stretched.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    start = F.struct(F.lit(None).cast("double").alias("stored"), F.array().cast("array<boolean>").alias("hits"))
-
-    def look(state: Column, r: Column) -> Column:
-        hit = F.coalesce(r[at] - state["stored"] < ttl, F.lit(False))
-        return F.struct(F.when(hit, state["stored"]).otherwise(r[at].cast("double")).alias("stored"), F.array_append(state["hits"], hit).alias("hits"))
-
-    hits = F.aggregate("_rows", start, look, lambda state: state["hits"])
-    pairs = stretches.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), hits.alias("hit"))))
-    return pairs.select(*keys, *[F.col(f"r.{c}").alias(c) for c in (*order, at, *[c for c in df.columns if c not in (*keys, *order, at)])], "hit")
+    named = df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", F.floor(F.col(at) / ttl))
+    rows = cut_lineage(named.withColumn("_pos", F.row_number().over(_window(["_key", "_bucket"], [at, *order]))))
+    timed = rows.where(F.col("_bucket").isNotNull()).select("_key", F.struct("_bucket", "_pos").alias("_node"), "_bucket", F.col(at).cast("double").alias("_at"))
+    across = _window(["_key"], ["_bucket"])
+    spans = timed.groupBy("_key", "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).withColumn("_before", F.lag("_last").over(across))
+    starts = spans.where(F.col("_before").isNull() | (F.col("_first") - F.col("_before") >= ttl)).select("_key", F.struct("_bucket", F.lit(1).alias("_pos")).alias("_node"))
+    # rows, and the ends of what each would store, in the buckets that they fall into
+    ends = timed.withColumn("_at", F.col("_at") + ttl).withColumn("_bucket", F.floor(F.col("_at") / ttl))
+    both = timed.withColumn("_is_row", F.lit(True)).union(ends.withColumn("_is_row", F.lit(False)))
+    both = both.withColumn("_own", F.when(F.col("_is_row"), F.col("_node")))
+    back = W.partitionBy("_key", "_bucket").orderBy(F.desc("_at"), F.desc("_is_row"), F.desc("_node")).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("_key").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    heads = both.groupBy("_key", "_bucket").agg(F.min("_own").alias("_head")).withColumn("_next", F.last("_head", True).over(later)).drop("_head")
+    near = both.withColumn("_to", F.last("_own", True).over(back)).where(~F.col("_is_row"))
+    pointers = near.join(heads, ["_key", "_bucket"]).select("_key", "_node", F.coalesce("_to", "_next").alias("_to")).where(F.col("_to").isNotNull())
+    stores = cut_lineage(starts)
+    # the start of a stretch is known already: no pointer has to lead to it
+    pointers = cut_lineage(pointers.join(stores.withColumnRenamed("_node", "_to"), ["_key", "_to"], "left_anti"))
+    while not pointers.isEmpty():
+        reached = stores.join(pointers, ["_key", "_node"]).select("_key", F.col("_to").alias("_node"))
+        stores = cut_lineage(stores.union(reached))
+        further = pointers.select("_key", F.col("_node").alias("_to"), F.col("_to").alias("_end"))
+        pointers = cut_lineage(pointers.join(further, ["_key", "_to"]).select("_key", "_node", F.col("_end").alias("_to")))
+    rest = [c for c in df.columns if c not in (*keys, *order, at)]
+    found = rows.withColumn("_node", F.struct("_bucket", "_pos")).join(stores.withColumn("_stored", F.lit(True)), ["_key", "_node"], "left")
+    hit = F.col("_stored").isNull() & F.col("_bucket").isNotNull()
+    return found.select(*keys, *order, at, *rest, hit.alias("hit"))

@@ -468,3 +468,21 @@ def test_ttl_hits_do_not_renew(spark):
     df = spark.createDataFrame([("k", i, float(t), t // 1000) for i, t in enumerate(times)], "k string, i int, at double, day int")
     got = {r["i"]: r["hit"] for r in ordered.ttl_hits(df, ["k"], ["i"], F.col("day"), "at", 900.0).collect()}
     assert [got[i] for i in range(8)] == [False, True, False, True, False, False, True, False]
+
+
+def test_ttl_hits_of_one_long_stretch(spark):
+    draw = random.Random(3)
+    rows, want, sizes = [], {}, {"dense": 3000, None: 200, "sparse": 60}
+    for k, n in sizes.items():
+        now, stored = 0, None
+        for i in range(n):
+            now += draw.choice([0, 1, 40, 400, 899]) if k != "sparse" else draw.choice([100, 899, 900, 901, 5000])
+            hit = stored is not None and now - stored < 900
+            stored = stored if hit else now
+            rows.append((k, i, float(now)))
+            want[k, i] = hit
+    df = spark.createDataFrame(rows, "k string, i int, at double").repartition(5)
+    got = ordered.ttl_hits(df, ["k"], ["i"], F.floor(F.col("at") / 3600), "at", 900.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "array_append" not in plan
+    assert {(r["k"], r["i"]): r["hit"] for r in got.collect()} == want and got.count() == len(want)
