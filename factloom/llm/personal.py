@@ -4,9 +4,10 @@ The network reads characters (their classes and ASCII values), both ways, and
 gives every position a score for each tag (outside, and first and inner
 character of each kind); the CRF adds scores for tag pairs, and the best tag path of
 a window is decoded.  It is trained in numpy, by the likelihood of the true
-path, on windows around labelled spans: what the patterns find in about
-``SAMPLE_DOCS`` rows chosen by hash, and the same spans written in ways the
-patterns do not know (other separators, spaced or spelled-out marks).
+path, on windows around labelled spans: what the patterns find in all rows, of each
+kind the ``MOST_SPANS`` places of the least hash, and the same spans written in ways the
+patterns do not know (other separators, spaced or spelled-out marks).  Windows
+without spans come from about ``SAMPLE_DOCS`` rows chosen by hash.
 
 Texts are read in windows of ``WINDOW`` characters that overlap by half, placed
 wherever a text has a digit or an at sign; other windows cannot hold personal
@@ -15,7 +16,7 @@ windows overlap, each position takes the tags of the window whose middle is
 nearer, then spans are read off the whole text.  Found spans that touch none of
 the patterns' spans are added to them.
 
-Only the fit is bounded; the scan covers all rows and whole texts.
+Only the number of examples is bounded; labels and the scan cover all rows and whole texts.
 
 Edge cases: null counts as empty and gives no spans; a text shorter than a
 window is padded; repeated rows give equal results; an empty table gives no
@@ -26,6 +27,7 @@ other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import sample_texts
+from .samples import Least, marked_texts
 from .spans import Span, digest, joined, uncovered
+from ..session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = tuple(f"like_{k}" for k in KINDS)
@@ -361,21 +364,28 @@ def disguises(kind: str, found: str) -> list[str]:
     return [found.replace(" ", "/").replace("-", "/"), "00" + found[1:]]
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, text around a span, its place there) for spans; for texts with other cues, kind ``none``."""
-    for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            found = base_spans(text)
-            for kind, s, e in found:
-                a, b = max(0, s - WINDOW), e + WINDOW
-                rows.append((kind, text[a:b], ",".join(f"{k}:{x - a}:{y - a}" for k, x, y in found if x >= a and y <= b), s - a, e - a))
-            if not found:
-                m = _CUE.search(text)
-                a = max(0, (m.start() if m else len(text) // 2) - WINDOW)
-                rows.append(("cue" if m else "none", text[a : a + 2 * WINDOW], "", 0, 0))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["kind", "around", "marks", "s", "e"])
+def _labelled(most: int):
+    """(kind, rank, text around a span, its place there) of a task: spans of all texts; of sampled texts without spans, kind ``cue`` or ``none``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = Least(most)
+        for batch in batches:
+            for text, sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted(base_spans(text), key=lambda x: x[1])
+                starts = [x for _, x, _ in found]
+                for kind, s, e in found:
+                    a, b = max(0, s - WINDOW), e + WINDOW
+                    near = found[bisect_left(starts, a) : bisect_left(starts, b)]
+                    least.add(kind, (text[a:b], ",".join(f"{k}:{x - a}:{y - a}" for k, x, y in near if y <= b), s - a, e - a))
+                if sampled and not found:
+                    m = _CUE.search(text)
+                    a = max(0, (m.start() if m else len(text) // 2) - WINDOW)
+                    least.add("cue" if m else "none", (text[a : a + 2 * WINDOW], "", 0, 0))
+        columns = list(zip(*least, strict=True)) or [()] * 6
+        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "rank", "around", "marks", "s", "e"])
+
+    return work
 
 
 def examples(rows: list[tuple[str, str, str, int, int]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -404,11 +414,12 @@ def examples(rows: list[tuple[str, str, str, int, int]], seed: int = 7) -> tuple
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = MOST_SPANS, key: str = "doc_id", text: str = "text") -> Network | None:
-    """Network trained on about ``sample_docs`` rows and at most ``most`` places of each kind, chosen by hash."""
-    found = sample_texts(docs, sample_docs, key, text).mapInArrow(_labelled, "kind string, around string, marks string, s int, e int").distinct()
+    """Network trained on at most ``most`` places of each kind, chosen by hash among all rows, and windows without spans of about ``sample_docs`` rows."""
+    schema = "kind string, rank long, around string, marks string, s int, e int"
+    found = cut_lineage(marked_texts(docs, sample_docs, key, text).mapInArrow(_labelled(most), schema)).distinct()
     rows: list[tuple] = []
     for kind in (*KINDS, "cue", "none"):
-        own = found.where(F.col("kind") == kind).orderBy(F.xxhash64("around", "s"), "around", "s", "marks").limit(most).collect()
+        own = found.where(F.col("kind") == kind).orderBy("rank", "around", "s", "marks").limit(most).drop("rank").collect()
         rows += [tuple(r) for r in own]
     if sum(r[0] in KINDS for r in rows) < MIN_SPANS:
         return None

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Colu
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "label")
 
 
-def sample_texts(docs: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """text of about ``most`` rows, chosen by hash of the key, to learn formats from (all rows of a smaller table)."""
+def marked_texts(docs: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """text of every row, and whether it is one of about ``most`` rows chosen by hash of the key (all of a smaller table)."""
     share = max(1, docs.count() // most)
-    return docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).alias("sampled"))
+
+
+class Least:
+    """Of each kind the ``most`` distinct examples of the least hash, whatever the order they come in; holds twice as many at most."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.kinds: dict[str, dict[tuple, int]] = defaultdict(dict)
+
+    def add(self, kind: str, example: tuple) -> None:
+        own = self.kinds[kind]
+        if example not in own:
+            raw = repr(example).encode("utf-8", "surrogatepass")
+            own[example] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+            if len(own) > 2 * self.most:
+                self.kinds[kind] = dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[: self.most])
+
+    def __iter__(self) -> Iterator[tuple]:
+        """(kind, hash, *example)"""
+        for kind, own in self.kinds.items():
+            for example, rank in sorted(own.items(), key=lambda x: (x[1], x[0]))[: self.most]:
+                yield (kind, rank, *example)

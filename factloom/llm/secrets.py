@@ -7,12 +7,13 @@ probabilistic automaton.  Every other candidate token of every text is scored by
 the likelihood of its format against that of ordinary tokens, and reported where
 it exceeds a threshold learned from the examples.
 
-Labels are what the patterns find in about ``SAMPLE_DOCS`` rows chosen by hash;
-only this fit is bounded, the scan covers all rows and whole texts.
+Labels are what the patterns find in all rows, of each kind the ``MOST_EXAMPLES`` of the
+least hash, so that a kind is learned however few documents have it; ordinary tokens come from about
+``SAMPLE_DOCS`` rows chosen by hash.  The scan covers all rows and whole texts.
 
 Edge cases: null counts as empty and gives no spans; repeated rows give equal
-results; an empty table gives no rows; without examples of a kind no automaton
-of it exists and only patterns are reported; other columns are not read.
+results; an empty table gives no rows; with fewer than ``MIN_EXAMPLES``
+distinct examples of a kind in the table no automaton of it exists and only patterns are reported; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import sample_texts
+from .samples import Least, marked_texts
 from .spans import Span, digest, joined, uncovered
+from ..session import cut_lineage
 
 KINDS = ("assign", "access", "hex")
 LEARNED = tuple(f"like_{k}" for k in KINDS)
@@ -217,30 +219,33 @@ def learned_spans(text: str, formats: Formats) -> list[Span]:
     return out
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, token) of labelled credentials, and some ordinary tokens of texts that have none."""
-    for batch in batches:
-        kinds, tokens = [], []
-        for text in batch.column(0).to_pylist():
-            found = base_spans(text)
-            for span in found:
-                kinds.append(span[0])
-                tokens.append(credential(text, span)[:200])
-            plain = {w.strip(".,!?;:") for w in text.split()} if not found else set()
-            # long words, and plain numbers, which look most like a key without being one
-            for rule in (str.isalpha, str.isdigit):
-                for w in sorted(w for w in plain if len(w) >= 8 and w.isascii() and rule(w))[:10]:
-                    kinds.append("word" if rule is str.isalpha else "number")
-                    tokens.append(w[:200])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
+def _examples(most: int):
+    """(kind, rank, token) of a task: labelled credentials of all texts, and some ordinary tokens of sampled texts that have none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = Least(most)
+        for batch in batches:
+            for text, sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = base_spans(text)
+                for span in found:
+                    least.add(span[0], (credential(text, span)[:200],))
+                plain = {w.strip(".,!?;:") for w in text.split()} if sampled and not found else set()
+                # long words, and plain numbers, which look most like a key without being one
+                for rule in (str.isalpha, str.isdigit):
+                    for w in sorted(w for w in plain if len(w) >= 8 and w.isascii() and rule(w))[:10]:
+                        least.add("word" if rule is str.isalpha else "number", (w[:200],))
+        columns = list(zip(*least, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["kind", "rank", "token"])
+
+    return work
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = MOST_EXAMPLES, key: str = "doc_id", text: str = "text") -> Formats:
-    """Formats learned from about ``sample_docs`` rows and at most ``most`` examples of each kind, chosen by hash."""
-    found = sample_texts(docs, sample_docs, key, text).mapInArrow(_examples, "kind string, token string").distinct()
+    """Formats learned from at most ``most`` examples of each kind, chosen by hash among all rows, and ordinary tokens of about ``sample_docs`` rows."""
+    found = cut_lineage(marked_texts(docs, sample_docs, key, text).mapInArrow(_examples(most), "kind string, rank long, token string")).distinct()
     by_kind: dict[str, list[str]] = {}
     for kind in (*KINDS, "word", "number"):
-        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(most).collect()
+        rows = found.where(F.col("kind") == kind).orderBy("rank", "token").limit(most).collect()
         by_kind[kind] = [r.token for r in rows]
     ordinary = by_kind.pop("word") + by_kind.pop("number")
     return learn({k: v for k, v in by_kind.items() if v}, ordinary)

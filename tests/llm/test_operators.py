@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, graph, jaccard, mixing, neighbours, packing, personal, quality, repeats, secrets, toxicity, words
+from factloom.llm import fingerprints, graph, jaccard, mixing, neighbours, packing, personal, quality, repeats, samples, secrets, toxicity, words
 from .conftest import prose, sha
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -324,6 +324,25 @@ def test_formats_are_learned_from_examples():
     assert len(hidden) == 20 and formats.kinds["access"].moves
 
 
+def test_kinds_outside_the_sample_are_learned(spark):
+    hex_ = [sha(str(i))[:32] for i in range(30)]
+    rows = [(i, f"{prose(12, 300 + i)} {hex_[i // 20] if i % 20 == 0 else ''} mail m{i}@host{i % 7}.org" if i % 20 == 0 else prose(14, 300 + i)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    formats = secrets.fit(table, sample_docs=20)
+    assert set(formats.kinds) == {"hex"} and formats.ordinary
+    again = secrets.fit(table.repartition(7), sample_docs=20)
+    assert again == formats
+    assert secrets.learned_spans("key " + sha("other")[:30] + " end", formats)
+    assert personal.fit(table, sample_docs=20) is not None
+    least = samples.Least(5)
+    for i in [*range(50), *range(50)]:
+        least.add("a", (f"x{i}",))
+    back = samples.Least(5)
+    for i in reversed(range(50)):
+        back.add("a", (f"x{i}",))
+    assert list(least) == list(back) and len(list(least)) == 5
+
+
 PERSONAL = [
     "mail a.b@c-d.org, x@y or q@w.e.", "host 10.0.0.255 and 1.2.3.400 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 and 378282246310005",
     "call +49 (30) 1234-5678 or +1 2 3", "a@b.c" * 50, "+" + "1" * 40, "٣.١.٤.١ ١٢٣٤٥٦٧٨٩٠١٢", "00000004111111111111111",
