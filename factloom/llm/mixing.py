@@ -3,8 +3,10 @@
 Every source is a queue of shuffled documents.  A document's virtual finish time
 is the number of its source's words up to and with it, divided by the source's
 target.  All queues are served at once, so at virtual time v a source has given
-v times its target: the documents sorted by finish time are the mix, and the mix
-is cut where the running total reaches the budget.  A source that must give more
+v times its target: the documents sorted by finish time are the mix.  At time 1
+every source has given its target and the total is the budget, so each source is cut
+at its own target and no running total over the sources is kept; a cut of the total would
+differ only in the document that each source is serving then.  A source that must give more
 than it has starts again (next pass) in another shuffled order.
 
 Everything is DataFrame code.  The running sums inside a source are taken in
