@@ -6,12 +6,12 @@ character of each kind); the CRF adds scores for tag pairs, and the best tag pat
 a window is decoded.  It is trained in numpy, by the likelihood of the true
 path, on windows around labelled spans: what the patterns find in all rows, of each
 kind the ``MOST_SPANS`` places of the least hash, and the same spans written in ways the
-patterns do not know (other separators, spaced or spelled-out marks).  Windows
+patterns do not know (other separators, spaced or bracketed marks).  Windows
 without spans come from about ``SAMPLE_DOCS`` rows chosen by hash.
 
 Texts are read in windows of ``WINDOW`` characters that overlap by half, placed
-wherever a text has a digit or an at sign; other windows cannot hold personal
-data of these kinds, since every labelled span has such a character.  Where
+wherever a text has an ASCII digit or an at sign, as every labelled span has.
+Personal data spelled out in words (name at host dot org) is neither trained nor read.  Where
 windows overlap, each position takes the tags of the window whose middle is
 nearer, then spans are read off the whole text.  Found spans that touch none of
 the patterns' spans are added to them.
