@@ -69,7 +69,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/factloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` returned, once what was made of it is stored."""
+    path = table._cut_path
+    if path in _TABLES:
+        _TABLES.remove(path)
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_intermediates(spark: SparkSession) -> int:
