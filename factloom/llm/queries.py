@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, neighbours, packing, personal, repeats, secrets, toxicity
+from . import fingerprints, interactions, jaccard, minhash, mixing, neighbours, packing, personal, repeats, secrets, sql, toxicity, vector_codes
 from . import quality as quality_model
 
 
@@ -56,6 +56,18 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_docs(spark, sf))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return interactions.filter_audit(_docs(spark, sf), _labels(spark, sf))
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.encode(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op13_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.join(_docs(spark, sf))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
@@ -67,7 +79,15 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
     "op10_pack": op10_pack,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_near_duplicates": op13_near_duplicates,
 }
 
-# The dealt operators hash, learn or tokenize, which SQL cannot say the same way; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+# The others hash, learn or tokenize, which SQL cannot say the same way; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op6_jaccard_join": sql.near_duplicates(90, kept=False),
+    "op11_filter_audit": sql.FILTER_AUDIT,
+    "op12_vector_codes": sql.VECTOR_CODES,
+    "op13_near_duplicates": sql.near_duplicates(85, kept=True),
+}
