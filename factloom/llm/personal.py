@@ -55,10 +55,12 @@ RATE = 0.02
 SLICE_WINDOWS = 2048
 LEAST_CHARS = {"email": 6, "ip": 7, "card": 12, "phone": 9}
 
-# Patterns of the contract (fixed values).
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# Patterns of the contract (fixed values), in forms that take time in proportion to the text: what a run of digits is followed by does not
+# depend on where in the run a match starts, so a run is tried once, from its left end, and never given back.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _CUE = re.compile(r"[0-9@]")
@@ -75,8 +77,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """What the patterns find, leftmost and non-overlapping in each kind; failing matches are dropped."""
     out: list[Span] = []
-    if "@" in text:
-        out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
+    out += [("email", start, end) for start, end in _emails(text)]
     if _DIGIT.search(text):
         out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
@@ -90,8 +91,23 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of name, at sign and host, from left to right: each at sign with the run of name characters before it that no match holds."""
+    taken, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > taken and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            taken = host.end()
+            yield start, taken
+        at = text.find("@", max(at + 1, taken))
+
+
 def _small(part: str) -> bool:
-    return len(part.lstrip("0")) <= 3 and int(part) <= 255
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
 
 
 # ---- characters and tags

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -362,6 +363,21 @@ def brute_personal(t):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(out, key=lambda x: (x[1], order.index(x[0]))))
 
 
+def test_patterns_of_odd_texts():
+    draw = random.Random(11)
+    for alphabet in ("a.@1-", "0123456789. ", "+1 (.-", "x%@.a+", "1.2-3 @+a"):
+        for _ in range(400):
+            t = "".join(draw.choice(alphabet) for _ in range(draw.randrange(0, 60)))
+            order = personal.KINDS
+            got = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(personal.base_spans(t), key=lambda x: (x[1], order.index(x[0]))))
+            assert got == brute_personal(t), t
+    assert personal.base_spans("1.2.3." + "0" * 5000 + "1") == [("ip", 0, 5007)]
+    start = time.time()
+    for t in ("7" * 1_000_000, "b" * 1_000_000 + "@", "a." * 500_000, "1." * 500_000, "+" + "1 " * 500_000 + "x", "a@" * 500_000, "a@b" * 300_000):
+        personal.base_spans(t)
+    assert time.time() - start < 30
+
+
 def test_personal_data(spark, docs, texts, empty):
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(900 + i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string"))
     text_of = {i: t or "" for i, t, _ in texts} | {900 + i: t for i, t in enumerate(PERSONAL)}
