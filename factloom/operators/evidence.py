@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import urls as U
 from ..lexicons import DEFAULT, Lexicons
+from ..session import cut_lineage
 from . import cleaning as C
 from .dense import clamp01
 from .ordered import top_k
@@ -141,6 +142,36 @@ def result_relevance(df: DataFrame, query: str, out: str = "relevance", lex: Lex
     return staged.withColumn(out, value).drop("_low", "_terms", "_hit")
 
 
+def rank_results(results: DataFrame, keys: list[str], query: str, order: str, limit: int | None = None, lex: Lexicons = DEFAULT) -> DataFrame:
+    """Search results of a query in one pass: ``relevance``, ``outcome`` and ``place`` of every row.
+
+    no_address     not a web address
+    duplicate      the address came before, in ``order`` (whatever became of that row)
+    low_value_...  ``low_value_result``
+    low_relevance  no relevance
+    over_limit     ranked after the first ``limit`` (default: none is)
+    kept           with its place from 1, by relevance, then ``order``
+    """
+    staged = result_relevance(results.withColumn("_url", U.canonical(F.col("source"))), query, "relevance", lex)
+    # the first row of each address by its key alone
+    firsts = staged.filter(F.col("_url") != "").groupBy(*keys, "_url").agg(F.min(order).alias("_first"))
+    staged = staged.join(firsts, [*keys, "_url"], "left")
+    reason = (
+        F.when(F.col("_url") == "", "no_address")
+        .when(F.col(order) > F.col("_first"), "duplicate")
+        .when(low_value_result(F.col("source"), F.col("title"), F.col("content"), lex).isNotNull(), low_value_result(F.col("source"), F.col("title"), F.col("content"), lex))
+        .when(F.col("relevance") <= 0, "low_relevance")
+    )
+    staged = cut_lineage(staged.withColumn("_reason", reason).drop("_url", "_first"))
+    ranked = staged.filter("_reason IS NULL").select(*keys, order, "relevance")
+    best = top_k(ranked, keys, [F.desc("relevance"), F.col(order)], limit, "place") if limit else ranked.withColumn(
+        "place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("relevance"), F.col(order)))
+    )
+    out = staged.join(best.select(*keys, order, "place"), [*keys, order], "left")
+    outcome = F.coalesce("_reason", F.when(F.col("place").isNull(), "over_limit").otherwise("kept"))
+    return out.withColumn("outcome", outcome).drop("_reason")
+
+
 def html_result_relevance(df: DataFrame, query: str, body: str, out: str = "relevance", lex: Lexicons = DEFAULT) -> DataFrame:
     """Relevance of scraped results: domain terms, a little for query terms,
     a lot off for terms of other meanings."""

@@ -159,25 +159,32 @@ def _run_lengths(words: Column) -> Column:
     )
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text") -> DataFrame:
-    """(chunk_id, token, n).  A chunk is one row, so its tokens are counted
+def postings(
+    chunks: DataFrame, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text", with_length: bool = False
+) -> DataFrame:
+    """(chunk_id, token, n), and with ``with_length`` the chunk's ``dl``.  A chunk is one row, so its tokens are counted
     inside the row and nothing is shuffled.
 
     Multi-word expansion terms, a fixed list, are indexed like tokens.
     """
-    staged = chunks.select(F.col(chunk_id).alias("chunk_id"), _search_text(title, url, body).alias("_text"))
+    kept = [F.col(chunk_id).alias("chunk_id"), *([_indexed_length(title, url, body).alias("dl")] if with_length else [])]
+    staged = chunks.select(*kept, _search_text(title, url, body).alias("_text"))
     words = F.filter(F.split(F.col("_text"), f"{T.WS}+"), lambda t: F.length(t) >= 3)
     present = F.filter(F.array(*[F.lit(p) for p in PHRASES]), lambda p: F.contains(F.col("_text"), p))
     phrases = F.transform(
         present, lambda p: F.struct(p.alias("token"), T.occurrences(F.col("_text"), p).cast("long").alias("n"))
     )
-    return staged.select("chunk_id", F.inline(F.concat(_run_lengths(words), phrases)))
+    return staged.select(*staged.columns[:-1], F.inline(F.concat(_run_lengths(words), phrases)))
+
+
+def _indexed_length(title: str, url: str, body: str) -> Column:
+    grams = [F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in (title, url, body)]
+    return grams[0] + grams[1] + grams[2]
 
 
 def lengths(chunks: DataFrame, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text") -> DataFrame:
     """Indexed length: number of character trigrams of the three fields."""
-    grams = [F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in (title, url, body)]
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), (grams[0] + grams[1] + grams[2]).alias("dl"))
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), _indexed_length(title, url, body).alias("dl"))
 
 
 def _trigrams(col: Column) -> Column:

@@ -22,6 +22,7 @@ AVERAGES = {
     "entity": "technical_entity_match",
     "entity_precision": "technical_entity_precision",
     "entity_recall": "technical_entity_recall",
+    "entity_f_beta": "technical_entity_f_beta",
     "unsupported_rate": "unsupported_entity_rate",
 }
 

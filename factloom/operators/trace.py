@@ -85,6 +85,40 @@ def retrieval_diagnostics(log: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: what an answer with knowledge base evidence names, any one group in full
+KB_MARKS = (("local_kb_chunk",), ("本地", "知识库"))
+
+
+def retrieval_usage(predictions: DataFrame, log: DataFrame, order: str = "step", marks: tuple[tuple[str, ...], ...] = KB_MARKS) -> DataFrame:
+    """One row: samples that chose the knowledge base, share of answers that show its evidence, and the index of the last call that named one.
+
+    ``predictions`` has ``selected`` (tool names) and ``answer`` per sample.  No row where nobody chose it and nothing called it.
+    """
+    answer = F.coalesce("answer", F.lit(""))
+    shown = F.lit(False)
+    for group in marks:
+        every = F.lit(True)
+        for mark in group:
+            every = every & F.contains(answer, F.lit(mark))
+        shown = shown | every
+    chosen = predictions.agg(
+        F.count_if(F.array_contains("selected", RETRIEVE)).alias("local_retrieve_selected_samples"),
+        F.coalesce(F.round(F.avg(shown.cast("double")), 4), F.lit(0.0)).alias("kb_evidence_used_rate"),
+    )
+    calls = log.filter((F.col("tool_name") == RETRIEVE) | (F.col("action") == "circuit_md_fts_search"))
+    field = lambda path: F.nullif(F.get_json_object("outputs", path), F.lit(""))
+    path = F.coalesce(field("$.metadata.index_status.db_path"), field("$.metadata.index_dir"))
+    exists = field("$.metadata.index_status.exists")
+    exists = F.when(exists.isin("true", "false"), exists == "true")
+    last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col(order)))
+    index = calls.agg(
+        F.count("*").alias("local_retrieve_calls"), F.coalesce(last(path), F.lit("")).alias("index_path"), last(exists).alias("index_exists")
+    )
+    # one row each
+    both = chosen.withColumn("_one", F.lit(1)).join(index.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.filter("local_retrieve_calls > 0 OR local_retrieve_selected_samples > 0")
+
+
 # fixed values: how a sample used the knowledge base
 BUCKET_NAMES = {
     "not_called": "KB未调用", "nothing_found": "KB无高相关结果", "discarded": "KB候选被丢弃", "in_answer": "KB进入答案",

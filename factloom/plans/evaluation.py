@@ -9,7 +9,7 @@ from ..lexicons import DEFAULT, Lexicons
 from ..operators import matching as M
 from ..operators import scoring as S
 from ..operators.lexical import token_idf
-from ..operators.selection import remaining
+from ..operators.predictions import Joined, join_predictions
 
 
 def corpus_idf(pairs: DataFrame, lex: Lexicons = DEFAULT) -> DataFrame:
@@ -60,7 +60,15 @@ def evaluate(pairs: DataFrame, lex: Lexicons = DEFAULT, judged: DataFrame | None
     return S.evaluate(rows, unsupported="unsupported")
 
 
-def evaluate_batch(pairs: DataFrame, done: DataFrame | None, lex: Lexicons = DEFAULT, judged: DataFrame | None = None) -> DataFrame:
-    """Only the samples that have no result yet."""
-    todo = remaining(pairs, done, "sample_id") if done is not None else pairs
-    return evaluate(todo, lex, judged)
+def evaluate_batch(
+    predictions: DataFrame, dataset: DataFrame, done: DataFrame | None = None, order: str = "position", lex: Lexicons = DEFAULT,
+    judged: DataFrame | None = None,
+) -> tuple[DataFrame, Joined]:
+    """Evaluations of the predictions (sample_id, ``order``, prediction) that have a sample (sample_id, question, reference) and no result in
+    ``done``; and the join, whose rows name every prediction and sample that was left out.
+
+    Of a sample with several predictions the first is evaluated.
+    """
+    joined = join_predictions(predictions, dataset, order=order, done=done)
+    pairs = joined.rows.where("outcome = 'pending'").select("sample_id", "question", "reference", F.coalesce("prediction", F.lit("")).alias("prediction"))
+    return evaluate(pairs.dropDuplicates(["sample_id"]), lex, judged), joined

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..lexicons import DEFAULT, Lexicons
-from ..operators import chunking, cleaning, dedup, lexical
+from ..operators import chunking, cleaning, dedup, numbering, stored_index
 from ..session import cut_lineage
+from ..sources import headers
+from ..sources import pages as pages_source
 
 
 @dataclass(frozen=True)
@@ -57,8 +59,12 @@ def _finish(staged: DataFrame, order: str, sections: bool, lex: Lexicons, exact:
     )
     funnel = staged.join(state, order, "left").withColumn("reject_reason", reason).drop("_unique", "_chunked")
     pages = unique.drop("_key", "reject_reason").join(with_chunks.drop("_chunked"), order, "left_semi")
-    ids = chunks.withColumn("chunk_id", F.col(order) * 100000 + F.col("chunk_index"))
-    return KnowledgeBase(funnel, pages, ids)
+    return KnowledgeBase(funnel, pages, chunks)
+
+
+def with_ids(chunks: DataFrame, order: str) -> DataFrame:
+    """``chunk_id``: dense numbers from 0 by page and place in the page, however many pages and chunks there are."""
+    return numbering.numbered(chunks, [order, "chunk_index"], "chunk_id")
 
 
 def basic(pages: DataFrame, order: str, lex: Lexicons = DEFAULT, exact: bool = True) -> KnowledgeBase:
@@ -107,57 +113,109 @@ def diagnosis(pages: DataFrame, order: str, max_docs: int | None = None, lex: Le
     )
 
 
-def high_quality(
-    pages: DataFrame, order: str, max_docs: int = 10_000, floor: int = 3, lex: Lexicons = DEFAULT, by_prefix: bool = False
-) -> KnowledgeBase:
-    """Header score, clean, split into articles, best article by page quality,
-    section chunks with a context prefix, chunk dedup.
+def diagnosis_from_files(
+    spark: SparkSession, roots: list[str], forbidden: tuple[str, ...] = (), max_docs: int | None = None, lex: Lexicons = DEFAULT, **scan
+) -> tuple[KnowledgeBase, DataFrame]:
+    """The two phases over page files: heads first, then the bodies of the files whose source is allowed.  Returns the knowledge base and the
+    files that it never opened, with ``reject_reason`` (``oversized``, ``read_error``, ``source``).  Pages are numbered by (root, page number, path)."""
+    heads = headers.scan_heads(spark, roots, forbidden, **scan)
+    known = pages_source.headers(heads)
+    allowed = cleaning.source_allowed(F.col("title"), F.col("url"), lex)
+    known = cut_lineage(known.withColumn("reject_reason", F.coalesce("reject_reason", F.when(~allowed, "source"))))
+    wanted = numbering.numbered(known.where("reject_reason IS NULL").select("path", "source_no", "page_no"), ["source_no", "page_no", "path"], "page_order")
+    whole = headers.with_bodies(wanted).withColumn("raw", pages_source.decode(F.col("content"))).drop("content")
+    parsed = pages_source.parse(whole, "raw", "path")
+    return diagnosis(parsed, "page_order", max_docs, lex), known.where("reject_reason IS NOT NULL")
 
-    Chunks are duplicates when their bodies are equal; ``by_prefix`` uses the
-    first 80 characters of the prefixed chunk instead.
-    """
+
+MIN_ARTICLE = 200
+
+
+def quality_headers(pages: DataFrame, order: str, lex: Lexicons = DEFAULT, rules: DataFrame | None = None) -> DataFrame:
+    """The first phase: order, title, url, host, ``quick`` (checked terms in title and address) and ``reject_reason``
+    (host_rules, low_value_source, no_terms), from the columns of a header alone."""
+    staged = pages.select(order, "title", "url", U.host(F.col("url")).alias("host"))
+    staged = staged.withColumn("_path", F.lower(U.path(F.col("url")))).withColumn("_title", F.lower(F.coalesce(T.strip(F.col("title")), F.lit(""))))
+    rules = pages_source.host_rules(pages.sparkSession) if rules is None else rules
+    staged = pages_source.apply_host_rules(staged, rules, "host", "_path", "_title").drop("_path", "_title")
     low = F.lower(F.concat_ws("\n", "title", "url"))
-    scored = pages.withColumn("_quick", T.hits(low, [m.lower() for m in lex.quick_check])).withColumn(
-        "host", U.host(F.col("url"))
-    )
-    best = scored.filter("_quick > 0").orderBy(F.desc("_quick"), order).limit(2 * max_docs).drop("_quick")
-    cleaned = cleaning.clean_public_text(best.drop("text_hash"), "text", "_clean", lex).drop("text")
-    cleaned = cleaning.strip_host_lines(cleaned, "_clean", "host", "text").drop("_clean")
-    articles = chunking.split_articles(cleaned, "text", "title").filter(F.length("article") >= 200)
-    quality = cleaning.page_quality(articles.drop("text"), "title", "url", "article", lex)
-    rank = F.struct(F.col("quality"), -F.col("article_rank"))
-    cols = [c for c in quality.columns if c != order and not c.startswith("q_")]
-    chosen = quality.groupBy(order).agg(F.max_by(F.struct(*cols), rank).alias("_b")).select(order, "_b.*")
-    chosen = chosen.withColumnRenamed("article", "text").withColumn("text_hash", F.sha1(F.encode("text", "UTF-8")))
-    reason = F.when(F.col("quality") < floor, "low_quality")
-    kb = _finish(chosen.withColumn("reject_reason", reason).drop("article_rank"), order, True, lex, exact=False)
-    prefixed = F.concat(
-        F.lit("[文档: "), F.substring("title", 1, 100), F.lit("] [来源: "), "host", F.lit("] "), "chunk_text"
+    staged = staged.withColumn("quick", T.hits(low, [m.lower() for m in lex.quick_check]))
+    reason = (
+        F.when(~F.col("allowed"), "host_rules").when(cleaning.low_value_source(F.col("url"), lex), "low_value_source").when(F.col("quick") == 0, "no_terms")
     )
-    chunks = kb.chunks.withColumn("text", prefixed)
-    key = dedup.prefix_key(F.col("text")) if by_prefix else dedup.content_key(F.col("chunk_text"))
-    unique = dedup.keep_first(chunks.withColumn("_k", key), "_k", "chunk_id").drop("_k", "first_position")
-    return KnowledgeBase(kb.funnel, kb.pages, unique)
+    return staged.withColumn("reject_reason", reason).drop("allowed")
 
 
-def index(chunks: DataFrame, chunk_id: str = "chunk_id", body: str = "chunk_text") -> dict[str, DataFrame]:
-    return {
-        "postings": lexical.postings(chunks, chunk_id, "title", "url", body),
-        "lengths": lexical.lengths(chunks, chunk_id, "title", "url", body),
-    }
+def first_kept(pages: DataFrame, order: list[str], most: int | None, out: str = "place") -> DataFrame:
+    """``pages`` numbered from 0 in ``order``; with ``most`` only the first so many.  A prefix count over ranges: nothing is sorted in one place, and
+    what comes after the cut is not looked at again."""
+    placed = numbering.numbered(pages, order, out)
+    return placed if most is None else placed.where(F.col(out) < most)
 
 
-def write(kb: KnowledgeBase, folder: str, mode: str = "overwrite") -> None:
-    """Parquet tables ``pages``, ``chunks``, ``postings`` (by token), ``lengths``
-    and ``build_counts``."""
-    kb.pages.write.mode(mode).parquet(f"{folder}/pages")
-    kb.chunks.write.mode(mode).parquet(f"{folder}/chunks")
-    stored = kb.chunks.sparkSession.read.parquet(f"{folder}/chunks")
-    tables = index(stored)
-    tables["postings"].repartitionByRange("token").sortWithinPartitions("token").write.mode(mode).parquet(
-        f"{folder}/postings"
+def high_quality(
+    pages: DataFrame, order: str, max_docs: int | None = None, floor: int = 3, lex: Lexicons = DEFAULT, by_prefix: bool = False, rules: DataFrame | None = None
+) -> KnowledgeBase:
+    """Header phase; clean, split into articles, best article by page quality, section chunks with a context prefix; then
+    the first page of each address in order of the header score, and of these the first ``max_docs`` (default: all), then chunk dedup.
+
+    The stop counts pages that passed every filter, so the pages it keeps do not depend on how many were looked at.  Chunks are duplicates when
+    their bodies are equal; ``by_prefix`` uses the first 80 characters of the prefixed chunk instead.  Tables are written behind the headers, behind the
+    cleaning and behind the chunks, so that no rule runs twice.
+    """
+    heads = cut_lineage(quality_headers(pages, order, lex, rules))
+    open_ = heads.where("reject_reason IS NULL").select(order, "host", F.negative("quick").alias("_rank"))
+    deep = pages.drop("text_hash", "host").join(open_, order)
+    cleaned = cleaning.clean_public_text(deep, "text", "_clean", lex).drop("text")
+    cleaned = cut_lineage(cleaning.strip_host_lines(cleaned, "_clean", "host", "text").drop("_clean"))
+    whole = cleaned.where(F.length("text") >= MIN_ARTICLE)
+    articles = chunking.split_articles(whole, "text", "title").where(F.length("article") >= MIN_ARTICLE)
+    scored = cut_lineage(cleaning.page_quality(articles.drop("text"), "title", "url", "article", lex, host="host"))
+    # the best article by its key alone, then its text
+    best = scored.groupBy(order).agg(F.max(F.struct("quality", F.negative("article_rank").alias("back"))).alias("_b"))
+    best = best.select(F.col(order).alias("_o"), F.col("_b.quality").alias("_q"), F.negative("_b.back").alias("_a"))
+    best = best.where(F.col("_q") >= floor)
+    chosen = scored.join(best, (F.col(order) == F.col("_o")) & (F.col("article_rank") == F.col("_a"))).drop("_o", "_q", "_a", "article_rank")
+    chosen = chosen.drop(*[c for c in chosen.columns if c.startswith("q_")]).withColumnRenamed("article", "text")
+    chunks = chunking.section_chunks(chosen, "text")
+    chunks = cut_lineage(chunks.where(cleaning.chunk_is_useful(F.col("chunk_text"), lex)))
+    chunked = chunks.select(order, "_rank", "url").dropDuplicates([order])
+    key = F.coalesce(T.blank_to_null(F.col("url")), F.concat(F.lit("#"), F.col(order).cast("string")))
+    firsts = chunked.groupBy(key.alias("_key")).agg(F.min(F.struct("_rank", order)).alias("_f")).select("_f.*")
+    kept = cut_lineage(first_kept(firsts, ["_rank", order], max_docs).drop("_rank"))
+
+    known = [
+        (cleaned.where(F.length("text") >= MIN_ARTICLE), "_whole"), (best.select(F.col("_o").alias(order)), "_good"), (chunked, "_chunked"), (firsts, "_first"), (kept, "_kept"),
+    ]
+    funnel = heads
+    for table, flag in known:
+        funnel = funnel.join(table.select(order).withColumn(flag, F.lit(True)), order, "left")
+    reason = (
+        F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
+        .when(F.col("_whole").isNull(), "empty_after_clean")
+        .when(F.col("_good").isNull(), "low_quality")
+        .when(F.col("_chunked").isNull(), "no_chunks")
+        .when(F.col("_first").isNull(), "duplicate")
+        .when(F.col("_kept").isNull(), "over_limit")
     )
-    tables["lengths"].write.mode(mode).parquet(f"{folder}/lengths")
-    counters(kb.funnel).write.mode(mode).json(f"{folder}/build_counts")
+    funnel = funnel.withColumn("reject_reason", reason).drop(*[flag for _, flag in known])
+    prefixed = F.concat(F.lit("[文档: "), F.substring("title", 1, 100), F.lit("] [来源: "), "host", F.lit("] "), "chunk_text")
+    chunks = chunks.drop("_rank").join(kept, order).withColumn("text", prefixed)
+    same = dedup.prefix_key(F.col("text")) if by_prefix else dedup.content_key(F.col("chunk_text"))
+    # the first chunk of each content by its key alone: no text is held in an aggregate
+    keyed = chunks.withColumn("_k", same)
+    first = keyed.groupBy("_k").agg(F.min(F.struct("place", "chunk_index")).alias("_f")).select("_f.*")
+    unique = keyed.drop("_k").join(first, ["place", "chunk_index"], "left_semi")
+    return KnowledgeBase(funnel, chosen.drop("_rank").join(kept, order), unique)
+
+
+def write(kb: KnowledgeBase, folder: str, order: str) -> stored_index.Index:
+    """Parquet tables ``pages`` and ``chunks``, ``build_counts``, and the term index of the chunks under ``index``,
+    which ``stored_index.open_index`` opens.  The folder must be new; the index is complete last."""
+    kb.pages.write.parquet(f"{folder}/pages")
+    with_ids(kb.chunks, order).write.parquet(f"{folder}/chunks")
+    counters(kb.funnel).write.json(f"{folder}/build_counts")
+    stored = kb.chunks.sparkSession.read.parquet(f"{folder}/chunks")
+    return stored_index.build(stored, f"{folder}/index", body="chunk_text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lexicons import DEFAULT, Lexicons
-from ..operators import hybrid
+from ..operators import hybrid, stored_index
 from ..operators import lexical as L
 from ..session import cut_lineage, spread
 
@@ -19,19 +19,25 @@ def stored_postings(chunks: DataFrame) -> DataFrame:
 
 def sparse(
     queries: DataFrame, chunks: DataFrame, query_id: str, query: str, lex: Lexicons = DEFAULT, posts: DataFrame | None = None,
-    lens: DataFrame | None = None, limit: int = L.CANDIDATES,
+    lens: DataFrame | None = None, limit: int = L.CANDIDATES, index: stored_index.Index | None = None,
 ) -> DataFrame:
     """Ranked candidates of every query with their chunk and profile columns.
 
+    With ``index`` they come from the stored index; otherwise ``chunks`` are indexed for this search.
     Queries whose terms match nothing in the index fall back to the first
     specific terms with a constant score.
     """
     profiled = L.query_profile(queries, query, lex)
-    posts = stored_postings(chunks) if posts is None else posts
-    lens = L.lengths(chunks) if lens is None else lens
-    found = L.bm25(profiled, posts, lens, query_id, limit)
+    if index is None:
+        posts = stored_postings(chunks) if posts is None else posts
+        lens = L.lengths(chunks) if lens is None else lens
+        found = L.bm25(profiled, posts, lens, query_id, limit)
+    else:
+        found = cut_lineage(stored_index.search(profiled, index, query_id, limit))
     unmatched = profiled.join(found.select(query_id).distinct(), query_id, "left_anti")
-    loose = L.like_search(unmatched, chunks, query_id, limit)
+    loose = stored_index.contains_search(unmatched, chunks, query_id, limit) if index else None
+    if loose is None:
+        loose = L.like_search(unmatched, chunks, query_id, limit)
     hits = found.unionByName(loose)
     return with_context(hits, profiled, chunks, query_id)
 
@@ -44,14 +50,14 @@ def with_context(hits: DataFrame, profiled: DataFrame, chunks: DataFrame, query_
 
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, dense_hits: DataFrame, query_id: str, query: str, lex: Lexicons = DEFAULT,
-    limit: int = 4, posts: DataFrame | None = None, lens: DataFrame | None = None,
+    limit: int = 4, posts: DataFrame | None = None, lens: DataFrame | None = None, index: stored_index.Index | None = None,
 ) -> DataFrame:
     """All candidates with scores and ``discard_reason``.
 
     ``dense_hits`` has ``query_id, chunk_id, score``.
     """
     profiled = L.query_profile(queries, query, lex)
-    ranked = L.rerank(sparse(queries, chunks, query_id, query, lex, posts, lens), query, lex)
+    ranked = L.rerank(sparse(queries, chunks, query_id, query, lex, posts, lens, index=index), query, lex)
     merged = hybrid.merge(ranked, dense_hits, query_id)
     full = with_context(merged, profiled, chunks, query_id)
     return hybrid.search(full, query_id, "hybrid_score", limit, hybrid=True, lex=lex)

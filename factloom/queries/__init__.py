@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def load() -> dict[str, tuple[Plan, str | None]]:
-    from . import building, evaluation, retrieval, runs, sourcing, tracing  # noqa: F401
+    from . import building, evaluation, flows, retrieval, runs, sourcing, tracing  # noqa: F401
 
     return REGISTRY

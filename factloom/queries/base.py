@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, WS_CHARS
 from ..lexicons import DEFAULT
-from ..session import spread
+from ..operators import stored_index
+from ..session import shared_folder, spread
 
 # Lists with terms that occur in the given tables, for the queries below.
 SYN = replace(
@@ -79,6 +81,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], stored_index.Index] = {}
+
+
+def index(spark: SparkSession, sf: str) -> stored_index.Index:
+    """The stored term index of ``chunks``, built at the first search of a session over the table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = stored_index.build(chunks(spark, sf), f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 # --- pairs: question, reference (last answer), prediction (first answer) ----
 
 PAIRS = """pairs AS (

@@ -14,10 +14,11 @@ from ..operators import html as H
 from ..operators import hybrid as Y
 from ..operators import lexical as L
 from ..operators import ordered as O
+from ..operators import stored_index
 from ..plans import retrieval as R
 from . import query
 from .base import (
-    CHUNKS, PAIRS, SYN, chunks, pairs, q, sql_any, sql_hits, sql_in, sql_list, sql_occs, sql_squeeze, table,
+    CHUNKS, PAIRS, SYN, chunks, index, pairs, q, sql_any, sql_hits, sql_in, sql_list, sql_occs, sql_squeeze, table,
 )
 from .sourcing import _HOST_SQL, _boilerplate_sql, _url_part
 
@@ -91,8 +92,7 @@ BM25 = f"""{CHUNKS}, {PROFILE}, {_TF},
 
 
 def _bm25(spark, sf, limit):
-    base = chunks(spark, sf)
-    return L.bm25(_profiled(spark, sf), R.stored_postings(base), L.lengths(base), "item_id", limit)
+    return stored_index.search(_profiled(spark, sf), index(spark, sf), "item_id", limit)
 
 
 @query(
@@ -144,9 +144,14 @@ _SHARED = " + ".join(
     f"CASE WHEN contains(low, {q(t.lower())}) AND (contains(ql, {q(t.lower())}) OR contains(h, {q(t.lower())})) THEN 0.6 ELSE 0.0 END" for t in SYN.technical
 )
 _PROJECT = sql_any("lower(url)", SYN.project_sources)
-RERANK = f"""{BM25}, {_PROFILE_LISTS},
+# candidates: BM25, and for items without any the chunks that hold one of their terms of whatever length
+_CANDIDATES = """fallback AS (SELECT DISTINCT item_id, chunk_id FROM likes CROSS JOIN (SELECT chunk_id, lower(title) AS head, lower(text) AS body FROM chunks)
+    WHERE item_id NOT IN (SELECT item_id FROM cand) AND (contains(head, k) OR contains(body, k))),
+  cands AS (SELECT item_id, chunk_id, bm25_score FROM cand WHERE rank <= 80 UNION ALL
+    (SELECT item_id, chunk_id, 10.0 FROM fallback QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) <= 80))"""
+RERANK = f"""{BM25}, {_PROFILE_LISTS}, {_CANDIDATES},
   hits AS (SELECT item_id, chunk_id, bm25_score, title, url, c.text, lower(title || ' ' || url) AS h, lower(title || ' ' || url || ' ' || c.text) AS low,
-      lower(b.text) AS ql, p.* EXCLUDE (item_id) FROM (SELECT * FROM cand WHERE rank <= 80) JOIN chunks c USING (chunk_id) JOIN prof p USING (item_id) JOIN benchmark b USING (item_id)),
+      lower(b.text) AS ql, p.* EXCLUDE (item_id) FROM cands JOIN chunks c USING (chunk_id) JOIN prof p USING (item_id) JOIN benchmark b USING (item_id)),
   flats AS (SELECT *, {sql_squeeze('low')} AS flat, {_HV} AS hv FROM hits),
   rr AS (SELECT *, 1.0 / (1.0 + abs(bm25_score)) - CASE WHEN {_boilerplate_sql('flat')} THEN 8.0 ELSE 0.0 END
      - CASE WHEN {sql_any('lower(url)', SYN.low_value_sources)} THEN 8.0 ELSE 0.0 END
@@ -161,7 +166,8 @@ RERANK = f"""{BM25}, {_PROFILE_LISTS},
 
 
 def _reranked(spark, sf):
-    return L.rerank(R.sparse(table(spark, sf, "benchmark").withColumnRenamed("text", "question"), chunks(spark, sf), "item_id", "question", SYN), "question", SYN)
+    queries = table(spark, sf, "benchmark").withColumnRenamed("text", "question")
+    return L.rerank(R.sparse(queries, chunks(spark, sf), "item_id", "question", SYN, index=index(spark, sf)), "question", SYN)
 
 
 @query("rule_rerank", f"WITH {RERANK} SELECT item_id, chunk_id, round(rerank_score, 6) AS score FROM rr")
@@ -280,7 +286,7 @@ _SEARCHED = f"""{_HYBRID}, full_rows AS (SELECT m.*, title, url, c.text, lower(t
 
 def _searched(spark, sf):
     queries = table(spark, sf, "benchmark").withColumnRenamed("text", "question")
-    return R.hybrid_search(queries, chunks(spark, sf), _dense_hits(spark, sf), "item_id", "question", SYN)
+    return R.hybrid_search(queries, chunks(spark, sf), _dense_hits(spark, sf), "item_id", "question", SYN, index=index(spark, sf))
 
 
 @query(
@@ -396,23 +402,40 @@ _STERMS = f"""list_distinct(list_filter(list_transform(regexp_extract_all(questi
    lambda x: length(x) >= 2 AND x NOT IN {sql_in(SYN.search_stop)}))"""
 
 
-@query(
-    "search_relevance",
-    f"""WITH {_EVID}, t AS (SELECT item_id, rank, score, source, lower(title || ' ' || content || ' ' || source) AS low, {_STERMS} AS terms FROM ev),
+_RELEVANCE = f"""{_EVID}, t AS (SELECT item_id, rank, score, source, lower(title || ' ' || content || ' ' || source) AS low, {_STERMS} AS terms FROM ev),
       u AS (SELECT item_id, rank, score, source, low, terms, unnest(terms) AS term FROM t),
       h AS (SELECT item_id, rank, any_value(score) AS score, any_value(source) AS source, count(*) AS n,
           count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE model) AS models, count(*) FILTER (WHERE model AND hit) AS mhits FROM (
             SELECT *, CASE WHEN regexp_matches(term, '^[a-z0-9_.+-]+$') THEN regexp_matches(low, '(^|[^a-z0-9_.+-])' || regexp_replace(term, '([.+])', '\\\\\\1', 'g') || '($|[^a-z0-9_.+-])')
                ELSE contains(low, term) END AS hit, regexp_matches(term, '[a-z]{{1,8}}[0-9]{{2,6}}|[0-9]{{2,6}}[a-z]{{1,8}}') AS model FROM u) GROUP BY 1, 2),
-      c AS (SELECT *, hits / CAST(n AS DOUBLE) AS cov, regexp_extract(source, '://([^/]+)', 1) IN {sql_in(SYN.trusted_hosts)} AS ok FROM h)
-      SELECT item_id, rank AS place, round(CASE WHEN NOT ok AND ((models > 0 AND mhits = 0 AND cov < 0.35) OR (mhits = 0 AND cov < 0.12) OR (mhits = 0 AND score <= 0 AND cov < 0.2)) THEN 0.0
-         ELSE greatest(score + cov * 3.0 + mhits * 2.0 + CASE WHEN ok THEN 1.0 ELSE 0.0 END + CASE WHEN models > 0 AND mhits = 0 THEN -1.5 ELSE 0.0 END, 0.01) END, 6) AS relevance FROM c""",
-)
+      c AS (SELECT *, hits / CAST(n AS DOUBLE) AS cov, regexp_extract(source, '://([^/]+)', 1) IN {sql_in(SYN.trusted_hosts)} AS ok FROM h)"""
+_RELEVANCE_VALUE = """CASE WHEN NOT ok AND ((models > 0 AND mhits = 0 AND cov < 0.35) OR (mhits = 0 AND cov < 0.12) OR (mhits = 0 AND score <= 0 AND cov < 0.2)) THEN 0.0
+         ELSE greatest(score + cov * 3.0 + mhits * 2.0 + CASE WHEN ok THEN 1.0 ELSE 0.0 END + CASE WHEN models > 0 AND mhits = 0 THEN -1.5 ELSE 0.0 END, 0.01) END"""
+
+
+@query("search_relevance", f"WITH {_RELEVANCE} SELECT item_id, rank AS place, round({_RELEVANCE_VALUE}, 6) AS relevance FROM c")
 def search_relevance(spark, sf):
     out = E.result_relevance(_evidence(spark, sf), "question", "relevance", SYN)
     return out.select("item_id", "place", F.round("relevance", 6).alias("relevance"))
 
 
+@query(
+    "ranked_results",
+    f"""WITH {_RELEVANCE}, d AS (SELECT item_id, rank, source, round({_RELEVANCE_VALUE}, 6) AS relevance FROM c),
+      v AS (SELECT d.*, lower(e.title) AS title, regexp_extract(d.source, '://([^/]+)', 1) AS host, lower('/' || split_part(d.source, '/', 4)) AS path
+        FROM d JOIN ev e ON e.item_id = d.item_id AND e.rank = d.rank),
+      w AS (SELECT *, list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) AS parents FROM v),
+      r AS (SELECT *, CASE WHEN source = '' THEN 'no_address' WHEN rank > min(rank) OVER (PARTITION BY item_id, source) THEN 'duplicate' WHEN list_has_any(parents, {sql_list(SYN.low_value_hosts)}) THEN 'low_value_host:' || host
+         WHEN {sql_any('path', SYN.low_value_paths)} THEN 'low_value_path' WHEN {sql_any('title', SYN.low_value_titles)} THEN 'low_value_title' WHEN relevance <= 0 THEN 'low_relevance' END AS reason FROM w),
+      p AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY item_id, reason IS NULL ORDER BY relevance DESC, rank) END AS place FROM r)
+      SELECT item_id, rank AS position, CASE WHEN place <= 5 THEN CAST(place AS INT) END AS place, coalesce(reason, CASE WHEN place <= 5 THEN 'kept' ELSE 'over_limit' END) AS outcome FROM p""",
+)
+def ranked_results(spark, sf):
+    """Search results by address, value and relevance: the five best of every question, and why the others are not."""
+    rows = _evidence(spark, sf).withColumnRenamed("place", "position")
+    return E.rank_results(rows, ["item_id"], "question", "position", 5, SYN).select("item_id", "position", "place", "outcome")
+
+
 @query("html_search_relevance")
 def html_search_relevance(spark, sf):
     from dataclasses import replace

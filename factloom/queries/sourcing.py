@@ -543,7 +543,25 @@ def hard_noise(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", reason.alias("reason")).agg(F.count("*").alias("docs"))
 
 
-@query("boilerplate_lines")
+_READABLE = f"""list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)),
+    lambda x: {sql_strip(f"regexp_replace({sql_squeeze('x')}, '^\\s*[-*|]+\\s*$', '')")}), lambda x: length(x) > 0)"""
+_NAV_WORDS = f"len(list_filter(words, lambda w: w IN {sql_in(SYN.nav_words)}))"
+
+
+@query(
+    "boilerplate_lines",
+    f"""WITH l AS (SELECT source, unnest({_READABLE}) AS x FROM documents),
+      m AS (SELECT *, lower(x) AS low, {sql_occ('x', '](')} AS links, {sql_occ('x', '![')} AS images,
+        trim(regexp_replace(regexp_replace(x, '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), '\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), ' -*_>|:;，,。') AS around,
+        array_to_string(regexp_extract_all(x, '\\[([^\\]]*)\\]\\([^)]+\\)', 1), ' ') AS labels, regexp_extract_all(lower(x), {q(K.LATIN)}) AS words FROM l),
+      n AS (SELECT *, (links > 0 OR images > 0) AND ((length(around) = 0 AND length(labels) <= 80) OR (links >= 2 AND length(around) <= 30) OR (images > 0 AND length(around) <= 20)
+        OR (length(around) <= 30 AND {sql_any('labels', SYN.boilerplate)})) AS link_line,
+        {sql_occ('low', '](')} + {sql_occ('low', 'http://')} + {sql_occ('low', 'https://')} AS marks FROM m)
+      SELECT source, count(*) AS all_lines, count(*) FILTER (WHERE length(x) <= 2 OR starts_with(low, 'url source:') OR starts_with(low, 'published time:') OR starts_with(low, 'markdown content:')
+          OR starts_with(low, 'warning: target url returned error') OR link_line OR (len(words) <= 8 AND {sql_any('low', SYN.boilerplate)}) OR (len(words) <= 12 AND {_NAV_WORDS} >= 3)
+          OR (len(words) <= 20 AND marks >= 3) OR (length(x) <= 40 AND {sql_any('x', SYN.boilerplate)}) OR regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]+$')) AS boilerplate,
+        count(*) FILTER (WHERE link_line) AS link_lines FROM n GROUP BY source""",
+)
 def boilerplate_lines(spark, sf):
     ls = table(spark, sf, "documents").select("source", F.explode(C.readable_lines(F.col("text"))).alias("x"))
     return ls.groupBy("source").agg(
@@ -569,7 +587,30 @@ def trim_to_context(spark, sf):
     return docs.select("doc_id", F.md5(F.encode(trimmed, "UTF-8")).alias("digest"))
 
 
-@query("budgeted_prefix")
+def _sql_one(condition: str, value: int) -> str:
+    return f"CASE WHEN {condition} THEN {value} ELSE 0 END"
+
+
+_DROPS = " OR ".join(f"regexp_matches(x, {q(p)})" for p in DEFAULT.compress_drops)
+_WORTH = " + ".join([
+    _sql_one(" OR ".join(f"regexp_matches(x, {q(p)})" for p in DEFAULT.causal_patterns), 3),
+    _sql_one("regexp_matches(x, '(?i)(^|[^\\p{L}\\p{N}_])(TL431|LM358|LM324|UC384|SG3525|IR2110|PC817|EL817|NE555|AO340|IRF[0-9]+|STM32|ESP32)($|[^\\p{L}\\p{N}_])')", 2),
+    _sql_one("regexp_matches(x, '(?i)[RCLDQUV][0-9]+[A-Z0-9]*')", 2),
+    _sql_one("regexp_matches(x, '(?i)[0-9]+(?:\\.[0-9]+)?(?:ohm|kohm|Ω|μF|uf|nf|pF|pf|Hz|khz|MHz|V|mA|A|W)')", 1),
+    _sql_one("length(x) >= 60", 1),
+])
+
+
+@query(
+    "budgeted_prefix",
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: length(x) > 0 AND NOT ({_DROPS})
+        AND NOT (length(x) < 15 AND NOT regexp_matches(x, '[A-Za-z]{{3,}}|[0-9]+(?:\\.[0-9]+)?[A-Za-z]'))) AS ls FROM documents),
+      r AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS pos FROM l),
+      s AS (SELECT doc_id, x, row_number() OVER w AS n, sum(length(x) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT *, {_WORTH} AS worth FROM r) WINDOW w AS (PARTITION BY doc_id ORDER BY worth DESC, pos)),
+      b AS (SELECT doc_id, string_agg(x, ' ' ORDER BY n) FILTER (WHERE used <= 600) AS best FROM s GROUP BY 1),
+      o AS (SELECT doc_id, CASE WHEN length(array_to_string(ls, ' ')) <= 600 THEN array_to_string(ls, ' ') ELSE coalesce(best, '') END AS short FROM l LEFT JOIN b USING (doc_id))
+      SELECT doc_id, CAST(length(short) AS INT) AS chars, md5(short) AS digest FROM o""",
+)
 def budgeted_prefix(spark, sf):
     out = C.compress(table(spark, sf, "documents"), "text", "short", DEFAULT, 600)
     return out.select("doc_id", F.length("short").alias("chars"), F.md5(F.encode("short", "UTF-8")).alias("digest"))

@@ -54,11 +54,11 @@ def _label(raw, name: str):
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """Title, link and date from the head of each file only."""
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
+    """Title, link and date from the head of each file: ``head`` of ``headers.scan_heads``, or the first bytes of ``content``."""
+    head = F.decode(F.col("head") if "head" in files.columns else F.substring("content", 1, HEADER_BYTES), "UTF-8")
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
     return files.select(
-        *[c for c in files.columns if c != "content"],
+        *[c for c in files.columns if c not in ("content", "head")],
         F.coalesce(T.blank_to_null(_label(head, TITLE)), stem).alias("title"),
         _label(head, LINK).alias("url"),
         F.coalesce(T.blank_to_null(_label(head, DATE)), F.lit(UNKNOWN)).alias("published_at"),
@@ -92,9 +92,25 @@ def host_rules(spark: SparkSession, rules: list[tuple] | None = None) -> DataFra
     return spark.createDataFrame(rules, "site string, allow array<string>, deny array<string>, titles array<string>")
 
 
-def apply_host_rules(pages: DataFrame, rules: DataFrame, site: str, path: str, title: str) -> DataFrame:
-    """Adds ``allowed``; hosts without rules pass."""
+# fixed values: hosts whose pages lie below a user's folder, and first folders there that hold no pages
+PROJECT_HOSTS = ("www.hackster.io", "hackster.io", "oshwlab.com")
+NO_PROJECTS = {"www.hackster.io": ("live", "contests", "channels", "products"), "hackster.io": ("live", "contests", "channels", "products")}
+
+
+def path_rules(site, path, html_hosts: tuple[str, ...] = (), project_hosts: tuple[str, ...] = PROJECT_HOSTS, no_projects: dict[str, tuple[str, ...]] = NO_PROJECTS):
+    """Whether a lower-case path suits its host: an ``.html`` page where these are asked for, a page below a user's folder where profiles lie at the top."""
+    segments = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/")
+    fits = ~site.isin(*html_hosts) | F.endswith(path, F.lit(".html")) if html_hosts else F.lit(True)
+    deep = ~site.isin(*project_hosts) | (F.size(segments) > 1) if project_hosts else F.lit(True)
+    for host, firsts in no_projects.items():
+        deep = deep & ~((site == host) & segments[0].isin(*firsts))
+    return F.coalesce(fits & deep, F.lit(True))
+
+
+def apply_host_rules(pages: DataFrame, rules: DataFrame, site: str, path: str, title: str, **paths) -> DataFrame:
+    """Adds ``allowed``; hosts without rules pass, but for the rules of paths (``path_rules``)."""
     joined = pages.join(rules.withColumnRenamed("site", site), site, "left")
     hit = lambda terms, col: F.exists(terms, lambda t: F.contains(F.col(col), t))
     ok = hit("allow", path) & ~hit("deny", path) & ~hit("titles", title)
-    return joined.withColumn("allowed", F.col("allow").isNull() | ok).drop("allow", "deny", "titles")
+    listed = F.col("allow").isNull() | ok
+    return joined.withColumn("allowed", listed & path_rules(F.col(site), F.col(path), **paths)).drop("allow", "deny", "titles")
