@@ -471,10 +471,27 @@ def planner_error_type(message: Column) -> Column:
     )
 
 
-def answer_context(df: DataFrame, group: str, lex: Lexicons = DEFAULT, limit: int = 12) -> DataFrame:
+# fixed values: what an answer is told about evidence of some kinds
+CAUTIONS = {
+    "local_kb_chunk": "注意: KB 证据来自预建技术文档索引，内容可能存在偏差，使用前需对照题面和图片验证一致性。",
+    "image_inspection": "注意: 图片证据只代表视觉识别结果；疑似、看不清或无法确认的连接不能写成确定事实。",
+}
+
+
+def unique_evidence(df: DataFrame, group: str, order: str, chars: int | None = None) -> DataFrame:
+    """Of evidence of one group with equal source, kind and content (its first ``chars`` characters where given) the first in ``order``."""
+    fold = lambda c: F.lower(T.strip(F.coalesce(c, F.lit(""))))
+    content = T.compact(F.col("content"), chars) if chars else T.squeeze(F.coalesce("content", F.lit("")))
+    key = F.concat_ws("\n", fold(F.col("source")), fold(F.col("kind")), fold(content))
+    keyed = df.withColumn("_key", F.sha2(F.encode(key, "UTF-8"), 256)).filter(T.strip(key) != "")
+    firsts = keyed.groupBy(group, "_key").agg(F.min(order).alias(order))
+    return keyed.join(firsts, [group, "_key", order], "left_semi").drop("_key")
+
+
+def answer_context(df: DataFrame, group: str, lex: Lexicons = DEFAULT, limit: int = 12, cautions: dict[str, str] | None = None) -> DataFrame:
     """Numbered evidence text for an answer, by kind and score.
 
-    At most ``limit`` items per group reach the concatenation.
+    At most ``limit`` items per group reach the concatenation.  ``cautions`` adds a line to evidence of its kinds.
     """
     top = top_k(df, [group], [_case(F.col("kind"), KIND_PRIORITY, 9), F.desc("score"), F.col("source")], limit, "n")
     top = C.compress(top, "content", "_kb", lex, 800)
@@ -487,7 +504,10 @@ def answer_context(df: DataFrame, group: str, lex: Lexicons = DEFAULT, limit: in
         .when(F.col("kind") == "image_context", T.compact(F.col("content"), 180))
         .otherwise(T.compact(F.col("content"), 700))
     )
-    entry = F.format_string("[%d] 类型:%s\n标题:%s\n来源:%s\n要点:%s", "n", "kind", "title", "source", point)
+    caution = F.lit("")
+    for kind, line in (cautions or {}).items():
+        caution = F.when(F.col("kind") == kind, F.lit(f"\n{line}")).otherwise(caution)
+    entry = F.format_string("[%d] 类型:%s\n标题:%s\n来源:%s%s\n要点:%s", "n", "kind", "title", "source", caution, point)
     return top.select(group, "n", entry.alias("entry")).groupBy(group).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda s: s["entry"]), "\n\n"

@@ -390,14 +390,30 @@ def low_value_project(low: Column, lex: Lexicons = DEFAULT) -> Column:
     return C.project_source(F.col("url"), lex) & (listed | ~rescued)
 
 
-def overlap_search(queries: DataFrame, docs: DataFrame, query_id: str, query: str, doc_id: str, body: str, limit: int = 4) -> DataFrame:
-    """Token overlap: shared / query size + shared / sqrt(document size)."""
-    doc_tokens = docs.select(F.col(doc_id), F.array_distinct(K.words(F.col(body))).alias("_tokens"))
-    exploded = doc_tokens.select(doc_id, F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
-    asked = queries.select(query_id, F.array_distinct(K.words(F.col(query))).alias("_asked"))
-    asked = asked.select(query_id, F.size("_asked").alias("_wanted"), F.explode("_asked").alias("token"))
-    shared = exploded.join(asked, "token").groupBy(query_id, doc_id, "_size", "_wanted").agg(F.count("*").alias("overlap"))
-    score = F.col("overlap") / F.col("_wanted") + F.col("overlap") / F.sqrt(F.col("_size").cast("double"))
+#: What a document of the query's own id counts, in shared tokens.
+OWN_BONUS = 8
+
+
+def overlap_search(
+    queries: DataFrame, docs: DataFrame, query_id: str, query: str, doc_id: str, body: str, limit: int = 4, own: tuple[str, str] | None = None
+) -> DataFrame:
+    """Token overlap: shared / query size + shared / sqrt(document size).
+
+    ``own`` names a column of the queries with an id, and one of the documents with the pieces of its path: a document whose path
+    has the id counts ``OWN_BONUS`` tokens more, also where it shares none.  Ids are matched like tokens, so no pairs are formed for them.
+    """
+    one = F.lit(1).alias("weight")
+    doc_tokens = docs.withColumn("_tokens", F.array_distinct(K.words(F.col(body)))).withColumn("_size", F.size("_tokens"))
+    exploded = doc_tokens.select(doc_id, "_size", F.explode("_tokens").alias("token"), one)
+    asked = queries.withColumn("_asked", F.array_distinct(K.words(F.col(query)))).withColumn("_wanted", F.size("_asked"))
+    wanted = asked.select(query_id, "_wanted", F.explode("_asked").alias("token"))
+    if own:
+        mark = lambda c: F.concat(F.lit(" "), c)  # noqa: E731 - no token holds a blank
+        pieces = doc_tokens.select(doc_id, "_size", F.explode(F.array_distinct(own[1])).alias("token"), F.lit(OWN_BONUS).alias("weight"))
+        exploded = exploded.unionByName(pieces.withColumn("token", mark(F.col("token"))))
+        wanted = wanted.unionByName(asked.where((F.col("_wanted") > 0) & (F.col(own[0]) != "")).select(query_id, "_wanted", mark(F.col(own[0])).alias("token")))
+    shared = exploded.join(wanted, "token").groupBy(query_id, doc_id, "_size", "_wanted").agg(F.sum("weight").alias("overlap"))
+    score = F.col("overlap") / F.greatest(F.col("_wanted"), F.lit(1)) + F.col("overlap") / F.sqrt(F.greatest(F.col("_size"), F.lit(1)).cast("double"))
     scored = shared.select(query_id, doc_id, "overlap", F.round(score, 4).alias("score"))
     return top_k(scored, [query_id], [F.desc("score"), F.col(doc_id)], limit)
 

@@ -297,6 +297,13 @@ def common_values(rows: DataFrame, run: str, values: Column, position: str, k: i
     return top_k(counted, [run], [F.desc("n"), F.col("_at")], k).drop("_at")
 
 
+def missed_points(rows: DataFrame, points: str, position: str, run: str = "run", k: int = 5, most: int | None = 8) -> DataFrame:
+    """The points that failed samples of a run missed most often; of a sample the first ``most`` count (None: all)."""
+    failed = rows.filter(F.coalesce("final_score", F.lit(0.0)) < FAILED_BELOW)
+    items = F.coalesce(F.col(points), F.array().cast("array<string>"))
+    return common_values(failed, run, F.slice(items, 1, most) if most else items, position, k)
+
+
 def weak_dimensions(rows: DataFrame, run: str = "run") -> DataFrame:
     """Mean judge rating per dimension over failed samples, weakest first."""
     names = ("accuracy", "completeness", "clarity", "usefulness")

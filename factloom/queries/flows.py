@@ -6,16 +6,20 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import tokens as K
 from ..operators import budget, chunking, cross, elements, numbering, predictions, rewriting, trace
+from ..operators import evidence as E
+from ..operators import html as H
+from ..operators import lexical as L
 from ..operators import matching as M
 from ..operators import reports as R
-from ..operators import html as H
 from ..plans import knowledge_base as kb
 from ..sources import pages as pages_source
+from ..sources import samples
 from . import query
-from .base import CHUNKS, EVAL_COLUMNS, LOG, PAIRS, SYN, _split, chunks, log, pairs, q, sql_any, sql_hits, sql_in, sql_list, sql_squeeze, sql_strip, table
+from .base import CHUNKS, EVAL_COLUMNS, EVALS, LOG, PAIRS, SYN, _split, chunks, evals, log, pairs, q, sql_any, sql_hits, sql_in, sql_list, sql_squeeze, sql_strip, table
 from .building import _CHUNK_SQL
-from .retrieval import BM25, _bm25
+from .retrieval import _EVID, BM25, _bm25, _evidence
 
 # ------------------------------------------------------------------ scorers
 
@@ -418,3 +422,60 @@ def retrieval_usage(spark, sf):
     folder = F.when((k % 5 == 1) | (k % 5 == 2), F.concat(F.lit('"index_dir": "/kb/'), text, F.lit('", '))).otherwise("")
     outputs = F.concat(F.lit('{"metadata": {'), folder, F.lit('"index_status": {'), status, F.lit("}}}"))
     return trace.retrieval_usage(per_sample, rows.withColumn("outputs", outputs).withColumn("action", F.lit("run")))
+
+
+@query(
+    "missed_points",
+    f"""WITH {EVALS}, f AS (SELECT run, position, ['point ' || CAST(position % 37 AS VARCHAR), 'point ' || CAST(position % 11 AS VARCHAR), 'point ' || CAST(position % 5 AS VARCHAR)] AS missed
+        FROM evals WHERE coalesce(final_score, 0.0) < {R.FAILED_BELOW}),
+      u AS (SELECT run, position, unnest(missed[1:2]) AS value, generate_subscripts(missed[1:2], 1) AS i FROM f),
+      c AS (SELECT run, value, count(*) AS n, min(position * 10 + i) AS pos FROM u GROUP BY 1, 2)
+      SELECT run, value, n, CAST(row_number() OVER (PARTITION BY run ORDER BY n DESC, pos) AS INT) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC, pos) <= 5""",
+)
+def missed_points(spark, sf):
+    """What failed samples missed most: the first two points of each row count."""
+    point = lambda n: F.concat(F.lit("point "), (F.col("position") % n).cast("string"))
+    rows = evals(spark, sf).withColumn("missed", F.array(point(37), point(11), point(5)))
+    return R.missed_points(rows, "missed", "position", "run", 5, 2).select("run", "value", "n", "rank")
+
+
+# ----------------------------------------------------------------- datasets
+
+
+@query(
+    "validation_ids",
+    f"""WITH {PAIRS}, s AS (SELECT sample_id % 90 AS id, CASE WHEN sample_id % 7 = 0 THEN '' ELSE question END AS question, CASE WHEN sample_id % 11 = 0 THEN '' ELSE reference END AS reference FROM pairs),
+      g AS (SELECT id, count(*) > 1 AS dup, bool_or(length(question) = 0) AS noq, bool_or(length(reference) = 0) AS nor FROM s GROUP BY 1)
+      SELECT 'duplicate' AS problem, id FROM g WHERE dup UNION ALL SELECT 'missing_question', id FROM g WHERE noq UNION ALL SELECT 'missing_reference', id FROM g WHERE nor""",
+)
+def validation_ids(spark, sf):
+    """Which ids are repeated or lack a question or a reference."""
+    blank = lambda c, n: F.when(F.col("sample_id") % n == 0, "").otherwise(F.col(c)).alias(c)
+    rows = pairs(spark, sf).select((F.col("sample_id") % 90).alias("id"), blank("question", 7), blank("reference", 11))
+    return samples.validation_ids(rows, "id")
+
+
+@query(
+    "own_id_overlap",
+    f"""WITH d AS (SELECT doc_id, source, lang, list_distinct(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS toks FROM documents),
+      b AS (SELECT item_id, 'src' || CAST(item_id % 23 AS VARCHAR) AS own, list_distinct(list_transform(regexp_extract_all(text, {q(K.WORD)}), lambda x: lower(x))) AS asked FROM benchmark),
+      s AS (SELECT item_id, doc_id, len(list_intersect(asked, toks)) + CASE WHEN own = source OR own = lang THEN 8 ELSE 0 END AS overlap, len(asked) AS na, len(toks) AS nt FROM b CROSS JOIN d),
+      r AS (SELECT item_id, doc_id, overlap, round(overlap / CAST(na AS DOUBLE) + overlap / sqrt(CAST(nt AS DOUBLE)), 4) AS score FROM s WHERE overlap > 0)
+      SELECT item_id, doc_id, CAST(overlap AS BIGINT) AS overlap, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r
+      QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 4""",
+)
+def own_id_overlap(spark, sf):
+    """Token overlap where a document of the question's own source counts more."""
+    asked = table(spark, sf, "benchmark").withColumn("own", F.concat(F.lit("src"), (F.col("item_id") % 23).cast("string")))
+    docs = table(spark, sf, "documents").withColumn("pieces", F.array("source", "lang"))
+    return L.overlap_search(asked, docs, "item_id", "text", "doc_id", "text", 4, ("own", "pieces"))
+
+
+@query(
+    "unique_evidence",
+    f"""WITH {_EVID}, k AS (SELECT item_id, rank, sha256(lower({sql_strip('source')}) || chr(10) || kind || chr(10) || lower({sql_squeeze('content')})) AS key FROM ev)
+      SELECT item_id, rank AS place FROM k QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY rank) = 1""",
+)
+def unique_evidence(spark, sf):
+    """Evidence that says nothing new leaves before an answer is written."""
+    return E.unique_evidence(_evidence(spark, sf), "item_id", "place").select("item_id", "place")

@@ -436,11 +436,26 @@ def ranked_results(spark, sf):
     return E.rank_results(rows, ["item_id"], "question", "position", 5, SYN).select("item_id", "position", "place", "outcome")
 
 
-@query("html_search_relevance")
+_HTML_TERMS, _HTML_BAD = ("heed", "eaux", "thern", "tionch", "erin", "unge"), ("license", "reedes")
+
+
+def _sql_present(terms: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9_.+-]){t}($|[^a-z0-9_.+-])') AS INT)" for t in terms) + ")"
+
+
+@query(
+    "html_search_relevance",
+    f"""WITH {_EVID}, t AS (SELECT item_id, rank, lower(content) AS low, list_distinct(regexp_extract_all(lower(question), {q(K.READ_TOKEN)})) AS terms FROM ev),
+      u AS (SELECT item_id, rank, low, unnest(terms) AS term FROM t),
+      h AS (SELECT item_id, rank, count(*) AS n FROM u WHERE term NOT IN ('llc', '原因', '处理', '电子电路') AND CASE WHEN regexp_matches(term, '^[a-z0-9_.+-]+$')
+        THEN regexp_matches(low, '(^|[^a-z0-9_.+-])' || regexp_replace(term, '([.+])', '\\\\\\1', 'g') || '($|[^a-z0-9_.+-])') ELSE contains(low, term) END GROUP BY 1, 2),
+      d AS (SELECT item_id, rank, {_sql_present(_HTML_TERMS)} AS domain, {_sql_present(_HTML_BAD)} AS bad FROM t)
+      SELECT item_id, rank AS place, round(CASE WHEN domain <= 0 THEN 0.0 ELSE domain + 0.2 * coalesce(n, 0) - 2.0 * bad END, 6) AS relevance FROM d LEFT JOIN h USING (item_id, rank)""",
+)
 def html_search_relevance(spark, sf):
     from dataclasses import replace
 
-    lex = replace(SYN, html_terms=("heed", "eaux", "thern", "tionch", "erin", "unge"), html_bad_terms=("license", "reedes"))
+    lex = replace(SYN, html_terms=_HTML_TERMS, html_bad_terms=_HTML_BAD)
     out = E.html_result_relevance(_evidence(spark, sf), "question", "content", "relevance", lex)
     return out.select("item_id", "place", F.round("relevance", 6).alias("relevance"))
 

@@ -457,10 +457,22 @@ def public_clean_text(spark, sf):
     return cleaned.select("doc_id", F.length("cleaned").alias("chars"), F.md5(F.encode("cleaned", "UTF-8")).alias("digest"))
 
 
-@query("host_line_strip")
+_LINE_HOSTS = [h for key in C.HOST_LINE_PATTERNS for h in key if h != "*"]
+_HOST_PATTERNS = {h: "|".join(f"(?:{x})" for x in patterns) for key, patterns in C.HOST_LINE_PATTERNS.items() for h in key}
+_HOST_CASES = " ".join(f"WHEN {q(h)} THEN regexp_matches(x, {q(p)})" for h, p in _HOST_PATTERNS.items() if h != "*")
+
+
+@query(
+    "host_line_strip",
+    f"""WITH d AS (SELECT doc_id, {sql_list(_LINE_HOSTS)}[1 + doc_id % {len(_LINE_HOSTS)}] AS host, list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}) AS ls FROM documents),
+      l AS (SELECT doc_id, host, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d),
+      k AS (SELECT doc_id, host, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE length(x) = 0 OR NOT (regexp_matches(x, {q(_HOST_PATTERNS['*'])}) OR CASE host {_HOST_CASES} ELSE false END
+          OR (length(x) < 10 AND NOT regexp_matches(x, '[A-Za-z]{{3,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) OR (starts_with(x, '![') AND contains(x, ')')))) AS body FROM l GROUP BY 1, 2)
+      SELECT host, count(*) AS docs, CAST(sum(length({sql_strip("regexp_replace(coalesce(body, ''), chr(10) || '{3,}', chr(10) || chr(10), 'g')")})) AS BIGINT) AS chars FROM k GROUP BY host""",
+)
 def host_line_strip(spark, sf):
-    hosts = [h for key in C.HOST_LINE_PATTERNS for h in key if h != "*"]
-    site = F.element_at(F.array(*[F.lit(h) for h in hosts]), (F.pmod(F.xxhash64("source"), F.lit(len(hosts))) + 1).cast("int"))
+    """Every document as a page of one of the hosts that have patterns of their own."""
+    site = F.element_at(F.array(*[F.lit(h) for h in _LINE_HOSTS]), (F.col("doc_id") % len(_LINE_HOSTS) + 1).cast("int"))
     docs = table(spark, sf, "documents").withColumn("host", site)
     stripped = C.strip_host_lines(docs, "text", "host", "stripped")
     return stripped.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.length("stripped")).alias("chars"))

@@ -101,3 +101,15 @@ def validate(samples: DataFrame, sample: str = "sample_id") -> DataFrame:
         F.sum("_noq").alias("missing_question"),
         F.sum("_nor").alias("missing_reference"),
     )
+
+
+def validation_ids(samples: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """(problem, id) of what ``validate`` counts, each once: duplicate, missing_question, missing_reference.  All ids, not the first few."""
+    per_id = samples.groupBy(F.col(sample).alias("id")).agg(
+        (F.count("*") > 1).alias("duplicate"),
+        F.bool_or(F.length("question") == 0).alias("missing_question"),
+        F.bool_or(F.length("reference") == 0).alias("missing_reference"),
+    )
+    names = ("duplicate", "missing_question", "missing_reference")
+    found = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))
+    return per_id.select(F.explode(found).alias("problem"), "id")
