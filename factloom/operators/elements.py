@@ -2,7 +2,7 @@
 
 ``element_tree`` gives one row per element and text of a page in document order: ``node`` (its place), ``last`` (the last place
 inside it), parent and depth.  A subtree is the interval node..last, so what a subtree holds is a difference of two
-running sums, and no tree is walked: ``weighed`` adds the visible characters and link characters of every subtree that way.
+running sums, and no tree is walked.
 
 ``candidates`` gives the content of each selector that matches, and of the whole cleaned page, each content once.
 """
@@ -128,52 +128,59 @@ def any_match(selectors: tuple[str, ...]) -> Column:
     return out
 
 
-def weighed(tree: DataFrame, key: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """The tree with ``hidden`` (inside an excluded element) and, for every subtree, its visible texts: ``before`` (texts of the page before it),
-    ``texts``, ``chars`` and ``link_chars``.  Windows run over one page."""
-    order = Window.partitionBy(key).orderBy("node")
-    until = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = tree.withColumn("_until", F.max(F.when(any_match(excluded), F.col("last"))).over(until))
-    rows = rows.withColumn("_links", F.max(F.when(F.col("tag") == "a", F.col("last"))).over(until))
-    rows = rows.withColumn("hidden", F.coalesce(F.col("_until") >= F.col("node"), F.lit(False)))
-    shown = (F.col("tag") == TEXT) & ~F.col("hidden")
-    linked = F.coalesce(F.col("_links") >= F.col("node"), F.lit(False))
+def _sums(tree: DataFrame, key: str, excluded: tuple[str, ...]) -> DataFrame:
+    """The tree with a second row (``ending`` 1) where each element ends, ``hidden`` (inside an excluded element), and running sums over the page of its
+    visible texts: their number, characters and characters in links.  A subtree holds the sums at its end less those at its start."""
+    text = F.col("tag") == TEXT
+    both = F.when(text, F.array(F.struct(F.col("node").alias("at"), F.lit(0).alias("ending")))).otherwise(
+        F.array(F.struct(F.col("node").alias("at"), F.lit(0).alias("ending")), F.struct(F.col("last").alias("at"), F.lit(1).alias("ending")))
+    )
+    rows = tree.select("*", F.inline(both))
+    # at one place the text or start comes first, then the ends there
+    until = Window.partitionBy(key).orderBy("at", "ending").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("ending") == 0
+    rows = rows.withColumn("_hidden", F.max(F.when(begins & any_match(excluded), F.col("last"))).over(until))
+    rows = rows.withColumn("_links", F.max(F.when(begins & (F.col("tag") == "a"), F.col("last"))).over(until))
+    rows = rows.withColumn("hidden", F.coalesce(F.col("_hidden") >= F.col("at"), F.lit(False)))
+    shown = text & begins & ~F.col("hidden")
     length = F.when(shown, F.length("text")).otherwise(0)
-    sums = {"_texts": F.sum(shown.cast("int")), "_chars": F.sum(length), "_linked": F.sum(F.when(linked, length).otherwise(0))}
-    rows = rows.withColumns({name: value.over(until) for name, value in sums.items()})
-    own = {"_t0": F.col("_texts") - shown.cast("int"), "_c0": F.col("_chars") - length, "_l0": F.col("_linked") - F.when(linked, length).otherwise(0)}
-    rows = rows.withColumns(own).drop("_until", "_links")
-    ends = rows.select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("_texts").alias("_t1"), F.col("_chars").alias("_c1"), F.col("_linked").alias("_l1"))
-    rows = rows.drop("_texts", "_chars", "_linked").join(ends, (F.col(key) == F.col("_k")) & (F.col("last") == F.col("_n")))
-    sums = {"texts": F.col("_t1") - F.col("_t0"), "chars": F.col("_c1") - F.col("_c0"), "link_chars": F.col("_l1") - F.col("_l0")}
-    rows = rows.withColumn("before", F.col("_t0")).withColumns(sums)
-    return rows.drop("_k", "_n", "_t0", "_t1", "_c0", "_c1", "_l0", "_l1")
+    linked = F.when(F.coalesce(F.col("_links") >= F.col("at"), F.lit(False)), length).otherwise(0)
+    sums = {"texts": F.sum(shown.cast("int")), "chars": F.sum(length), "link_chars": F.sum(linked)}
+    return rows.withColumns({name: value.over(until) for name, value in sums.items()}).withColumn("shown", shown).drop("_hidden", "_links")
 
 
 def candidates(tree: DataFrame, key: str, selectors: tuple[str, ...] = SELECTORS, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(key, place, candidate, nodes, chars, link_chars, content) of each selector that matches a visible element of a page, and of the whole
-    page: texts one a line, in order; a selector that matches inside its own match repeats them.  Of equal contents the first stays; blank ones leave."""
-    rows = weighed(tree, key, excluded)
-    shown = rows.where((F.col("tag") == TEXT) & ~F.col("hidden"))
-    texts = shown.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]).alias("_texts"))
-    named = F.array_compact(F.array(*[F.when(matches(s), F.struct(F.lit(i).alias("place"), F.lit(f"candidate:{s}").alias("candidate"))) for i, s in enumerate(selectors)]))
-    hits = rows.where((F.col("tag") != TEXT) & ~F.col("hidden") & (F.col("texts") > 0)).withColumn("_hits", named)
-    hits = hits.select(key, "node", "before", "texts", "chars", "link_chars", F.inline("_hits"))
-    parts = hits.groupBy(key, "place", "candidate").agg(
-        F.sort_array(F.collect_list(F.struct("node", "before", "texts"))).alias("_parts"), F.count("*").alias("nodes"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
+    page: texts one a line, in order; a selector that matches inside its own match repeats them.  Of equal contents the first stays; blank ones leave.
+
+    One shuffle, by page: running sums, and what is gathered of a page, are bounded by the page."""
+    rows = _sums(tree, key, excluded)
+    named = F.array_compact(F.array(*[F.when(matches(s), F.lit(i)) for i, s in enumerate(selectors)]))
+    # a hidden element holds no visible text and leaves below
+    rows = rows.withColumn("_places", F.when(F.col("tag") != TEXT, named))
+    hit = F.when(F.size("_places") > 0, F.struct("ending", "node", "texts", "chars", "link_chars", "_places"))
+    pages = rows.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("shown"), F.struct("node", "text")))).alias("_texts"),
+        F.sort_array(F.collect_list(hit)).alias("_hits"),
+        *[F.max(c).alias(c) for c in ("texts", "chars", "link_chars")],
     )
-    # the whole page: the subtrees of the topmost elements and texts
-    top = rows.where(F.col("parent").isNull()).groupBy(key).agg(F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"))
-    whole = top.join(texts.select(key, F.size("_texts").alias("_n")), key).select(
-        key, F.lit(len(selectors)).alias("place"), F.lit(WHOLE).alias("candidate"),
-        F.array(F.struct(F.lit(0).alias("node"), F.lit(0).cast("long").alias("before"), F.col("_n").cast("long").alias("texts"))).alias("_parts"),
-        F.lit(1).cast("long").alias("nodes"), "chars", "link_chars",
-    )
-    found = parts.unionByName(whole).join(texts, key)
-    lines = F.flatten(F.transform("_parts", lambda p: F.slice("_texts", p["before"].cast("int") + 1, p["texts"].cast("int"))))
-    found = found.select(key, "place", "candidate", "nodes", "chars", "link_chars", F.array_join(lines, "\n").alias("content"))
-    row = F.struct("place", "candidate", "nodes", "chars", "link_chars")
-    first = found.where(F.length("content") > 0).groupBy(key, "content").agg(F.min(row).alias("_r"))
+    pages = pages.where("texts > 0").withColumn("_texts", F.transform("_texts", lambda x: x["text"]))
+
+    def candidate(place: int, selector: str) -> Column:
+        own = lambda ending: F.filter("_hits", lambda h: (h["ending"] == ending) & F.array_contains(h["_places"], place))
+        # starts and ends of the same elements, both by node
+        part = lambda a, b: F.struct(a["texts"].alias("before"), *[(b[c] - a[c]).alias(c) for c in ("texts", "chars", "link_chars")])
+        parts = F.filter(F.zip_with(own(0), own(1), part), lambda p: p["texts"] > 0)
+        return F.struct(F.lit(place).alias("place"), F.lit(f"candidate:{selector}").alias("candidate"), parts.alias("parts"))
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("before"), *[F.col(c) for c in ("texts", "chars", "link_chars")]))
+    every = [candidate(i, s) for i, s in enumerate(selectors)] + [F.struct(F.lit(len(selectors)).alias("place"), F.lit(WHOLE).alias("candidate"), whole.alias("parts"))]
+    found = pages.select(key, "_texts", F.inline(F.array(*every))).where(F.size("parts") > 0)
+    lines = F.flatten(F.transform("parts", lambda p: F.slice("_texts", p["before"].cast("int") + 1, p["texts"].cast("int"))))
+    total = lambda c: F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p[c])
+    nodes = F.size("parts").cast("long").alias("nodes")
+    found = found.select(key, "place", "candidate", nodes, total("chars").alias("chars"), total("link_chars").alias("link_chars"), F.array_join(lines, "\n").alias("content"))
+    first = found.groupBy(key, "content").agg(F.min(F.struct("place", "candidate", "nodes", "chars", "link_chars")).alias("_r"))
     return first.select(key, "_r.*", "content")
 
 
