@@ -553,21 +553,3 @@ def sanitise_answer(df: DataFrame, answer: str, question: str, context: str, out
         ((r"\(\s*\)", ""), (r"[,，]\s*[,，]", ","), (r"\s{2,}", " ")),
     )
     return staged.withColumn(out, T.strip(tidy)).drop("_known", "_clean")
-
-
-# fixed values: allowed arguments per tool
-TOOL_ARGS = {
-    "web_search": ("query",), "local_retrieve": ("query", "limit"), "web_read": ("url",),
-    "evidence_rank": ("max_items",), "finish_answer": (),
-}
-
-
-def valid_arguments(tool: Column, args: Column, schema: dict = TOOL_ARGS) -> Column:
-    """Known tool, and every key of its JSON arguments is one of its own."""
-    keys = F.coalesce(F.json_object_keys(args), F.array().cast("array<string>"))
-    out = None
-    for name, allowed in schema.items():
-        own = F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>")
-        ok = F.size(F.array_except(keys, own)) == 0
-        out = F.when(tool == name, ok) if out is None else out.when(tool == name, ok)
-    return out.otherwise(F.lit(False))

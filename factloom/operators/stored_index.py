@@ -77,7 +77,7 @@ def build(chunks: DataFrame, path: str, chunk_id: str = "chunk_id", title: str =
 def _store(rows: DataFrame, path: str, order: list[str]) -> None:
     """One folder a bucket, sorted inside its files; a bucket is dealt to a few tasks, as buckets are few and a hot one may be large."""
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64(*order), F.lit(4)))
-    dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+    dealt.sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

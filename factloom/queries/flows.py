@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
-from ..operators import budget, chunking, cross, elements, numbering, predictions, rewriting, trace
+from ..operators import budget, chunking, cross, elements, numbering, predictions, reads, rewriting, trace
 from ..operators import evidence as E
 from ..operators import html as H
 from ..operators import lexical as L
@@ -361,13 +361,14 @@ def quality_headers(spark, sf):
 @query(
     "ordered_stop",
     f"""WITH {_HEADS}, k AS (SELECT h.page_id, h.quick FROM heads h JOIN chunks c ON h.page_id = c.chunk_id WHERE reject_reason IS NULL AND length(c.text) >= 300)
-      SELECT page_id, row_number() OVER (ORDER BY quick DESC, page_id) - 1 AS place FROM k QUALIFY row_number() OVER (ORDER BY quick DESC, page_id) <= 150""",
+      SELECT page_id, row_number() OVER (ORDER BY quick DESC, page_id) - 1 AS place, row_number() OVER (ORDER BY quick DESC, page_id) <= 150 AS kept FROM k""",
 )
 def ordered_stop(spark, sf):
-    """The first 150 pages in order of the header score that pass a test of their text: the stop counts what was kept, not what was looked at."""
+    """Pages that pass a test of their text, numbered in order of the header score; the builder stops after 150 of them, whatever it looked at before."""
     long = table(spark, sf, "documents").where(F.length("text") >= 300).select(F.col("doc_id").alias("page_id"))
     heads = _quality_heads(spark, sf).where("reject_reason IS NULL").withColumn("rank", F.negative("quick"))
-    return kb.first_kept(heads.join(long, "page_id").select("page_id", "rank"), ["rank", "page_id"], 150).select("page_id", "place")
+    placed = kb.first_kept(heads.join(long, "page_id").select("page_id", "rank"), ["rank", "page_id"], None)
+    return placed.select("page_id", "place", (F.col("place") < 150).alias("kept"))
 
 
 # --------------------------------------------------------------- summaries
@@ -479,3 +480,80 @@ def own_id_overlap(spark, sf):
 def unique_evidence(spark, sf):
     """Evidence that says nothing new leaves before an answer is written."""
     return E.unique_evidence(_evidence(spark, sf), "item_id", "place").select("item_id", "place")
+
+
+# -------------------------------------------------------------- page reads
+
+_BACKENDS = ("first", "second", "third")
+_ATTEMPTS = """SELECT page_id, b.backend, CASE WHEN (page_id + b.n) % 5 = 0 THEN 'timed out' END AS error,
+  CASE WHEN (page_id * 3 + b.n) % 7 = 0 THEN 0 ELSE (length(html) * b.n) % 900 END AS clean_chars, ((page_id * 7 + b.n * 3) % 20) / 20.0 AS quality_score
+  FROM pages CROSS JOIN (SELECT unnest(['first', 'second', 'third', 'spare']) AS backend, unnest([1, 2, 3, 4]) AS n) b"""
+_CASCADE = f"""a AS ({_ATTEMPTS}), r AS (SELECT *, list_position({list(_BACKENDS)}, backend) AS place, error IS NULL AND clean_chars >= 200 AND quality_score >= 0.3 AS fine FROM a),
+  w AS (SELECT page_id, min(place) AS best FROM r WHERE fine AND place > 0 GROUP BY 1),
+  told AS (SELECT r.*, CASE WHEN coalesce(place, 0) = 0 THEN 'unlisted' WHEN place = best THEN 'won' WHEN place > best THEN 'not_reached' WHEN error IS NOT NULL THEN 'failed'
+    WHEN clean_chars = 0 THEN 'empty' WHEN clean_chars < 200 THEN 'too_short' ELSE 'low_score' END AS outcome FROM r LEFT JOIN w USING (page_id))"""
+
+
+def _cascade(spark, sf):
+    names = F.array(*[F.struct(F.lit(b).alias("backend"), F.lit(i + 1).alias("n")) for i, b in enumerate((*_BACKENDS, "spare"))])
+    rows = table(spark, sf, "pages").select("page_id", F.length("html").alias("size"), F.inline(names))
+    page, n = F.col("page_id"), F.col("n")
+    attempts = rows.select(
+        "page_id", "backend", F.when((page + n) % 5 == 0, "timed out").alias("error"),
+        F.when((page * 3 + n) % 7 == 0, 0).otherwise((F.col("size") * n) % 900).alias("clean_chars"), (((page * 7 + n * 3) % 20) / 20.0).alias("quality_score"),
+    )
+    return reads.read_cascade(attempts, "page_id", _BACKENDS, min_score=0.3, min_chars=200)
+
+
+@query("page_read_cascade", f"WITH {_CASCADE} SELECT page_id, backend, outcome, CASE WHEN outcome = 'failed' THEN backend || ': ' || error WHEN outcome IN ('empty', 'too_short', 'low_score') THEN backend || ': ' || outcome END AS reason FROM told")
+def page_read_cascade(spark, sf):
+    """Which of several readers of every page has the first acceptable content, and what is wrong with those before it."""
+    return _cascade(spark, sf).select("page_id", "backend", "outcome", "reason")
+
+
+@query(
+    "fetch_summary",
+    f"""WITH {_CASCADE} SELECT backend, count(*) AS fetches, count(*) FILTER (WHERE outcome = 'won') AS wins, count(*) FILTER (WHERE outcome = 'failed') AS failures,
+        round(avg(clean_chars), 0) AS avg_chars, round(avg(CAST(quality_score AS DOUBLE)), 4) AS avg_quality FROM told GROUP BY backend""",
+)
+def fetch_summary(spark, sf):
+    return reads.fetch_summary(_cascade(spark, sf))
+
+
+_SPECS = {
+    "web_search": [("query", "string", True), ("limit", "integer", False)],
+    "local_retrieve": [("query", "string", True), ("limit", "integer", False), ("strict", "boolean", False)],
+    "finish_answer": [("allow_llm", "boolean", True)],
+    "evidence_rank": [],
+}
+_ARGS = """CASE k % 9 WHEN 0 THEN '{"query": "x", "limit": 3}' WHEN 1 THEN '{"limit": "3"}' WHEN 2 THEN '{"query": 7}' WHEN 3 THEN '[1]' WHEN 4 THEN '{"query": null, "limit": true}'
+  WHEN 5 THEN '{"query": "y", "limit": 2.5, "allow_llm": "no"}' WHEN 6 THEN '{"query": "z", "strict": 1, "allow_llm": false}' WHEN 7 THEN 'no json' ELSE '{"query": {"a": 1}, "allow_llm": null}' END"""
+_TYPES = {"string": ("VARCHAR",), "integer": ("BIGINT", "UBIGINT", "BOOLEAN"), "boolean": ("BOOLEAN",)}
+
+
+def _sql_problem() -> str:
+    out = ""
+    for tool, fields in _SPECS.items():
+        if tool == "evidence_rank":
+            out += f" WHEN tool_name = '{tool}' THEN 'tool is disabled'"
+            continue
+        out += f" WHEN tool_name = '{tool}' AND coalesce(kind, '') <> 'OBJECT' THEN 'arguments must be an object'"
+        for key, kind, required in fields:
+            seen = f"json_type(good, '$.{key}')"
+            if required:
+                out += f" WHEN tool_name = '{tool}' AND {seen} IS NULL THEN 'missing required argument: {key}'"
+            out += f" WHEN tool_name = '{tool}' AND {seen} <> 'NULL' AND {seen} NOT IN {sql_in(_TYPES[kind])} THEN '{key} must be of type {kind}'"
+        out += f" WHEN tool_name = '{tool}' THEN NULL"
+    return f"CASE{out} ELSE 'unknown tool' END"
+
+
+@query(
+    "argument_problems",
+    f"""WITH {LOG}, a AS (SELECT step, tool_name, {_ARGS} AS args FROM log), g AS (SELECT *, CASE WHEN json_valid(args) THEN args END AS good FROM a),
+      t AS (SELECT *, json_type(good) AS kind FROM g) SELECT step, {_sql_problem()} AS problem FROM t""",
+)
+def argument_problems(spark, sf):
+    """Why the arguments of a call cannot be used: shapes, types, what is missing, tools that are off or unknown."""
+    rows = log(spark, sf).withColumn("args", F.expr(_ARGS))
+    enabled = tuple(t for t in _SPECS if t != "evidence_rank")
+    return rows.select("step", reads.argument_problem(F.col("tool_name"), F.col("args"), _SPECS, enabled).alias("problem"))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import budget, cross, elements, numbering, predictions, stored_index
+from factloom.operators import budget, cross, elements, evidence, numbering, predictions, reads, rewriting, stored_index
 from factloom.operators import lexical as L
 from factloom.plans import knowledge_base as kb
 from factloom.plans import retrieval
@@ -259,3 +259,54 @@ def test_quality_builder_stops_after_kept_pages(spark):
     assert [r.page_id for r in few.pages.orderBy("place").collect()] == kept[:5]
     assert Counter(r.reject_reason for r in few.funnel.collect())["over_limit"] == len(kept) - 5
     assert {r.page_id for r in few.chunks.collect()} <= set(kept[:5])
+
+
+# ---- reads, arguments, rewriting, evidence
+
+
+def test_first_acceptable_read_wins(spark):
+    rows = [("p", "a", 0.9, 50, None), ("p", "b", 0.9, 500, None), ("p", "c", 0.9, 500, None), ("q", "a", None, None, "boom"), ("q", "b", 0.1, 500, None), ("q", "z", 1.0, 999, None), ("r", "a", 0.9, 0, None)]
+    table = spark.createDataFrame(rows, "page string, backend string, quality_score double, clean_chars int, error string")
+    told = {(r.page, r.backend): (r.outcome, r.reason) for r in reads.read_cascade(table, "page", ("a", "b", "c"), min_score=0.5, min_chars=100).collect()}
+    assert told == {
+        ("p", "a"): ("too_short", "a: too_short"), ("p", "b"): ("won", None), ("p", "c"): ("not_reached", None), ("q", "a"): ("failed", "a: boom"),
+        ("q", "b"): ("low_score", "b: low_score"), ("q", "z"): ("unlisted", None), ("r", "a"): ("empty", "a: empty"),
+    }
+
+
+def test_arguments_are_checked_in_order(spark):
+    specs = {"t": [("a", "string", True), ("n", "integer", True), ("f", "boolean", False)], "off": []}
+    cases = {
+        '{"a": "x", "n": 1}': None, '{"a": "x", "n": true, "f": false}': None, '{"n": 1}': "missing required argument: a", '{"a": 1, "n": 1}': "a must be of type string",
+        '{"a": null, "n": 1.5}': "n must be of type integer", '{"a": "x", "n": null, "f": 1}': "f must be of type boolean", "[]": "arguments must be an object", "{": "arguments must be an object",
+    }
+    table = spark.createDataFrame([("t", a) for a in cases] + [("off", "{}"), ("new", "{}"), ("t", None)], "tool string, args string")
+    got = [(r.tool, r.args, r.p) for r in table.withColumn("p", reads.argument_problem(F.col("tool"), F.col("args"), specs, ("t",))).collect()]
+    assert {a: p for t, a, p in got if t == "t" and a is not None} == cases
+    assert {t: p for t, a, p in got if t != "t"} == {"off": "tool is disabled", "new": "unknown tool"}
+    assert [p for t, a, p in got if a is None] == ["arguments must be an object"]
+
+
+def test_queries_are_rewritten_with_the_default_words(spark):
+    rows = [(1, "", "TL431 反馈补偿 怎么处理 R12 输出 5V"), (2, "TL431 R12", "TL431 反馈补偿 R12 5V"), (3, "原因", "LM358 噪声 问题"), (4, "", ""), (5, "motor noise", "LM358 输出噪声 C7")]
+    table = spark.createDataFrame(rows, "k int, q string, question string").withColumn("seed", F.when(F.col("k") == 4, " seeded ").otherwise(""))
+    got = {r.k: (r.rule, r.rewritten) for r in rewriting.rewritten(table, rewriting.web_rules(F.col("q"), F.col("question"), F.col("seed"))).collect()}
+    assert got[1] == ("from_question", "TL431 反馈补偿 R12 输出 5V electronics troubleshooting")
+    assert got[2] == ("kept", "TL431 R12")
+    assert got[3] == ("only_generic", "LM358 噪声 electronics troubleshooting")
+    assert got[4] == ("from_seed", "seeded")
+    assert got[5] == ("key_terms_added", "motor noise LM358 输出噪声 C7")
+    local = {r.k: (r.rule, r.rewritten) for r in rewriting.rewritten(table, rewriting.local_rules(F.col("q"), F.col("question"), F.col("seed"))).collect()}
+    assert local[2][0] == "expanded" and local[2][1].startswith("TL431 R12 ") and "feedback loop" in local[2][1]
+    planned = table.where("k = 1").select(rewriting.planned_queries(F.col("question")).alias("p")).first().p
+    assert planned[0].startswith("TL431") and planned[0].endswith("原因 处理 电子电路") and len(planned) == 3
+    assert table.where("k = 5").select(rewriting.answer_hints(F.col("question")).alias("h")).first().h == ["LM358", "输出噪声", "C7"]
+
+
+def test_evidence_that_repeats_leaves_and_cautions_are_added(spark):
+    rows = [(1, 1, "S", "local_kb_chunk", "same  text", "t", 1.0), (1, 2, " s ", "local_kb_chunk", "Same text", "t", 2.0), (1, 3, "s", "web_page", "same text", "t", 0.5), (2, 1, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "q int, place int, source string, kind string, content string, title string, score double")
+    kept = evidence.unique_evidence(table, "q", "place")
+    assert sorted((r.q, r.place) for r in kept.collect()) == [(1, 1), (1, 3)]
+    context = evidence.answer_context(kept, "q", cautions=evidence.CAUTIONS).first().context
+    assert context.startswith("[1] 类型:local_kb_chunk") and context.count("注意:") == 1
