@@ -54,7 +54,7 @@ def _bucket(token: Column, buckets: int) -> Column:
 
 def build(chunks: DataFrame, path: str, chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text",
           block_chunks: int = 1024, buckets: int | None = None) -> Index:
-    """Index ``chunks`` under ``path``, which must not exist.  The summary is written last: an index without it is not complete."""
+    """Index ``chunks`` under ``path``, which holds no index yet.  The summary is written last: an index without it is not complete."""
     spark = chunks.sparkSession
     total, average = lengths(chunks, chunk_id, title, url, body).agg(F.count("*"), F.avg("dl")).first()
     blocks = max(1, -(-total // block_chunks))

@@ -7,6 +7,7 @@ A builder is one lazy frame per stage.  Rejected pages stay in the frame with
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,13 @@ from ..sources import pages as pages_source
 class KnowledgeBase:
     funnel: DataFrame  # every page with reject_reason (NULL when kept)
     pages: DataFrame
-    chunks: DataFrame
+    unnumbered: DataFrame  # chunks without ids
+    order: str  # column that orders the pages
+
+    @functools.cached_property
+    def chunks(self) -> DataFrame:
+        """Chunks with ``chunk_id``; numbered when first asked for, as that writes a table."""
+        return with_ids(self.unnumbered, self.order)
 
 
 def counters(funnel: DataFrame) -> DataFrame:
@@ -59,7 +66,7 @@ def _finish(staged: DataFrame, order: str, sections: bool, lex: Lexicons, exact:
     )
     funnel = staged.join(state, order, "left").withColumn("reject_reason", reason).drop("_unique", "_chunked")
     pages = unique.drop("_key", "reject_reason").join(with_chunks.drop("_chunked"), order, "left_semi")
-    return KnowledgeBase(funnel, pages, chunks)
+    return KnowledgeBase(funnel, pages, chunks, order)
 
 
 def with_ids(chunks: DataFrame, order: str) -> DataFrame:
@@ -109,7 +116,7 @@ def diagnosis(pages: DataFrame, order: str, max_docs: int | None = None, lex: Le
         return kb
     first = kb.pages.select(order).orderBy(order).limit(max_docs)
     return KnowledgeBase(
-        kb.funnel, kb.pages.join(first, order, "left_semi"), kb.chunks.join(first, order, "left_semi")
+        kb.funnel, kb.pages.join(first, order, "left_semi"), kb.unnumbered.join(first, order, "left_semi"), order
     )
 
 
@@ -206,16 +213,16 @@ def high_quality(
     keyed = chunks.withColumn("_k", same)
     first = keyed.groupBy("_k").agg(F.min(F.struct("place", "chunk_index")).alias("_f")).select("_f.*")
     unique = keyed.drop("_k").join(first, ["place", "chunk_index"], "left_semi")
-    return KnowledgeBase(funnel, chosen.drop("_rank").join(kept, order), unique)
+    return KnowledgeBase(funnel, chosen.drop("_rank").join(kept, order), unique, "place")
 
 
-def write(kb: KnowledgeBase, folder: str, order: str) -> stored_index.Index:
-    """Parquet tables ``pages`` and ``chunks``, ``build_counts``, and the term index of the chunks under ``index``,
-    which ``stored_index.open_index`` opens.  The folder must be new; the index is complete last."""
+def write(kb: KnowledgeBase, folder: str) -> stored_index.Index:
+    """Parquet tables ``pages`` and ``chunks``, ``build_counts``, and the term index of the chunks (``postings``, ``bounds``,
+    ``vocabulary``, ``summary``), which ``stored_index.open_index`` opens from the same folder.  The folder must be new; the index is complete last."""
     kb.pages.write.parquet(f"{folder}/pages")
-    with_ids(kb.chunks, order).write.parquet(f"{folder}/chunks")
+    kb.chunks.write.parquet(f"{folder}/chunks")
     counters(kb.funnel).write.json(f"{folder}/build_counts")
     stored = kb.chunks.sparkSession.read.parquet(f"{folder}/chunks")
-    return stored_index.build(stored, f"{folder}/index", body="chunk_text")
+    return stored_index.build(stored, folder, body="chunk_text")
 
 

@@ -201,14 +201,14 @@ def kb_build_counts(spark, sf):
 def kb_public_chunks(spark, sf):
     pages = _pages(spark, sf).withColumn("url", F.concat("url", F.lit("/"), F.col("page_id").cast("string")))
     built = kb.filtered_public(pages, "page_id", SYN, exact=False)
-    return built.chunks.select("page_id", "chunk_index", "char_start", "char_end", F.length("chunk_text").alias("chars"))
+    return built.unnumbered.select("page_id", "chunk_index", "char_start", "char_end", F.length("chunk_text").alias("chars"))
 
 
 @query("kb_quality_chunks")
 def kb_quality_chunks(spark, sf):
     pages = _pages(spark, sf).withColumn("url", F.concat("url", F.lit("/"), F.col("page_id").cast("string")))
     built = kb.high_quality(pages, "page_id", lex=SYN)
-    return built.chunks.select("page_id", "chunk_index", "quality", F.length("text").alias("chars"))
+    return built.unnumbered.select("page_id", "chunk_index", "quality", F.length("text").alias("chars"))
 
 
 @query(

@@ -68,11 +68,11 @@ def test_knowledge_base_is_searched_from_its_folder(spark, tmp_path):
     rows = [(i, f"Amplifier page {i}", f"https://h.example/{i}", "\n".join(words(30, 50 * i + k) for k in range(12))) for i in range(12)]
     table = spark.createDataFrame(rows, "page_id long, title string, url string, text string").withColumn("text_hash", F.sha1(F.encode("text", "UTF-8")))
     built = kb.basic(table, "page_id")
-    kb.write(built, str(tmp_path / "kb"), "page_id")
+    kb.write(built, str(tmp_path / "kb"))
     stored = spark.read.parquet(str(tmp_path / "kb" / "chunks"))
     ids = sorted(r.chunk_id for r in stored.collect())
     assert ids == list(range(len(ids))) and ids
-    index = stored_index.open_index(spark, str(tmp_path / "kb" / "index"))
+    index = stored_index.open_index(spark, str(tmp_path / "kb"))
     queries = spark.createDataFrame([(1, "overheating regulator"), (2, "zz")], "q int, question string")
     chunks = stored.withColumn("text", F.col("chunk_text"))
     found = retrieval.sparse(queries, chunks, "q", "question", index=index)
