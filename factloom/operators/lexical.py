@@ -11,17 +11,27 @@ occur inside one white-space separated token.  So terms are matched against the
 *vocabulary* (distinct tokens, far smaller than the corpus) and the result joins
 the postings on the token: no text is scanned per query and no pair of query and
 chunk is formed unless they share a term.
+
+A search that is asked once needs no index: ``bm25_scan`` carries the terms of all
+queries to the chunks and keeps what they hold of them, so what is shuffled are
+matches, not the corpus.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import tokens as K
 from ..lexicons import DEFAULT, QUERY_EXPANSIONS, Lexicons
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, drop_table, spread
 from . import cleaning as C
 from .ordered import top_k
 
@@ -29,6 +39,8 @@ K1, B = 1.2, 0.75  # fixed values of the ranking function
 IDF_FLOOR = 1e-6
 CANDIDATES = 80
 STRONG_LIMIT, TERM_LIMIT, OTHER_LIMIT = 6, 12, 4
+#: Distinct terms that are carried to the chunks; with more of them, vocabulary and postings are joined.
+MOST_CARRIED = 100_000
 PHRASES = tuple(sorted({t.lower() for terms in QUERY_EXPANSIONS.values() for t in terms if " " in t}))
 
 # fixed values: term classes, first match wins
@@ -247,35 +259,178 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, query_id: str, l
     return top_k(ranked, [query_id], order, limit)
 
 
+# -------------------------------------------------------------------- scan
+
+# fixed values: words that a task remembers, their longest, rows answered at a time
+_REMEMBERED, _LONGEST_REMEMBERED, _SLICE = 100_000, 64, 256
+
+
+class _Inside:
+    """Which pieces a word holds, and how often: a piece is met on its first characters (up to three).  Words are
+    remembered, as most of them come again."""
+
+    def __init__(self, pieces: Iterable[str]) -> None:
+        self.heads: dict[str, list[str]] = {}
+        for piece in pieces:
+            self.heads.setdefault(piece[:3], []).append(piece)
+        self.sizes = sorted({len(head) for head in self.heads})
+        self.known: dict[str, tuple[tuple[str, int], ...]] = {}
+
+    def __call__(self, word: str) -> tuple[tuple[str, int], ...]:
+        found = self.known.get(word)
+        if found is None:
+            held = set()
+            for size in self.sizes:
+                for at in range(len(word) - size + 1):
+                    for piece in self.heads.get(word[at : at + size], ()):
+                        if word.startswith(piece, at):
+                            held.add(piece)
+            found = tuple((piece, word.count(piece)) for piece in held)
+            if len(word) <= _LONGEST_REMEMBERED:
+                if len(self.known) >= _REMEMBERED:
+                    self.known.clear()
+                self.known[word] = found
+        return found
+
+
+def _rows_of(batches: Iterable[pa.RecordBatch], kept: list[str], texts: list[str], schema: pa.Schema, answers: Callable) -> Iterator[pa.RecordBatch]:
+    """One row per answer to a row's ``texts``, behind its ``kept`` columns; a few rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(start, _SLICE)
+            own, found = [], []
+            for at, row in enumerate(zip(*[part.column(c).to_pylist() for c in texts], strict=True)):
+                new = answers(*row)
+                own.extend([at] * len(new))
+                found.extend(new)
+            arrays = [part.column(c).take(pa.array(own, pa.int32())) for c in kept]
+            arrays += [pa.array([f[i] for f in found], field.type) for i, field in enumerate(list(schema)[len(kept) :])]
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(schema, arrays)]))
+
+
+def _answered(staged: DataFrame, kept: list[str], texts: list[str], added: list[StructField], make: Callable) -> DataFrame:
+    """``mapInArrow`` of ``_rows_of``; ``make()`` gives each task its function from texts to rows."""
+    schema = StructType([*[staged.schema[c] for c in kept], *added])
+    types = {"string": pa.string(), "bigint": pa.int64()}
+    arrow = pa.schema([pa.field(c, pa.null()) for c in kept] + [pa.field(f.name, types[f.dataType.simpleString()]) for f in added])
+    return staged.mapInArrow(lambda batches: _rows_of(batches, kept, texts, arrow, make()), schema)
+
+
+def term_counts(
+    chunks: DataFrame, terms: list[str], chunk_id: str = "chunk_id", title: str = "title", url: str = "url", body: str = "text"
+) -> DataFrame:
+    """(row, chunk_id, dl, term, tf, token): how often a chunk holds each of ``terms``, by one scan of the chunks.
+
+    Matches are those of ``match_vocabulary``: terms of three characters and more inside white-space separated words, and
+    the expansion phrases as a whole.  ``token`` is the word with the term if the chunk has one such word, else null.
+    """
+    kept = [F.monotonically_increasing_id().alias("row"), F.col(chunk_id).alias("chunk_id"), _indexed_length(title, url, body).alias("dl")]
+    staged = chunks.select(*kept, _search_text(title, url, body).alias("_text"))
+    words = [t for t in terms if len(t) >= 3 and " " not in t]
+    phrases = [t for t in terms if t in PHRASES]
+
+    def make() -> Callable:
+        inside = _Inside(words)
+
+        def answers(text: str) -> list[tuple[str, int, str | None]]:
+            found: dict[str, tuple[int, str | None]] = {p: (text.count(p), p) for p in phrases if p in text}
+            for word, n in Counter(text.split()).items():
+                for term, occ in inside(word):
+                    found[term] = (found[term][0] + n * occ, None) if term in found else (n * occ, word)
+            return [(term, tf, token) for term, (tf, token) in found.items()]
+
+        return answers
+
+    added = [StructField("term", StringType()), StructField("tf", LongType()), StructField("token", StringType())]
+    return _answered(staged, ["row", "chunk_id", "dl"], ["_text"], added, make)
+
+
+def _carried(wanted: DataFrame) -> list[str] | None:
+    """The distinct terms, if they are few enough to be carried to the chunks."""
+    terms = [r[0] for r in wanted.where(F.col("term").isNotNull()).select("term").distinct().limit(MOST_CARRIED + 1).collect()]
+    return terms if len(terms) <= MOST_CARRIED else None
+
+
+def bm25_scan(queries: DataFrame, chunks: DataFrame, query_id: str, limit: int = CANDIDATES) -> DataFrame:
+    """``bm25`` without an index: one scan of the chunks for the terms of all queries, and what they match is shuffled.
+
+    A term inside one word of the whole vocabulary counts each row of a repeated chunk id, as its posting list does; a term inside
+    several words counts a chunk id once.
+    """
+    wanted = cut_lineage(queries.select(query_id, F.explode(F.array_distinct(F.transform("fts_terms", F.lower))).alias("term")))
+    terms = _carried(wanted)
+    if terms is None:
+        return bm25(queries, cut_lineage(postings(chunks)), lengths(chunks), query_id, limit)
+    total, average = lengths(chunks).agg(F.count("*"), F.avg("dl")).first()
+    found = cut_lineage(term_counts(chunks, terms))
+    single = (F.count("token") == F.count("*")) & (F.min("token") == F.max("token"))
+    kinds = found.groupBy("term").agg(single.alias("single"))
+    counted = found.join(F.broadcast(kinds), "term").withColumn("copy", F.when(F.col("single"), F.col("row")))
+    tf = cut_lineage(counted.groupBy("term", "chunk_id", "copy").agg(F.sum("tf").alias("tf"), F.min("dl").alias("dl")))
+    drop_table(found)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.select("term", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
+    norm = K1 * (1 - B + B * F.col("dl") / float(average or 1.0))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    parts = tf.join(F.broadcast(weights), "term").select("term", "chunk_id", part.alias("part"))
+    ranked = wanted.join(parts, "term").groupBy(query_id, "chunk_id").agg((-F.sum("part")).alias("bm25_score"))
+    best = cut_lineage(top_k(ranked, [query_id], [F.round("bm25_score", 9), F.col("chunk_id")], limit))
+    drop_table(tf)
+    return best
+
+
+def _holding(texts: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """(chunk_id, term) of the chunks whose title or text contains a term: the first ``limit`` chunks of each, cut to so many in
+    each task, as no query returns more of them."""
+
+    def make() -> Callable:
+        by_piece: dict[str, list[str]] = {}
+        for term in terms:
+            by_piece.setdefault(term.split()[0], []).append(term)
+        inside = _Inside(by_piece)
+
+        def answers(title: str, text: str) -> list[tuple[str]]:
+            pieces = {p for word in {*title.split(), *text.split()} for p, _ in inside(word)}
+            return [(t,) for p in pieces for t in by_piece[p] if t == p or t in title or t in text]
+
+        return answers
+
+    found = _answered(texts.where(F.col("chunk_id").isNotNull()), ["chunk_id"], ["_title", "_text"], [StructField("term", StringType())], make)
+    place = F.dense_rank().over(W.partitionBy("term").orderBy("chunk_id"))
+    return found.withColumn("_place", place).where(F.col("_place") <= limit).select("chunk_id", "term").distinct()
+
+
 def like_search(queries: DataFrame, chunks: DataFrame, query_id: str, limit: int = CANDIDATES) -> DataFrame:
     """Fallback: chunks whose title or text contains one of the query's first specific
     terms, all with the same score, in chunk order.
 
     A term of any length counts, also of one or two characters, which an index of
-    trigrams cannot answer.  The first word of a term is looked for inside the distinct
+    trigrams cannot answer.  The first word of a term is looked for inside the
     words of titles and texts, which it meets on its first characters (up to three);
-    only chunks with such a word are searched for the whole term.
+    only chunks with such a word are searched for the whole term.  That is one scan of the
+    chunks, unless the terms are too many to be carried there.
     """
     wanted = queries.select(query_id, F.explode(F.array_distinct(F.transform("like_terms", F.lower))).alias("term"))
-    wanted = wanted.filter(T.strip(F.col("term")) != "")
-    probe = wanted.select("term").distinct().withColumn("piece", F.split(T.strip(F.col("term")), f"{T.WS}+")[0])
-    probe = probe.withColumn("gram", F.substring("piece", 1, 3))
+    wanted = cut_lineage(wanted.filter(T.strip(F.col("term")) != ""))
     fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "text")]
     texts = chunks.select("chunk_id", fields[0].alias("_title"), fields[1].alias("_text"))
+    terms = _carried(wanted)
+    held = _joined_holding(texts, wanted) if terms is None else _holding(texts, terms, limit)
+    found = held.join(wanted, "term").select(query_id, "chunk_id").distinct().withColumn("bm25_score", F.lit(10.0))
+    return top_k(found, [query_id], [F.col("chunk_id")], limit)
+
+
+def _joined_holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, term) of all chunks whose title or text contains a term, through the distinct words."""
+    probe = wanted.select("term").distinct().withColumn("piece", F.split(T.strip(F.col("term")), f"{T.WS}+")[0])
+    probe = probe.withColumn("gram", F.substring("piece", 1, 3))
     words = texts.select("chunk_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "_title", "_text"), f"{T.WS}+"))).alias("token"))
     vocabulary = words.select("token").distinct().withColumn("gram", F.explode(F.concat(*[_grams(F.col("token"), n) for n in (1, 2, 3)])))
     inside = vocabulary.join(probe, "gram").filter(F.contains("token", "piece")).select("term", "token")
     candidates = words.join(inside, "token").select("chunk_id", "term").distinct()
-    found = (
-        texts.join(candidates, "chunk_id")
-        .filter(F.contains("_title", "term") | F.contains("_text", "term"))
-        .select("chunk_id", "term")
-        .join(wanted, "term")
-        .select(query_id, "chunk_id")
-        .distinct()
-        .withColumn("bm25_score", F.lit(10.0))
-    )
-    return top_k(found, [query_id], [F.col("chunk_id")], limit)
+    held = F.contains("_title", "term") | F.contains("_text", "term")
+    return texts.join(candidates, "chunk_id").filter(held).select("chunk_id", "term")
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -11,35 +11,30 @@ from ..operators import lexical as L
 from ..session import cut_lineage, spread
 
 
-def stored_postings(chunks: DataFrame) -> DataFrame:
-    """Term index of chunks that have no stored one: written once, because every
-    search reads it several times (vocabulary, frequencies, both fallbacks)."""
-    return cut_lineage(L.postings(chunks))
-
-
 def sparse(
     queries: DataFrame, chunks: DataFrame, query_id: str, query: str, lex: Lexicons = DEFAULT, posts: DataFrame | None = None,
     lens: DataFrame | None = None, limit: int = L.CANDIDATES, index: stored_index.Index | None = None,
 ) -> DataFrame:
     """Ranked candidates of every query with their chunk and profile columns.
 
-    With ``index`` they come from the stored index; otherwise ``chunks`` are indexed for this search.
-    Queries whose terms match nothing in the index fall back to the first
+    With ``index`` they come from the stored index, with ``posts`` from those postings; otherwise ``chunks`` are scanned once
+    for the terms of all queries.  Queries whose terms match nothing fall back to the first
     specific terms with a constant score.
     """
     profiled = L.query_profile(queries, query, lex)
-    if index is None:
-        posts = stored_postings(chunks) if posts is None else posts
-        lens = L.lengths(chunks) if lens is None else lens
-        found = L.bm25(profiled, posts, lens, query_id, limit)
+    if index is not None:
+        found = stored_index.search(profiled, index, query_id, limit)
+    elif posts is not None:
+        found = L.bm25(profiled, posts, L.lengths(chunks) if lens is None else lens, query_id, limit)
     else:
-        found = cut_lineage(stored_index.search(profiled, index, query_id, limit))
+        found = L.bm25_scan(profiled, chunks, query_id, limit)
+    found = cut_lineage(found)
     unmatched = profiled.join(found.select(query_id).distinct(), query_id, "left_anti")
-    loose = stored_index.contains_search(unmatched, chunks, query_id, limit) if index else None
+    loose = stored_index.contains_search(unmatched, chunks, query_id, limit)
     if loose is None:
         loose = L.like_search(unmatched, chunks, query_id, limit)
-    hits = found.unionByName(loose)
-    return with_context(hits, profiled, chunks, query_id)
+    # written: the planner then sees how few they are, and does not shuffle the texts to meet them
+    return with_context(cut_lineage(found.unionByName(loose)), profiled, chunks, query_id)
 
 
 def with_context(hits: DataFrame, profiled: DataFrame, chunks: DataFrame, query_id: str) -> DataFrame:
@@ -58,7 +53,7 @@ def hybrid_search(
     """
     profiled = L.query_profile(queries, query, lex)
     ranked = L.rerank(sparse(queries, chunks, query_id, query, lex, posts, lens, index=index), query, lex)
-    merged = hybrid.merge(ranked, dense_hits, query_id)
+    merged = cut_lineage(hybrid.merge(ranked, dense_hits, query_id))
     full = with_context(merged, profiled, chunks, query_id)
     return hybrid.search(full, query_id, "hybrid_score", limit, hybrid=True, lex=lex)
 

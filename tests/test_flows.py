@@ -45,6 +45,38 @@ def test_stored_index_searches_what_was_written(spark, corpus, asked, tmp_path,
     assert as_rows(stored_index.search(asked, opened, "q", 5, most_direct=0)) == as_rows(want)
 
 
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_scan_finds_what_an_index_finds(spark, corpus, asked, tmp_path, monkeypatch, most):
+    """Carried terms, too many to be carried, repeated rows and null ids."""
+    monkeypatch.setattr(L, "MOST_CARRIED", most)
+    want = L.bm25(asked, L.postings(corpus), L.lengths(corpus), "q", 5)
+    assert as_rows(L.bm25_scan(asked, corpus, "q", 5)) == as_rows(want)
+    if most > 2:
+        twice = corpus.unionByName(corpus.where("chunk_id % 3 = 0")).unionByName(corpus.limit(3).withColumn("chunk_id", F.lit(None).cast("long")))
+        built = stored_index.build(twice, str(tmp_path / "ix"), buckets=4)
+        key = lambda found: sorted((r.q, r.rank, str(r.chunk_id), round(r.bm25_score, 9)) for r in found.collect())
+        assert key(L.bm25_scan(asked, twice, "q", 40)) == key(stored_index.search(asked, built, "q", 40))
+
+
+def test_scan_keeps_matches_only(spark, corpus):
+    """What a search stores and shuffles are matches of its terms; words that nobody asked for stay where they are."""
+    found = L.term_counts(corpus, ["rareterm", "amp", "missing"]).collect()
+    assert {r.term for r in found} == {"rareterm", "amp"}
+    want = corpus.where("text LIKE '%rareterm%'").count()
+    assert sum(r.term == "rareterm" and r.token == "rareterm" for r in found) == want
+    assert all(r.token is not None or r.tf > 1 for r in found)
+
+
+def test_like_scan_cuts_each_term_to_its_first_chunks(spark):
+    rows = [(i // 2, "Two words" if i % 3 else None, f"x{i} needle") for i in range(60)]
+    texts = spark.createDataFrame(rows, "chunk_id long, title string, text string")
+    queries = spark.createDataFrame([(1, ["needle"]), (2, ["two  words", "two words"]), (3, ["x4", " 5"]), (4, ["  "])], "q long, like_terms array<string>")
+    got = {q: [r.chunk_id for r in L.like_search(queries, texts, "q", 5).where(F.col("q") == q).orderBy("rank").collect()] for q in (1, 2, 3, 4)}
+    brute = lambda test: sorted({c for c, title, text in rows if test((title or "").lower(), text)})[:5]
+    assert got[1] == [0, 1, 2, 3, 4] and got[2] == brute(lambda a, b: "two words" in a) and got[4] == []
+    assert got[3] == brute(lambda a, b: "x4" in b or " 5" in b)
+
+
 def test_stored_index_leaves_blocks_that_cannot_matter(spark, tmp_path):
     # block bounds differ: a few chunks hold the term often, the others once
     rows = [(i, "t", "u", "filler " * 30 + "needle " * (20 if i % 100 == 0 else 1)) for i in range(400)] + [(i, "t", "u", "filler other words") for i in range(400, 1200)]
