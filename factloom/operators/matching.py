@@ -10,6 +10,7 @@ import difflib
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -233,10 +234,14 @@ def lcs_lengths(ref: list, preds: list[list]) -> list[float]:
     return out
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _lcs_rows(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    """LCS of one reference claim with every prediction claim of its sample."""
-    return pd.Series([lcs_lengths(list(r), [list(p) for p in ps]) for r, ps in zip(ref, pred)])
+@F.arrow_udf(ArrayType(DoubleType()))
+def _lcs_rows(ref: pa.Array, pred: pa.Array) -> pa.Array:
+    """LCS of one reference claim with every prediction claim of its sample.  Token lists leave the Arrow batch one row at a time."""
+    offsets, flat = [0], []
+    for r, ps in zip(ref, pred):
+        flat.extend(lcs_lengths(r.as_py(), ps.as_py()))
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.float64()))
 
 
 def claim_rouge(pairs: DataFrame, beta: float = 1.5, limit: int = 12, lex: Lexicons = DEFAULT, normalise: bool = True) -> DataFrame:
