@@ -277,7 +277,7 @@ def article_start(lines: Column, lex: Lexicons = DEFAULT) -> Column:
 
     def heading(x: Column) -> Column:
         title = T.strip(F.lower(F.regexp_extract(x, r"^#{1,2}\s+(.+)$", 1)))
-        return (F.length(title) >= 6) & ~T.contains_any(title, lex.noise_headings)
+        return F.startswith(x, F.lit("#")) & (F.length(title) >= 6) & ~T.contains_any(title, lex.noise_headings)
 
     def prose(x: Column) -> Column:
         return (F.length(x) >= 40) & (T.alnum_ratio(x) > 0.5) & ~noise_line(x, lex)
@@ -313,6 +313,11 @@ INLINE_ARTIFACTS = (
     (r"\b打印\b", ""),
     (r"\b举报\b", ""),
 )
+# one of these is in every line that a rule above changes
+INLINE_MARKS = (
+    "EETC-", "![", "(", "（", "时间：", "作者：", "来源：", "阅读：", "分享到：", "微信", "QQ空间", "新浪微博", "腾讯微博", "人人网",
+    "文章：", "粉丝数：", "关注数：", "点赞数：", "次阅读", "收藏", "打印", "举报",
+)
 # fixed values: fragments left over once the lines are joined again
 JOINED_ARTIFACTS = (
     (r"(?s)!\[[^\]]*?\]\s*\([^)]*?\)", ""),
@@ -372,6 +377,11 @@ def strip_trailing_numbers(df: DataFrame, body: str) -> DataFrame:
     )
 
 
+def without_artifacts(line: Column) -> Column:
+    """``INLINE_ARTIFACTS`` removed; the patterns run only on lines with a mark of one."""
+    return F.when(T.contains_any(line, INLINE_MARKS), T.substitute(line, INLINE_ARTIFACTS)).otherwise(line)
+
+
 def clean_public_text(df: DataFrame, body: str, out: str, lex: Lexicons = DEFAULT) -> DataFrame:
     """Article text of a crawled page, noise lines and site artefacts removed."""
     drops = [m.lower() for m in lex.line_drops]
@@ -389,7 +399,7 @@ def clean_public_text(df: DataFrame, body: str, out: str, lex: Lexicons = DEFAUL
     def keep(x: Column) -> Column:
         return ~(noise_line(x, lex) | T.contains_any(F.lower(x), drops) | navigation_line(x))
 
-    cut = F.transform(F.filter("_body", keep), lambda x: T.substitute(x, INLINE_ARTIFACTS))
+    cut = F.transform(F.filter("_body", keep), without_artifacts)
     cut = F.filter(cut, lambda x: ~F.rlike(x, F.lit(r"^[_*\[\]\s\-.|/]*$")))
     staged = staged.withColumn(out, T.substitute(F.array_join(cut, "\n"), JOINED_ARTIFACTS))
     staged = strip_trailing_numbers(staged, out)
