@@ -37,15 +37,13 @@ def query_runs(text: Column) -> Column:
 
 
 def evidence_terms(text: Column) -> Column:
-    stop = F.array(*[F.lit(s) for s in EVIDENCE_STOP])
     cut = F.transform(_all(text, EVIDENCE_TERM), strip)
-    return F.array_distinct(F.filter(cut, lambda x: (F.length(x) > 0) & ~F.array_contains(stop, x)))
+    return F.array_distinct(F.filter(cut, lambda x: (F.length(x) > 0) & ~x.isin(*EVIDENCE_STOP)))
 
 
 def search_terms(text: Column, stop: tuple[str, ...] = SEARCH_STOP_TERMS) -> Column:
-    banned = F.array(*[F.lit(s) for s in stop])
     low = F.transform(_all(text, SEARCH_TERM), F.lower)
-    return F.array_distinct(F.filter(low, lambda x: (F.length(x) >= 2) & ~F.array_contains(banned, x)))
+    return F.array_distinct(F.filter(low, lambda x: (F.length(x) >= 2) & ~x.isin(*stop)))
 
 
 def content_tokens(text: Column) -> Column:
@@ -71,6 +69,11 @@ def bigrams(text: Column) -> Column:
     )
 
 
+def bigram_count(text: Column) -> Column:
+    """``size(bigrams(text))`` without the pairs."""
+    return F.when(text.isNotNull(), F.greatest(F.length(text) - 1, F.lit(0)))
+
+
 def term_present(term: Column, low_text: Column) -> Column:
     """Whole-token match for latin terms, substring match for the rest."""
     latin = F.rlike(term, F.lit(r"^[a-z0-9_.+-]+( +[a-z0-9_.+-]+)*$"))

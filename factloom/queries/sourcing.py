@@ -655,7 +655,7 @@ def tokenizer_counts(spark, sf):
         size(K.search_terms(text), "search_terms"),
         size(K.content_tokens(text), "content_tokens"),
         size(K.read_tokens(text), "read_tokens"),
-        size(K.bigrams(text), "bigrams"),
+        K.bigram_count(text).cast("long").alias("bigrams"),
     )
 
 
