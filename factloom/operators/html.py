@@ -194,18 +194,22 @@ def extract(df: DataFrame, key: str, html: str, lex: Lexicons = DEFAULT, snippet
 
     Candidates are rows (page, extractor): main element or stripped page, each
     whole or reduced to its relevant blocks; the best by rank wins.
+
+    The pair of readings is not a column of its own: from one, Spark infers a filter, for which every page is read once more by the
+    few tasks of the scan.
     """
-    base = df.select(
+    rows = df.select(
         key,
         F.length(html).alias("raw_chars"),
         title(F.col(html)).alias("_title"),
         (F.col(snippet) if snippet else F.lit("")).alias("_snippet"),
-        F.array(
-            F.struct(F.lit("main_text").alias("e"), main_text(F.col(html)).alias("t")),
-            F.struct(F.lit("strip_text").alias("e"), strip_text(F.col(html)).alias("t")),
-        ).alias("_c"),
+        F.inline(
+            F.array(
+                F.struct(F.lit("main_text").alias("extractor"), main_text(F.col(html)).alias("_raw")),
+                F.struct(F.lit("strip_text").alias("extractor"), strip_text(F.col(html)).alias("_raw")),
+            )
+        ),
     )
-    rows = base.select(key, "raw_chars", "_title", "_snippet", F.inline("_c")).withColumnsRenamed({"e": "extractor", "t": "_raw"})
     rows = rows.withColumn("_clean", clean_blocks(F.col("_raw"), lex))
     rows = rows.withColumn("_clean", C.trim_to_context(F.col("_clean"), F.col("_snippet"), F.col("_title")))
     rows = select_blocks(rows, "_clean", "_title", "_snippet", "_sel", lex)

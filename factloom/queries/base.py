@@ -54,9 +54,13 @@ SYN = replace(
 _TEXT = {"documents": "doc_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, finer: int = 1) -> DataFrame:
     data = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(data, _TEXT[name]) if name in _TEXT else data
+    return spread(data, _TEXT[name], finer=finer) if name in _TEXT else data
+
+
+# tasks for each one of the scan, where a page takes far longer to read out than to move
+READ_OUT = 16
 
 
 # --- chunks: every document as one chunk of the knowledge base ------------

@@ -15,7 +15,7 @@ from ..operators import ordered as O
 from ..sources import catalog, pages, samples
 from . import query
 from .base import (
-    CHUNKS, PAIRS, SYN, chunks, pairs, q, sql_any, sql_hits, sql_in, sql_lines, sql_list, sql_occ, sql_occs, sql_ratio,
+    CHUNKS, PAIRS, READ_OUT, SYN, chunks, pairs, q, sql_any, sql_hits, sql_in, sql_lines, sql_list, sql_occ, sql_occs, sql_ratio,
     sql_squeeze, sql_strip, table,
 )
 
@@ -687,7 +687,7 @@ def html_main_text(spark, sf):
 
 @query("extract_best")
 def extract_best(spark, sf):
-    best = H.extract(table(spark, sf, "pages"), "page_id", "html", SYN)
+    best = H.extract(table(spark, sf, "pages", READ_OUT), "page_id", "html", SYN)
     return best.select(
         "page_id", "extractor", "clean_chars", F.round("quality_score", 4).alias("quality_score"), "quality_reason"
     )

@@ -24,16 +24,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
-def spread(df: DataFrame, *keys: str, scan: bool = True) -> DataFrame:
+def spread(df: DataFrame, *keys: str, scan: bool = True, finer: int = 1) -> DataFrame:
     """Give heavy per-row work one partition per core.
 
     A scan that is already split into enough tasks is left alone, so large
     inputs are never shuffled for this; a few big files, or the small result of
     a shuffle that adaptive execution would pack into one task, are dealt out
     by key.
+
+    With ``finer``, each task of the scan is dealt to so many, for work that takes far longer than
+    a shuffle of its input: tasks get more with the input, not longer.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    if finer > 1:
+        return df.repartition(max(cores, df.rdd.getNumPartitions() * finer), *keys)
     if scan and df.rdd.getNumPartitions() >= cores:
         return df
     if not scan:
