@@ -342,14 +342,18 @@ def read_candidate_score(
 
 
 def best_read(df: DataFrame, key: str, backend: str, score_floor: float = 0.0) -> DataFrame:
-    """Winning backend per page: score, then purity, then length."""
+    """Winning backend per page: score, then purity, then length.
+
+    The floor is a condition of the aggregate.  As a filter on the rows, Spark would move it below the columns that make the
+    score, which it then works out anew for each of their uses.
+    """
     rank = F.struct(
         F.round("final_score", 6), F.round("purity", 6), F.least(F.col("clean_chars"), F.lit(12000)), F.col(backend)
     )
     return (
-        df.filter(F.col("final_score") > score_floor)
-        .groupBy(key)
-        .agg(F.max_by(F.struct(backend, "final_score", "purity", "clean_chars"), rank).alias("_w"))
+        df.groupBy(key)
+        .agg(F.max_by(F.struct(backend, "final_score", "purity", "clean_chars"), F.when(F.col("final_score") > score_floor, rank)).alias("_w"))
+        .filter(F.col("_w").isNotNull())
         .select(key, "_w.*")
     )
 
