@@ -111,6 +111,10 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+# fixed value: lookups of a task of ttl_hits
+_TASK_ROWS = 100_000
+
+
 def ttl_hits(df: DataFrame, keys: list[str], order: list[str], bucket: Column, at: str, ttl: float) -> DataFrame:
     """Adds ``hit``: whether a cache that stores at a miss, for ``ttl`` seconds, answers the lookup.
 
@@ -122,33 +126,41 @@ def ttl_hits(df: DataFrame, keys: list[str], order: list[str], bucket: Column, a
     lookups that come ``ttl`` or more after their predecessor, and pointers double in
     each round, so a stretch of n buckets takes log2(n) rounds of written tables and no row holds a key.
 
+    Joins and windows get a task for every ``_TASK_ROWS`` lookups: tasks get more with the log, not larger.
+
     ``order`` must not contradict ``at`` (in seconds); a lookup without a time is a miss that
     stores nothing.  ``bucket`` is not used: buckets follow from ``ttl``.
     """
     named = df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", F.floor(F.col(at) / ttl))
     rows = cut_lineage(named.withColumn("_pos", F.row_number().over(_window(["_key", "_bucket"], [at, *order]))))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, rows.count() // _TASK_ROWS)
+    dealt = lambda part, *by: part.repartition(tasks, *by)
     timed = rows.where(F.col("_bucket").isNotNull()).select("_key", F.struct("_bucket", "_pos").alias("_node"), "_bucket", F.col(at).cast("double").alias("_at"))
     across = _window(["_key"], ["_bucket"])
-    spans = timed.groupBy("_key", "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).withColumn("_before", F.lag("_last").over(across))
+    spans = dealt(timed, "_key", "_bucket").groupBy("_key", "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    spans = dealt(spans, "_key").withColumn("_before", F.lag("_last").over(across))
     starts = spans.where(F.col("_before").isNull() | (F.col("_first") - F.col("_before") >= ttl)).select("_key", F.struct("_bucket", F.lit(1).alias("_pos")).alias("_node"))
     # rows, and the ends of what each would store, in the buckets that they fall into
     ends = timed.withColumn("_at", F.col("_at") + ttl).withColumn("_bucket", F.floor(F.col("_at") / ttl))
     both = timed.withColumn("_is_row", F.lit(True)).union(ends.withColumn("_is_row", F.lit(False)))
-    both = both.withColumn("_own", F.when(F.col("_is_row"), F.col("_node")))
+    both = dealt(both.withColumn("_own", F.when(F.col("_is_row"), F.col("_node"))), "_key", "_bucket")
     back = W.partitionBy("_key", "_bucket").orderBy(F.desc("_at"), F.desc("_is_row"), F.desc("_node")).rowsBetween(W.unboundedPreceding, 0)
     later = W.partitionBy("_key").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    heads = both.groupBy("_key", "_bucket").agg(F.min("_own").alias("_head")).withColumn("_next", F.last("_head", True).over(later)).drop("_head")
+    heads = dealt(both.groupBy("_key", "_bucket").agg(F.min("_own").alias("_head")), "_key")
+    heads = dealt(heads.withColumn("_next", F.last("_head", True).over(later)).drop("_head"), "_key", "_bucket")
     near = both.withColumn("_to", F.last("_own", True).over(back)).where(~F.col("_is_row"))
     pointers = near.join(heads, ["_key", "_bucket"]).select("_key", "_node", F.coalesce("_to", "_next").alias("_to")).where(F.col("_to").isNotNull())
     stores = cut_lineage(starts)
     # the start of a stretch is known already: no pointer has to lead to it
-    pointers = cut_lineage(pointers.join(stores.withColumnRenamed("_node", "_to"), ["_key", "_to"], "left_anti"))
+    known = dealt(stores.withColumnRenamed("_node", "_to"), "_key", "_to")
+    pointers = cut_lineage(dealt(pointers, "_key", "_to").join(known, ["_key", "_to"], "left_anti"))
     while not pointers.isEmpty():
-        reached = stores.join(pointers, ["_key", "_node"]).select("_key", F.col("_to").alias("_node"))
+        reached = dealt(stores, "_key", "_node").join(dealt(pointers, "_key", "_node"), ["_key", "_node"]).select("_key", F.col("_to").alias("_node"))
         stores = cut_lineage(stores.union(reached))
-        further = pointers.select("_key", F.col("_node").alias("_to"), F.col("_to").alias("_end"))
-        pointers = cut_lineage(pointers.join(further, ["_key", "_to"]).select("_key", "_node", F.col("_end").alias("_to")))
+        further = dealt(pointers.select("_key", F.col("_node").alias("_to"), F.col("_to").alias("_end")), "_key", "_to")
+        pointers = cut_lineage(dealt(pointers, "_key", "_to").join(further, ["_key", "_to"]).select("_key", "_node", F.col("_end").alias("_to")))
     rest = [c for c in df.columns if c not in (*keys, *order, at)]
-    found = rows.withColumn("_node", F.struct("_bucket", "_pos")).join(stores.withColumn("_stored", F.lit(True)), ["_key", "_node"], "left")
+    stored = dealt(stores.withColumn("_stored", F.lit(True)), "_key", "_node")
+    found = dealt(rows.withColumn("_node", F.struct("_bucket", "_pos")), "_key", "_node").join(stored, ["_key", "_node"], "left")
     hit = F.col("_stored").isNull() & F.col("_bucket").isNotNull()
     return found.select(*keys, *order, at, *rest, hit.alias("hit"))
