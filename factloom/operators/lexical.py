@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -549,6 +550,70 @@ def low_value_project(low: Column, lex: Lexicons = DEFAULT) -> Column:
 OWN_BONUS = 8
 
 
+def _best_overlaps(batches: Iterable[pa.RecordBatch], groups: dict[str, np.ndarray], asked: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """(doc, _size, _group, overlap) of a task's documents, as far as one of them can be among the first ``limit`` of its group.
+
+    ``groups`` has the groups that a token counts for, ``asked`` the sizes of the queries.  Scores are compared as they are and ranked
+    later as rounded to four places: what lies less than two units of the last place behind stays, and of exactly equal ones the least ids.
+    """
+    ids, sizes, of, overlap, raw = [], *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0)
+    doc = np.zeros(0, np.int64)
+    floor = np.zeros(len(asked))
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for start in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(start, _SLICE)
+            own = part.column(0).to_pylist()
+            own_sizes = np.array(part.column(1).to_pylist(), np.int64)
+            found = []
+            for at, tokens in enumerate(part.column(2).to_pylist()):
+                if hit := [groups[t] for t in tokens if t in groups]:
+                    some, counts = np.unique(np.concatenate(hit), return_counts=True)
+                    found.append((np.full(len(some), at), some, counts))
+            if not found:
+                continue
+            at, some, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+            value = counts / np.maximum(asked[some], 1) + counts / np.sqrt(np.maximum(own_sizes[at], 1))
+            near = value >= floor[some]
+            doc = np.concatenate([doc, at[near] + len(ids)])
+            sizes = np.concatenate([sizes, own_sizes[at[near]]])
+            of, overlap, raw = np.concatenate([of, some[near]]), np.concatenate([overlap, counts[near]]), np.concatenate([raw, value[near]])
+            ids += own
+            place = np.empty(len(ids), np.int64)
+            place[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))] = np.arange(len(ids))
+            order = np.lexsort((place[doc], -raw, of))
+            of, raw, doc = of[order], raw[order], doc[order]
+            new_of = np.flatnonzero(np.diff(of, prepend=-1) != 0)
+            last = new_of + limit - 1
+            full = last < np.append(new_of[1:], len(of))
+            floor[of[new_of[full]]] = raw[last[full]] - 2e-4
+            new = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(raw, prepend=-1.0) != 0))
+            nth = np.arange(len(of)) - np.repeat(new, np.diff(np.append(new, len(of))))
+            kept = (nth < limit) & (raw >= floor[of])
+            order = order[kept]
+            of, raw, doc, sizes, overlap = of[kept], raw[kept], doc[kept], sizes[order], overlap[order]
+            held, doc = np.unique(doc, return_inverse=True)
+            ids = [ids[i] for i in held]
+    if kind is not None:
+        columns = [pa.array([ids[i] for i in doc], kind), pa.array(sizes, pa.int32()), pa.array(of, pa.int64()), pa.array(overlap, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "_size", "_group", "overlap"])
+
+
+def _scanned_overlaps(docs: DataFrame, wanted: list, query_id: str, doc_id: str, limit: int) -> tuple[DataFrame, list[tuple]]:
+    """(doc, _size, _group, overlap) by one scan of documents with ids of their own, and (group, query, its size); ``docs`` has their
+    ``_size`` and ``_parts``."""
+    numbers: dict[tuple, int] = {}
+    places: dict[str, list[int]] = {}
+    for row in wanted:
+        places.setdefault(row["token"], []).extend([numbers.setdefault((row[query_id], row["_wanted"]), len(numbers))] * row["weight"])
+    groups = {token: np.array(at, np.int64) for token, at in places.items()}
+    asked = np.array([n for _, n in numbers], np.int64)
+    schema = StructType([StructField("doc", docs.schema[doc_id].dataType), *docs.select("_size").schema, StructField("_group", LongType()), StructField("overlap", LongType())])
+    staged = docs.select(F.col(doc_id).alias("doc"), "_size", "_parts")
+    return staged.mapInArrow(lambda batches: _best_overlaps(batches, groups, asked, limit), schema), [(g, *k) for k, g in numbers.items()]
+
+
 def overlap_search(
     queries: DataFrame, docs: DataFrame, query_id: str, query: str, doc_id: str, body: str, limit: int = 4, own: tuple[str, str] | None = None
 ) -> DataFrame:
@@ -556,18 +621,41 @@ def overlap_search(
 
     ``own`` names a column of the queries with an id, and one of the documents with the pieces of its path: a document whose path
     has the id counts ``OWN_BONUS`` tokens more, also where it shares none.  Ids are matched like tokens, so no pairs are formed for them.
+
+    The tokens of the queries are carried to the documents, and a task returns those that can be among the best.  Rows of a repeated
+    id count together, so they are joined with the queries, as all documents are if the tokens are too many.
     """
     one = F.lit(1).alias("weight")
-    doc_tokens = docs.withColumn("_tokens", F.array_distinct(K.words(F.col(body)))).withColumn("_size", F.size("_tokens"))
-    exploded = doc_tokens.select(doc_id, "_size", F.explode("_tokens").alias("token"), one)
     asked = queries.withColumn("_asked", F.array_distinct(K.words(F.col(query)))).withColumn("_wanted", F.size("_asked"))
     wanted = asked.select(query_id, "_wanted", F.explode("_asked").alias("token"))
+    mark = lambda c: F.concat(F.lit(" "), c)  # noqa: E731 - no token holds a blank
     if own:
-        mark = lambda c: F.concat(F.lit(" "), c)  # noqa: E731 - no token holds a blank
-        pieces = doc_tokens.select(doc_id, "_size", F.explode(F.array_distinct(own[1])).alias("token"), F.lit(OWN_BONUS).alias("weight"))
-        exploded = exploded.unionByName(pieces.withColumn("token", mark(F.col("token"))))
         wanted = wanted.unionByName(asked.where((F.col("_wanted") > 0) & (F.col(own[0]) != "")).select(query_id, "_wanted", mark(F.col(own[0])).alias("token")))
-    shared = exploded.join(wanted, "token").groupBy(query_id, doc_id, "_size", "_wanted").agg(F.sum("weight").alias("overlap"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        doc_tokens = some.withColumn("_tokens", F.array_distinct(K.words(F.col(body)))).withColumn("_size", F.size("_tokens"))
+        exploded = doc_tokens.select(doc_id, "_size", F.explode("_tokens").alias("token"), one)
+        if own:
+            pieces = doc_tokens.select(doc_id, "_size", F.explode(F.array_distinct(own[1])).alias("token"), F.lit(OWN_BONUS).alias("weight"))
+            exploded = exploded.unionByName(pieces.withColumn("token", mark(F.col("token"))))
+        return exploded.join(wanted, "token").groupBy(query_id, doc_id, "_size", "_wanted").agg(F.sum("weight").alias("overlap"))
+
+    weighed = wanted.where(F.col("token").isNotNull()).withColumn("weight", F.when(F.startswith("token", F.lit(" ")), OWN_BONUS).otherwise(1))
+    carried = weighed.limit(MOST_CARRIED + 1).collect()
+    if len(carried) > MOST_CARRIED:
+        shared = joined(docs)
+    else:
+        repeated = cut_lineage(docs.groupBy(doc_id).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(doc_id).alias("_repeated")))
+        same = F.col(doc_id).eqNullSafe(F.col("_repeated"))
+        tokens = F.array_distinct(K.words(F.col(body)))
+        parts = F.concat("_tokens", F.coalesce(F.transform(F.array_distinct(own[1]), mark), F.array().cast("array<string>"))) if own else F.col("_tokens")
+        single = docs.join(repeated, same, "left_anti").withColumn("_tokens", tokens).withColumn("_size", F.size("_tokens")).withColumn("_parts", parts)
+        found, numbers = _scanned_overlaps(single, carried, query_id, doc_id, limit)
+        names = StructType([StructField("_group", LongType()), *asked.select(query_id, "_wanted").schema])
+        named = F.broadcast(docs.sparkSession.createDataFrame(numbers, names))
+        shared = found.join(named, "_group").select(query_id, F.col("doc").alias(doc_id), "_size", "_wanted", "overlap")
+        if not repeated.isEmpty():
+            shared = shared.unionByName(joined(docs.join(repeated, same, "left_semi")))
     score = F.col("overlap") / F.greatest(F.col("_wanted"), F.lit(1)) + F.col("overlap") / F.sqrt(F.greatest(F.col("_size"), F.lit(1)).cast("double"))
     scored = shared.select(query_id, doc_id, "overlap", F.round(score, 4).alias("score"))
     return top_k(scored, [query_id], [F.desc("score"), F.col(doc_id)], limit)
