@@ -93,7 +93,7 @@ def run_index(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(c) for c in contexts])
     offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(offsets[-1])
-    text = np.empty(n, np.int64)
+    text = np.empty(n, np.int32)
     text[:] = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     text[offsets[1:] - 1] = 256 + np.arange(len(contexts))
     # ranks by ever longer prefixes, until all suffixes are told apart
@@ -101,12 +101,14 @@ def run_index(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     width = 1
     rank = text
     while True:
-        following = np.concatenate([rank[width:], np.full(min(width, n), -1)])[:n]
-        key = rank * (n + 300) + following + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(sorted_key, prepend=sorted_key[0]) != 0)
+        key = rank * np.int64(n + 300)
+        key[: n - width] += rank[width:]
+        key[: n - width] += 1
+        order = np.argsort(key)  # equal keys get one rank, so it need not be stable
+        key = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.diff(key, prepend=key[0]) != 0, dtype=np.int32)
+        del key
         width *= 2
         levels.append((width, rank))
         if rank[order[-1]] == n - 1:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -516,3 +517,15 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(mine)
     assert neighbours.search(table.where("false")).count() == 0
     assert neighbours.search(table.where("vec_id IN (0, 7, 9)")).count() == 2
+
+
+def test_index_of_contexts_keeps_narrow_ranks():
+    draw = random.Random(5)
+    base = bytes(draw.choice(b"abcd") for _ in range(600))
+    contexts = [base[: i + 300] + b"%d" % i for i in range(300)]
+    tracemalloc.start()
+    stats, offsets = repeats.run_index(contexts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140 * len(stats)  # 178 bytes a place with ranks of eight bytes
+    assert all(stats[offsets[i]] >= 300 for i in range(300))
