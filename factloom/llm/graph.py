@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, then every node ties its neighbours to the smallest of them, so
     that chains halve and a round's edges are no more than before.  All sums are
     minima, which combine before the shuffle, so a node with very many edges is
-    no more work for one task.  Rounds are written tables.  Ends when a round
-    changes nothing.
+    no more work for one task.  Rounds are written tables; one is dropped once the
+    next is stored.  Ends when a round changes nothing.
     """
     now = cut_lineage(_directed(edges))
     before = _digest(now)
@@ -25,7 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut_lineage(_attach(low.select(F.col("a").alias("node"), F.col("b").alias("other")), larger_only=False))
         found = _digest(after)
         if found == before:
+            drop_table(after)
             break
+        drop_table(now)
         now, before = after, found
     members = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("node")).distinct().join(members.select("node"), "node", "left_anti")

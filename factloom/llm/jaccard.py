@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table
 from .graph import components
 from .words import mix, shingles, text_slices, word_hashes
 
@@ -328,8 +328,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     # every class of a block is tied to the block's smallest; blocks of one class say nothing
     tied = named.withColumn("least", F.min("class").over(block)).withColumn("most", F.max("class").over(block)).where("most > least")
     blocks = cut_lineage(tied.select("block", "class", "least"))
+    drop_table(shared)
     families = cut_lineage(components(blocks.select(F.col("class").alias("a"), F.col("least").alias("b"))))
     found = _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
+    drop_table(blocks)
+    drop_table(families)
     joined = components(found)
     # name components by the smallest key
     named = sized.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("top", F.coalesce("component", "class"))
@@ -391,7 +394,9 @@ def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
                 found = family.join()
         return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype="int64")
 
-    return cut_lineage(texts.groupBy("task").applyInPandas(links, "a long, b long"))
+    found = cut_lineage(texts.groupBy("task").applyInPandas(links, "a long, b long"))
+    drop_table(members)
+    return found
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

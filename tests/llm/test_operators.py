@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.llm import fingerprints, graph, jaccard, mixing, neighbours, packing, personal, quality, repeats, samples, secrets, toxicity, words
 from .conftest import prose, sha
 
@@ -529,3 +530,11 @@ def test_index_of_contexts_keeps_narrow_ranks():
     tracemalloc.stop()
     assert peak < 140 * len(stats)  # 178 bytes a place with ranks of eight bytes
     assert all(stats[offsets[i]] >= 300 for i in range(300))
+
+
+def test_components_keep_one_table(spark):
+    before = set(session._TABLES)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    got = graph.components(edges)
+    assert len(set(session._TABLES) - before) == 1
+    assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in range(201)}
