@@ -6,8 +6,12 @@
    into more parts than a linked pair of that band can have differing elements
    (and some to spare, for empty parts),
    so a linked pair has a part in common that is equal and not empty (a set with very
-   many empty parts gives these as keys too).  The hash of each part's elements is a key.  Classes sharing a key are
-   candidates, and connected candidates form a family.
+   many empty parts gives these as keys too).  The hash of each part's elements is a key.
+   Mostly a linked pair must share several keys, and how many follows from the sizes and the parts that are
+   full.  Pairs from blocks of up to ``MOST_PAIRED`` classes are counted and those that share too few are no
+   candidates.  Larger blocks are not paired but tied together, and a class is left out of its
+   largest blocks, as many as it can miss and still share a key with each set that may be linked to it.
+   So a passage in many texts does not make one family of them.  Connected candidates form a family.
 3. Prefix-tree join inside a family.  N-grams that occur in the same members
    count as one with a weight.  The sets, ordered by the family's
    frequency of their n-grams, are stored in a trie whose upper parts are shared.  The sets
@@ -16,7 +20,8 @@
    allows, or when all sets there are known to be connected with it already.
    So a family of thousands of copies is joined without forming its pairs.
 4. A family with more than ``MOST_ELEMENTS`` elements in its sets is not put into one task: it is joined
-   band by band (with the next smaller one), and where that is too much, key by key, and keys with too many classes in pairs of chunks.
+   band by band (with the next smaller one), and where that is too much, key by key (once for all keys of the same
+   classes), and keys with too many classes in pairs of chunks.
 5. Links give components, by minima of edge tables.
 
 Hash values stand for n-grams and classes: with 64 bits (classes: with their size) false equality is
@@ -47,6 +52,7 @@ from .words import mix, shingles, text_slices, word_hashes
 
 MOST_ELEMENTS = 2_000_000
 CHUNK_CLASSES = 256
+MOST_PAIRED = 16
 TABLE_CELLS = 24_000_000
 
 
@@ -101,26 +107,53 @@ def class_of(elements: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def block_keys(elements: np.ndarray, rule: Overlap, bands: np.ndarray) -> np.ndarray:
-    """Keys such that linked, different sets share one."""
-    size = len(elements)
+def _bands_of(size: int, rule: Overlap, bands: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(band, its largest size, parts, spare) of the two bands of a set, if linked sets there can differ."""
     own = int(np.searchsorted(bands, size, side="right")) - 1
-    out = []
     for band in (own, own + 1):
-        parts, spare = rule.layout(int(bands[max(band - 1, 0)]), int(bands[band + 1]) - 1)
-        if not parts:
-            continue
-        spread = mix(elements + np.uint64(band * 2 + 1))
-        part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        top = int(bands[band + 1]) - 1
+        parts, spare = rule.layout(int(bands[max(band - 1, 0)]), top)
+        if parts:
+            yield band, top, parts, spare
+
+
+def _dealt(elements: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spread elements and the part of each."""
+    spread = mix(elements + np.uint64(band * 2 + 1))
+    return spread, ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def block_keys(elements: np.ndarray, rule: Overlap, bands: np.ndarray) -> np.ndarray:
+    """Keys such that linked, different sets share one: 48 bits and below them one that tells a set's two bands apart."""
+    out = []
+    for band, _, parts, spare in _bands_of(len(elements), rule, bands):
+        spread, part = _dealt(elements, band, parts)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, spread)
         full = np.bincount(part, minlength=parts) > 0
         keep = np.ones(parts, bool) if parts - np.count_nonzero(full) > spare else full
         where = np.flatnonzero(keep).astype(np.uint64)
-        out.append(mix(sums[keep] + mix(where + np.uint64(band << 32))))
+        out.append(mix(sums[keep] + mix(where + np.uint64(band << 32))) >> np.uint64(16) << np.uint64(1) | np.uint64(band & 1))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def shared_keys(elements: np.ndarray, rule: Overlap, bands: np.ndarray) -> list[int]:
+    """[needed, full] of the set's even band, then of its odd one.
+
+    ``needed`` keys of the band at least are shared with any linked, different set of it.  With one of a certain
+    size it is ``full``, its full parts, less ``most_misses`` of the two, for the larger ``full`` of both: parts
+    that are empty in both are no keys.  A set that gives empty parts as keys promises one shared key.
+    """
+    size, out = len(elements), [1, 0, 1, 0]
+    for band, top, parts, spare in _bands_of(size, rule, bands):
+        full = np.count_nonzero(np.bincount(_dealt(elements, band, parts)[1], minlength=parts))
+        if parts - full <= spare:
+            misses = rule.most_misses(size, min(top, 100 * size // rule.percent))
+            at = 2 * (band & 1)
+            out[at : at + 2] = max(1, full - misses), full
+    return out
+
+
 # ---- the trie
 
 
@@ -273,22 +306,35 @@ class Family:
 # ---- Spark
 
 
-def _sizes(n: int):
-    """Per text (doc_id, size, class)."""
+_SIZED = "doc_id long, size long, class long, needed0 int, full0 int, needed1 int, full1 int"
+
+
+def _sizes(n: int, rule: Overlap):
+    """Per text the columns of ``_SIZED``: key, size, class and ``shared_keys``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = rule.bands(1 << 12)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_slices(texts):
                 sets = text_sets(texts[a:b], n)
+                bands = _reaching(bands, rule, sets)
                 names = [class_of(s) if len(s) else None for s in sets]
+                keys = np.array([shared_keys(s, rule, bands) if len(s) else [1, 0, 1, 0] for s in sets], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "size", "class"]
+                    [batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64()), *(pa.array(c) for c in keys.T)],
+                    names=[c.split()[0] for c in _SIZED.split(", ")],
                 )
 
     return work
 
 
+def _reaching(bands: np.ndarray, rule: Overlap, sets: list[np.ndarray]) -> np.ndarray:
+    """Bands that reach beyond the largest set."""
+    top = max(map(len, sets))
+    return rule.bands(8 * top) if bands[-2] <= top else bands
+
+
 def _keys(n: int, rule: Overlap):
     """Per text with a key (node, keys); of equal sets in a batch only the first."""
 
@@ -299,9 +345,7 @@ def _keys(n: int, rule: Overlap):
             seen: set[int] = set()
             for a, b in text_slices(texts):
                 sets = text_sets(texts[a:b], n)
-                top = max(map(len, sets))
-                if bands[-2] <= top:
-                    bands = rule.bands(8 * top)
+                bands = _reaching(bands, rule, sets)
                 nodes, keys = [], []
                 for i, s in zip(ids[a:b], sets, strict=True):
                     if i is not None and len(s) and (c := class_of(s)) not in seen:
@@ -314,22 +358,21 @@ def _keys(n: int, rule: Overlap):
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text",
-         most_elements: int = MOST_ELEMENTS, chunk: int = CHUNK_CLASSES) -> DataFrame:
+         most_elements: int = MOST_ELEMENTS, chunk: int = CHUNK_CLASSES, most_paired: int = MOST_PAIRED) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest key reachable by links, itself included)."""
     rule = Overlap(percent)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = cut_lineage(rows.mapInArrow(_sizes(n), "doc_id long, size long, class long"))
+    sized = cut_lineage(rows.mapInArrow(_sizes(n, rule), _SIZED))
     # keys are many and are not stored; numbers of documents are shorter than names of classes
     keyed = rows.mapInArrow(_keys(n, rule), "node long, keys array<long>").select("node", F.explode("keys").alias("block")).repartition("block")
     block = Window.partitionBy("block")
     shared = keyed.withColumn("least", F.min("node").over(block)).withColumn("most", F.max("node").over(block)).where("most > least")
     shared = cut_lineage(shared.select("block", "node"))
     named = shared.join(sized.select(F.col("doc_id").alias("node"), "class").where("class IS NOT NULL"), "node").select("block", "class").distinct()
-    # every class of a block is tied to the block's smallest; blocks of one class say nothing
-    tied = named.withColumn("least", F.min("class").over(block)).withColumn("most", F.max("class").over(block)).where("most > least")
-    blocks = cut_lineage(tied.select("block", "class", "least"))
+    # blocks of one class say nothing
+    blocks = cut_lineage(named.withColumn("count", F.count("*").over(block)).where("count > 1"))
     drop_table(shared)
-    families = cut_lineage(components(blocks.select(F.col("class").alias("a"), F.col("least").alias("b"))))
+    families = cut_lineage(components(_candidates(sized, blocks, rule, most_paired)))
     found = _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
     drop_table(blocks)
     drop_table(families)
@@ -341,6 +384,38 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
+def _candidates(sized: DataFrame, blocks: DataFrame, rule: Overlap, most_paired: int) -> DataFrame:
+    """Edges (a, b) between classes that connect all linked ones."""
+    # keys that only rows of one id share are not in blocks, so different texts of one id promise no more than a key
+    ids = Window.partitionBy("doc_id")
+    told = sized.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    told = told.withColumn("alone", F.min("class").over(ids) == F.max("class").over(ids))
+    facts = ["size", "needed0", "full0", "needed1", "full1"]
+    told = told.groupBy("class").agg(*[F.first(c).alias(c) for c in facts], F.min("alone").alias("alone"))
+    band = F.col("block").bitwiseAND(F.lit(1))
+    pick = lambda name, other: F.when(~F.col("alone"), other).when(band == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    own = blocks.join(told, "class").select(
+        "block", "class", "count", "size", band.cast("int").alias("band"), pick("needed", 1).alias("needed"), pick("full", 0).alias("full")
+    )
+    # blocks are ranked alike for all classes: the more classes, the later
+    mine = Window.partitionBy("class", "band")
+    last = F.row_number().over(mine.orderBy(F.desc("count"), F.desc("block")))
+    large = F.col("count") > most_paired
+    own = cut_lineage(own.withColumn("last", last).withColumn("large", F.sum(large.cast("int")).over(mine)))
+    kept = own.where(large & (F.col("last") >= F.col("needed")))
+    ties = kept.select(F.col("class").alias("a"), F.min("class").over(Window.partitionBy("block")).alias("b"))
+    small = own.where(~large)
+    a = small.select("block", "band", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("full").alias("full_a"), F.col("large").alias("large_a"))
+    b = small.select("block", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("full").alias("full_b"), F.col("large").alias("large_b"))
+    pairs = a.join(b, "block").where("a < b").where(100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b"))
+    misses = F.floor((F.col("size_a") + F.col("size_b")) * (100 - rule.percent) / (100 + rule.percent))
+    needed = F.greatest("full_a", "full_b") - misses - F.least("large_a", "large_b")
+    pairs = pairs.select("a", "b", "band", needed.alias("needed")).groupBy("a", "b", "band").agg(F.count("*").alias("found"), F.min("needed").alias("needed"))
+    edges = cut_lineage(ties.union(pairs.where("found >= needed").select("a", "b")).where("a <> b").distinct())
+    drop_table(own)
+    return edges
+
+
 def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk) -> DataFrame:
     """Links (a, b) between classes."""
     one = sized.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
@@ -362,7 +437,9 @@ def _family_links(rows, sized, blocks, families, n, rule, most_elements, chunk)
         huge = groups.where(F.col("elements") > most_elements).select("doc_id", "class").distinct()
         # a block is joined in pairs of chunks: every chunk goes to the tasks of all pairs that it is in
         inside = blocks.select("block", "class").join(huge, "class")
-        counted = inside.groupBy("block").count()
+        # blocks of the same classes are joined once
+        counted = inside.groupBy("block").agg(F.count("*").alias("count"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("classes"))
+        counted = counted.where("count > 1").groupBy("count", "classes").agg(F.min("block").alias("block")).drop("classes")
         inside = inside.join(counted, "block").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
         inside = inside.withColumn("part", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
         others = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

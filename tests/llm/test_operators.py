@@ -171,6 +171,43 @@ def test_block_keys_never_miss_a_linked_pair():
                         assert np.intersect1d(jaccard.block_keys(a, rule, bands), jaccard.block_keys(b, rule, bands)).size, (percent, size, drop, add)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_pairs_share_the_needed_keys(percent):
+    draw = np.random.default_rng(3)
+    rule = jaccard.Overlap(percent)
+    bands = rule.bands(3000)
+    for size in [*range(1, 40), 200, 999, 2500]:
+        a = np.unique(draw.integers(0, 2**63, size).astype(np.uint64))
+        for drop in range(0, size // 4 + 1, max(1, size // 30)):
+            for add in (0, drop // 2, drop):
+                b = np.unique(np.concatenate([a[drop:], draw.integers(0, 2**63, add).astype(np.uint64)]))
+                if not len(b) or not rule.linked(len(a) - drop, len(a), len(b)) or np.array_equal(a, b):
+                    continue
+                shared = np.intersect1d(jaccard.block_keys(a, rule, bands), jaccard.block_keys(b, rule, bands))
+                need_a, need_b = jaccard.shared_keys(a, rule, bands), jaccard.shared_keys(b, rule, bands)
+                reached = []
+                for band in (0, 1):
+                    found = int(np.count_nonzero(shared & 1 == band))
+                    pair = max(need_a[2 * band + 1], need_b[2 * band + 1]) - rule.most_misses(len(a), len(b))
+                    reached.append(found >= max(1, need_a[2 * band], need_b[2 * band], pair))
+                assert any(reached), (percent, size, drop, add)
+                assert all(reached) or abs(int(np.searchsorted(bands, len(a), side="right")) - int(np.searchsorted(bands, len(b), side="right"))) == 1
+
+
+@pytest.mark.parametrize("most_paired", [2, 16])
+def test_passages_in_many_texts_make_no_family(spark, monkeypatch, most_paired):
+    passages = [prose(70, 5000 + i) for i in range(6)]
+    rows = [(i, " ".join([prose(60, 100 + i), passages[i % 6], prose(60, 900 + i), passages[i * 5 % 6]])) for i in range(48)]
+    rows += [(1000 + i, rows[i][1].replace(" ", f" new{i} ", 1)) for i in range(0, 48, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    links = jaccard._family_links
+    monkeypatch.setattr(jaccard, "_family_links", lambda rows, sized, blocks, families, *a: seen.append(families.collect()) or links(rows, sized, blocks, families, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, n=5, percent=80, most_paired=most_paired).collect()}
+    assert got == brute_components([(i, t, None) for i, t in rows], 5, 80)
+    assert max(Counter(r.component for r in seen[0]).values()) == 2  # before: two families of 19 and two of 10
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(draw.randrange(90), draw.randrange(90)) for _ in range(60)] + [(500, x) for x in range(501, 560)]
