@@ -45,6 +45,7 @@ GRAM = 32
 HOT = 5000
 SHARD_CONTEXTS = 5000
 SLICE = 1 << 19
+PACKED = 7  # symbols of nine bits in a number
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -96,43 +97,62 @@ def run_index(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.empty(n, np.int32)
     text[:] = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     text[offsets[1:] - 1] = 256 + np.arange(len(contexts))
-    # ranks by ever longer prefixes, until all suffixes are told apart
+    left_over = (np.repeat(offsets[1:], sizes + 1) - 1 - np.arange(n)).astype(np.int32)  # up to the separator
+    # the first symbols of each suffix as one number; a separator is 256 there, and what is behind it 0
+    first = np.minimum(text, 256).astype(np.int64)
+    symbols = first.astype(np.int16)
+    for k in range(1, PACKED):
+        first <<= 9
+        reaches = left_over[: max(0, n - k)] >= k
+        first[: len(reaches)] |= np.where(reaches, symbols[k:], np.int16(0))
+    del symbols
+    # ranks by ever longer prefixes, until all suffixes are told apart; a rank is the place of the first suffix of that prefix
+    order = np.argsort(first)  # equal keys get one rank, so it need not be stable
+    closed = left_over[order] < PACKED
+    among = np.flatnonzero(closed)
+    ties = order[among]
+    order[among] = ties[np.lexsort((ties, first[ties]))]  # separators ascend with their places
+    head = closed
+    head[0] = True
+    head[1:] |= np.diff(first[order]) != 0
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     levels: list[tuple[int, np.ndarray]] = []
-    width = 1
-    rank = text
-    while True:
-        key = rank * np.int64(n + 300)
-        key[: n - width] += rank[width:]
-        key[: n - width] += 1
-        order = np.argsort(key)  # equal keys get one rank, so it need not be stable
-        key = key[order]
-        rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(np.diff(key, prepend=key[0]) != 0, dtype=np.int32)
-        del key
-        width *= 2
+    width = PACKED
+    at = np.flatnonzero(~(head & np.append(head[1:], True)))  # only prefixes that several suffixes have are ranked further
+    while len(at):
         levels.append((width, rank))
-        if rank[order[-1]] == n - 1:
-            break
-    suffixes = order
-    transform = text[suffixes - 1]
+        places = order[at]
+        key = rank[places] * np.int64(n) + rank[places + width]
+        by = np.argsort(key)
+        key, places = key[by], places[by]
+        order[at] = places
+        head = np.diff(key, prepend=-1) != 0
+        rank = rank.copy()
+        rank[places] = np.maximum.accumulate(np.where(head, at, 0))
+        width *= 2
+        at = at[~(head & np.append(head[1:], True))]
+    del rank
+    transform = text[order - 1]
     ends = np.flatnonzero(np.diff(transform) != 0)  # run ends: places k with another symbol at k + 1
-    matched = np.zeros(len(ends), np.int64)
-    left, right = suffixes[ends].copy(), suffixes[ends + 1].copy()
-    for size, ranks in reversed([(1, text), *levels[:-1]]):
-        inside = (left < n) & (right < n)
-        same = np.zeros(len(ends), bool)
-        same[inside] = ranks[left[inside]] == ranks[right[inside]]
+    del text, transform
+    one, other = order[ends], order[ends + 1]
+    del order
+    matched = np.zeros(len(ends), np.int32)
+    for size, ranks in reversed(levels):
+        same = ranks[one + matched] == ranks[other + matched]
         matched[same] += size
-        left[same] += size
-        right[same] += size
-    out = np.zeros(n, np.int64)
-    for sample in (suffixes[ends], suffixes[ends + 1]):  # matches with the next and with the previous suffix
-        known = np.full(n, -1, np.int64)
-        known[sample] = np.arange(len(sample))
-        at = np.maximum.accumulate(np.where(known >= 0, np.arange(n), -1))
-        reach = np.where(at >= 0, matched[known[at]] - (np.arange(n) - at), 0)
-        out = np.maximum(out, reach)
-    return out, offsets
+    differ = first[one + matched] ^ first[other + matched]
+    for k in range(1, PACKED):
+        matched += differ < 1 << 9 * k
+    matched += differ == 0
+    np.minimum(matched, np.minimum(left_over[one], left_over[other]), out=matched)
+    # a match reaches as far from the places behind its first; what the ends of runs imply is all there is
+    reach = np.zeros(n, np.int32)
+    reach[one] = one + matched  # with the next suffix
+    reach[other] = np.maximum(reach[other], other + matched)  # with the previous suffix
+    out = np.maximum.accumulate(reach) - np.arange(n, dtype=np.int32)
+    return np.maximum(out, 0, out=out), offsets
 
 
 def _ranges(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -232,10 +252,12 @@ def _match_shard(length: int):
             np.maximum.at(many, of, np.where(contexts["known"], 2, 1))
             bodies = list(number)
             stats, offsets = run_index(bodies)
-            marks: list[list[tuple[int, int]]] = []
+            ranges = np.array(_ranges(stats >= length), np.int64).reshape(-1, 2)  # none goes over a separator
+            cut = np.searchsorted(ranges[:, 0], offsets).tolist()
+            marks: list[list[list[int]]] = []
             for i, body in enumerate(bodies):
                 n = len(body) - length + 1
-                marks.append([(0, n)] if many[i] > 1 else _ranges(stats[offsets[i] : offsets[i] + n] >= length))
+                marks.append([[0, n]] if many[i] > 1 else (ranges[cut[i] : cut[i + 1]] - offsets[i]).tolist())
             found = [
                 (rid, sig, lo + x, lo + y - 1 + length)
                 for i, known, rid, sig, lo in zip(of, contexts["known"], contexts["rid"], contexts["sig"], contexts["lo"], strict=True)

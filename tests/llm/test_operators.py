@@ -1,5 +1,6 @@
 """The dealt operators against brute force on a small table with all edge cases."""
 
+import os
 import random
 import re
 import time
@@ -271,6 +272,29 @@ def test_matching_statistics():
             assert stats[offsets[i] + k] == want
 
 
+@pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes([0, 255, 97])])
+def test_matching_statistics_of_long_and_tiny_contexts(alphabet):
+    draw = random.Random(7)
+    contexts = [bytes(draw.choice(alphabet) for _ in range(n)) for n in (0, 1, 2, 6, 7, 8, 60)]
+    for some in ([contexts[0]], [contexts[1]], contexts[1:3], contexts):
+        stats, offsets = repeats.run_index(some)
+        places = [(i, k) for i, c in enumerate(some) for k in range(len(c))]
+        for i, k in places:
+            want = max((len(os.path.commonprefix([some[i][k:], some[j][m:]])) for j, m in places if (i, k) != (j, m)), default=0)
+            assert stats[offsets[i] + k] == want
+
+
+def test_index_ranks_repeated_prefixes_only(monkeypatch):
+    draw = random.Random(6)
+    same = bytes(draw.randrange(97, 123) for _ in range(250))
+    contexts = [bytes(draw.randrange(97, 123) for _ in range(300)) for _ in range(40)] + [b"x" + same + b"y", b"z" + same]
+    ranked, argsort = [], np.argsort
+    monkeypatch.setattr(repeats.np, "argsort", lambda x, *a, **k: ranked.append(len(x)) or argsort(x, *a, **k))
+    stats, offsets = repeats.run_index(contexts)
+    assert sum(ranked) < 1.5 * len(stats)  # before: eight times all places
+    assert stats[offsets[40] + 1] == stats[offsets[41] + 1] == 250 and max(stats[: offsets[40]]) < 20
+
+
 def test_pack(docs, texts, empty):
     from tokenizers import Tokenizer
 
