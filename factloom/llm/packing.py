@@ -49,7 +49,7 @@ OVERHEAD = 8
 FORCED_GAP = 256
 FORCED_STEP = 128
 SMALLEST_POWER = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 RUN_WORDS = 500
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -92,7 +92,7 @@ class Encoder:
 
     def _run(self, words: list[str]) -> list[bytes]:
         """Ids of words of plain letters, which are encoded in one go: each ends with its only id that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.word_end[ids]) + 1) * 4
         if len(ends) != len(words):
             return self._ids(words)
@@ -100,25 +100,29 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _learn(self, words: set[str]) -> None:
-        plain = {w: w[:-1] for w in words if w[-1] in self.marks and w[:-1].isalpha()}
-        bare = {w: b.lower() if (b := plain.get(w, w)).isascii() and b.isalpha() else b for w in words}
+        marks = self.marks
+        whole = list(words)
+        bare = [w[:-1] if w[-1] in marks and w[:-1].isalpha() else w for w in whole]
+        same = [b.lower() if b.isascii() and b.isalpha() else b for b in bare]
         if len(self.bare) > CACHE_WORDS:
             self.bare = {}
-        new = set(bare.values()) - self.bare.keys()
-        letters = [b for b in new if b.isalpha() and max(b) <= "\u00ff"]
+        new = set(same).difference(self.bare)
+        letters = [b for b in new if b.isalpha() and (b.isascii() or max(b) <= "\u00ff")]
         for at in range(0, len(letters), RUN_WORDS):
             run = letters[at : at + RUN_WORDS]
             self.bare.update(zip(run, self._run(run), strict=True))
         others = list(new.difference(letters))
         self.bare.update(zip(others, self._ids(others), strict=True))
-        for w, b in bare.items():
-            self.known[w] = self.bare[b] + self.marks[w[-1]] if w in plain else self.bare[b]
+        ids = list(map(self.bare.__getitem__, same))
+        self.known.update(zip(whole, ids, strict=True))
+        self.known.update((w, i + marks[w[-1]]) for w, b, i in zip(whole, bare, ids, strict=True) if b is not w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [self.space.sub(" ", t or "").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        if missing := set().union(*words) - self.known.keys():
+        # the difference to the keys' view would go through all words that are kept
+        if missing := set().union(*words).difference(self.known):
             self._learn(missing)
         known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in words]

@@ -325,6 +325,17 @@ def test_pack(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_known_words_are_not_learned_again():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.known.update((f"w{i}", b"") for i in range(500_000))  # before: more than 400,000 were forgotten at the next call
+    learned, learn = [], encoder._learn
+    encoder._learn = lambda words: learned.append(sorted(words)) or learn(words)
+    first = encoder.encode(["River, river. RIVER rivers, 3, w7"])[0]
+    assert encoder.encode(["River, river. RIVER rivers, 3, w7"])[0] == first
+    assert learned == [["3,", "RIVER", "River,", "river.", "rivers,"]]
+    assert np.frombuffer(first, "<u4").tolist() == encoder.tokenizer.encode("River, river. RIVER rivers, 3,", add_special_tokens=False).ids
+
+
 def test_words_have_the_ids_of_the_text():
     encoder = packing.Encoder(packing.default_tokenizer())
     odd = ["<|endoftext|> hi<|startoftext|>x", "don't ΟΔΥΣΣΕΥΣ ΟΔΟΣ", "nb sp \x0b\x0c \x1c", "a ́b ﬁ İ ŉ", "", "a\r\nb\x85c", "x" * 5000, "It's, Well. ok.. 3.14, É, ß."]
