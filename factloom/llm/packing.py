@@ -49,7 +49,7 @@ OVERHEAD = 8
 FORCED_GAP = 256
 FORCED_STEP = 128
 SMALLEST_POWER = 256
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 RUN_WORDS = 500
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -69,7 +69,7 @@ class Encoder:
     across white space, so a text's ids are those of its words in a row.  Words
     repeat: their ids are kept, up to ``CACHE_WORDS`` of them.  Letters and a
     comma or full stop behind them are split by the tokenizer too, so such a word
-    is looked up without it.
+    is looked up without it, and kept among the words too.
     """
 
     def __init__(self, path: str):
@@ -77,7 +77,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.bare: dict[str, bytes] = {}
         self.space = re.compile(r"[\t\n\r]")
         ids = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(max(ids.values()) + 1, bool)
@@ -104,16 +103,14 @@ class Encoder:
         whole = list(words)
         bare = [w[:-1] if w[-1] in marks and w[:-1].isalpha() else w for w in whole]
         same = [b.lower() if b.isascii() and b.isalpha() else b for b in bare]
-        if len(self.bare) > CACHE_WORDS:
-            self.bare = {}
-        new = set(same).difference(self.bare)
+        new = set(same).difference(self.known)
         letters = [b for b in new if b.isalpha() and (b.isascii() or max(b) <= "\u00ff")]
         for at in range(0, len(letters), RUN_WORDS):
             run = letters[at : at + RUN_WORDS]
-            self.bare.update(zip(run, self._run(run), strict=True))
+            self.known.update(zip(run, self._run(run), strict=True))
         others = list(new.difference(letters))
-        self.bare.update(zip(others, self._ids(others), strict=True))
-        ids = list(map(self.bare.__getitem__, same))
+        self.known.update(zip(others, self._ids(others), strict=True))
+        ids = list(map(self.known.__getitem__, same))
         self.known.update(zip(whole, ids, strict=True))
         self.known.update((w, i + marks[w[-1]]) for w, b, i in zip(whole, bare, ids, strict=True) if b is not w)
 
