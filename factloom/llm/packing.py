@@ -25,7 +25,6 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from array import array
 from collections import deque
@@ -34,15 +33,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import text_slices
+from .words import slices
 
 WINDOW = 2048
 END_ID = 1
 SLICE = 4 << 20
+BLOCK = 1 << 20
 SENTENCE_PENALTY = 2
 FORCED_PENALTY = 24
 OVERHEAD = 8
@@ -62,14 +63,90 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a byte of a word is: 0 leaves the word whole, 1 a letter (0xC3 begins those from U+00C0 to U+00FF), 2 a digit, 3 a mark.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[ord("'")]] = 0
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 13, 32]] = True
+
+
+def _buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0, and bytes of strings without nulls."""
+    _, offsets, data = strings.buffers()
+    if not len(strings) or data is None:
+        return np.zeros(len(strings) + 1, np.int32), np.zeros(0, np.uint8)
+    at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+
+
+def _strings(offsets: np.ndarray, data: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _listed(values: pa.Array) -> list:
+    # several times faster than to_pylist, which makes an Arrow scalar of each
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words in a row, and the n + 1 offsets of the texts in them."""
+    offsets, raw = _buffers(texts)
+    gap = _GAP[raw]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    last = ~gap
+    last[:-1] &= gap[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(raw))]
+    first[edge] = ~gap[edge]
+    last[edge - 1] = ~gap[edge - 1]
+    starts = np.flatnonzero(first)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)])
+    return _strings(ends, raw[~gap], pa.string()), np.searchsorted(starts, offsets)
+
+
+def _parts(words: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts that the tokenizer splits words into, in lower case; the places in them of the parts
+    of all words, in a row; and the n + 1 offsets of the words in these.
+
+    Parts are runs of letters up to U+00FF, single digits and runs of other ASCII marks.  Any other word, or one
+    with an apostrophe or the beginning of a special token, is a part as it is.
+    """
+    offsets, raw = _buffers(words)
+    kind, low = _KIND[raw], _LOWER[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    follow = raw[lead + 1]
+    low[lead[(follow <= 0x9E) & (follow != 0x97)] + 1] += 32
+    start = np.ones(len(raw), bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start |= kind == 2
+    special = (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    odd = np.concatenate([np.flatnonzero(kind == 0), lead[(follow == 0x97) | (follow == 0xB7)], np.flatnonzero(special)])
+    if len(odd):
+        whole = np.zeros(len(words), bool)
+        whole[np.searchsorted(offsets, odd, side="right") - 1] = True
+        whole = np.repeat(whole, np.diff(offsets))
+        start &= ~whole
+        low = np.where(whole, raw, low)
+    start[offsets[:-1]] = True
+    bounds = np.append(np.flatnonzero(start), len(raw))
+    found = _strings(bounds, low, pa.string()).dictionary_encode()
+    return _listed(found.dictionary), found.indices.to_numpy(), np.searchsorted(bounds, offsets)
+
+
 class Encoder:
     """Little-endian id bytes of texts.
 
     The tokenizer's steps (normal form, lower case, splitting, merges) never reach
-    across white space, so a text's ids are those of its words in a row.  Words
-    repeat: their ids are kept, up to ``CACHE_WORDS`` of them.  Letters and a
-    comma or full stop behind them are split by the tokenizer too, so such a word
-    is looked up without it, and kept among the words too.
+    across white space, so a text's ids are those of its words in a row.  The
+    distinct words of a block are looked up, and those not kept are split into the
+    parts that the tokenizer splits them into.  Words and parts repeat: the ids of
+    parts are kept, up to ``CACHE_WORDS`` of them; those of a word with capitals or
+    marks are put together from them in each block, so a word is kept in one form.
     """
 
     def __init__(self, path: str):
@@ -77,14 +154,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.space = re.compile(r"[\t\n\r]")
         ids = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(max(ids.values()) + 1, bool)
         self.word_end = np.zeros(len(self.sentence_end), bool)
         for token, i in ids.items():
             self.word_end[i] = token.endswith("</w>")
             self.sentence_end[i] = self.word_end[i] and token.removesuffix("</w>")[-1:] in (".", "!", "?")
-        self.marks = {m: self._ids([m])[0] for m in ".,"}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -98,31 +173,51 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
-        marks = self.marks
-        whole = list(words)
-        bare = [w[:-1] if w[-1] in marks and w[:-1].isalpha() else w for w in whole]
-        same = [b.lower() if b.isascii() and b.isalpha() else b for b in bare]
-        new = set(same).difference(self.known)
-        letters = [b for b in new if b.isalpha() and (b.isascii() or max(b) <= "\u00ff")]
+    def _learn(self, words: list[str]) -> None:
+        parts, _, _ = _parts(pa.array(words, pa.string()))
+        new = [p for p in parts if p not in self.known]
+        letters = [p for p in new if p.isalpha() and (p.isascii() or max(p) <= "\u00ff")]
         for at in range(0, len(letters), RUN_WORDS):
             run = letters[at : at + RUN_WORDS]
             self.known.update(zip(run, self._run(run), strict=True))
-        others = list(new.difference(letters))
+        others = list(set(new).difference(letters))
         self.known.update(zip(others, self._ids(others), strict=True))
-        ids = list(map(self.known.__getitem__, same))
-        self.known.update(zip(whole, ids, strict=True))
-        self.known.update((w, i + marks[w[-1]]) for w, b, i in zip(whole, bare, ids, strict=True) if b is not w)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [self.space.sub(" ", t or "").split(" ") for t in texts]
+    def _composed(self, words: pa.Array) -> pa.Array:
+        """Ids of words that are put together from parts, learned where they are missing."""
+        parts, places, offsets = _parts(words)
+        ids = list(map(self.known.get, parts))
+        if None in ids:
+            missing = np.zeros(len(words), bool)
+            missing[np.searchsorted(offsets, np.flatnonzero(np.array([i is None for i in ids])[places]), side="right") - 1] = True
+            self._learn(_listed(words.filter(pa.array(missing))))
+            ids = list(map(self.known.__getitem__, parts))
+        ends, data = _buffers(pa.array(ids, pa.binary()).take(pa.array(places)))
+        return _strings(ends[offsets], data, pa.binary())
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text (null: none), worked out for about ``BLOCK`` bytes at a time."""
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy().tolist()
+        return [ids for a, b in slices(sizes, BLOCK) for ids in self._block(texts.slice(a, b - a))]
+
+    def _block(self, texts: pa.Array) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        # the difference to the keys' view would go through all words that are kept
-        if missing := set().union(*words).difference(self.known):
-            self._learn(missing)
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        words, offsets = _words(texts)
+        found = words.dictionary_encode()
+        words, places = found.dictionary, found.indices.to_numpy()
+        ids = pa.array(map(self.known.get, _listed(words)), pa.binary())
+        if ids.null_count:
+            rest = np.flatnonzero(ids.is_null())
+            order = np.arange(len(words))
+            order[rest] = len(words) + np.arange(len(rest))
+            ids = pa.concat_arrays([ids, self._composed(words.take(pa.array(rest)))])
+            places = order[places]
+        ends, data = _buffers(ids.take(pa.array(places)))
+        raw = data.tobytes()
+        ends = ends[offsets].tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -261,9 +356,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, SLICE):
-                for doc, tokens in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy().tolist()
+            for a, b in slices(sizes, SLICE):
+                for doc, tokens in zip(ids[a:b], encoder.encode(texts.slice(a, b - a)), strict=True):
                     held.append(Stretch(doc, 0, len(tokens) // 4 + 1, tokens + end))
                 yield flush(False)
         yield flush(True)

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import sys
 import time
 import tracemalloc
 import zlib
@@ -343,6 +344,20 @@ def test_words_have_the_ids_of_the_text():
         assert np.frombuffer(mine, "<u4").tolist() == ids.ids
 
 
+def test_words_are_kept_in_one_form_and_encoded_in_blocks():
+    draw = random.Random(12)
+    forms = [str.lower, str.title, str.upper, lambda w: w + ",", lambda w: w.title() + ".", lambda w: w + "!!", lambda w: w.upper() + "%%%"]
+    stems = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)]
+    texts = [" ".join(f(w) for w in draw.choices(stems, k=30_000) for f in forms) for _ in range(2)]
+    encoder = packing.Encoder(packing.default_tokenizer())
+    tracemalloc.start()
+    found = encoder.encode([t[i : i + 100_000] for t in texts for i in range(0, len(t), 100_000)])
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(sys.getsizeof, found))
+    tracemalloc.stop()
+    assert len(encoder.known) < 4000  # before: every form of a word, 21,000
+    assert peak < 5 * sum(map(len, texts))  # before: a string for each word of all texts
+
+
 def test_cuts_are_the_best():
     draw = np.random.default_rng(3)
     places = np.unique(np.concatenate([[0], np.cumsum(draw.integers(1, 90, 60))]))
