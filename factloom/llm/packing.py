@@ -247,9 +247,11 @@ def cut_places(stretches: list[Stretch], sentence_end: np.ndarray) -> tuple[np.n
     places = np.flatnonzero(free | sentence)
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > FORCED_GAP)
-    extra = [np.arange(places[w] + FORCED_STEP, places[w + 1], FORCED_STEP) for w in wide]
-    forced = np.concatenate(extra) if extra else np.zeros(0, np.int64)
-    places = np.union1d(places, forced).astype(np.int64)
+    if len(wide):
+        cut = free | sentence
+        for w in wide:
+            cut[places[w] + FORCED_STEP : places[w + 1] : FORCED_STEP] = True
+        places = np.flatnonzero(cut)
     penalty = np.where(free[places], 0, np.where(sentence[places], SENTENCE_PENALTY, FORCED_PENALTY))
     return places, penalty
 

@@ -358,6 +358,28 @@ def test_words_are_kept_in_one_form_and_encoded_in_blocks():
     assert peak < 5 * sum(map(len, texts))  # before: a string for each word of all texts
 
 
+def test_capitals_and_marks_are_put_together_from_known_parts():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.encode(["river étage . , !! %%% .%%%"])
+    asked, ask = [], encoder._ids
+    encoder._ids = lambda words: asked.extend(words) or ask(words)
+    text = "RIVER!! River.%%% ÉTAGE, Étage%%% river!!étage. It's"
+    ids = encoder.encode([text])[0]
+    assert asked == ["It's"]  # before: every word but the plain ones, one at a time
+    assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_places_without_sentence_ends_are_cut_regularly():
+    ends = np.zeros(10, bool)
+    ends[7] = True
+    ids = np.ones(1500, "<u4")
+    ids[[99, 355, 612]] = 7  # gaps of 256, which is not wide, and 257, which is
+    stretches = [packing.Stretch(1, 0, 1000, ids[:1000].tobytes()), packing.Stretch(2, 0, 500, ids[1000:].tobytes())]
+    places, penalty = packing.cut_places(stretches, ends)
+    assert places.tolist() == [0, 100, 356, 484, 612, 613, 741, 869, 997, 1000, 1128, 1256, 1384, 1500]
+    assert penalty.tolist() == [0, 2, 2, 24, 24, 2, 24, 24, 24, 0, 24, 24, 24, 0]
+
+
 def test_cuts_are_the_best():
     draw = np.random.default_rng(3)
     places = np.unique(np.concatenate([[0], np.cumsum(draw.integers(1, 90, 60))]))
