@@ -178,11 +178,12 @@ def _soft_parts(claim: Column) -> Column:
     return F.when(F.length(E.normal(claim)) <= 38, F.array(claim)).otherwise(cut)
 
 
-def claims(folded: Column, limit: int = 12, lex: Lexicons = DEFAULT) -> Column:
-    """Distinct informative claims of a folded text, in order."""
+def claims(folded: Column, limit: int | None = None, lex: Lexicons = DEFAULT) -> Column:
+    """Distinct informative claims of a folded text, in order; all of them, or the first ``limit``."""
     clauses = F.filter(F.transform(F.split(folded, CLAUSE_CUT), clean_claim), lambda c: informative(c, lex))
     pieces = F.flatten(F.transform(clauses, lambda c: F.transform(_soft_parts(c), clean_claim)))
-    return F.slice(F.array_distinct(F.filter(pieces, lambda c: informative(c, lex))), 1, limit)
+    found = F.array_distinct(F.filter(pieces, lambda c: informative(c, lex)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def claim_tokens(claim: Column, lex: Lexicons = DEFAULT) -> Column:
@@ -214,62 +215,83 @@ def claim_weight(claim: Column, lex: Lexicons = DEFAULT) -> Column:
     return T.let(measured, weigh)
 
 
-def lcs_lengths(ref: list, preds: list[list]) -> list[float]:
-    """Longest common subsequence of one token list with several others.
+def token_places(tokens: list) -> dict:
+    """The places of each token, a bit per place."""
+    where: dict = {}
+    for i, token in enumerate(tokens):
+        where[token] = where.get(token, 0) | (1 << i)
+    return where
+
+
+def lcs_lengths(ref: list, preds: list[list], places: list[dict] | None = None) -> list[float]:
+    """Longest common subsequence of one token list with several others, whose ``places`` may be given.
 
     One integer holds a whole row of the usual table, a bit per position, so a
     token costs a few integer operations instead of a loop over the other list.
     """
     out = []
-    for pred in preds:
-        where: dict = {}
-        for i, token in enumerate(pred):
-            where[token] = where.get(token, 0) | (1 << i)
+    for pred, where in zip(preds, places or map(token_places, preds)):
         full = (1 << len(pred)) - 1
         row = full
         for token in ref:
-            hit = row & where.get(token, 0)
-            row = ((row + hit) | (row - hit)) & full
+            if at := where.get(token):
+                hit = row & at
+                row = ((row + hit) | (row - hit)) & full
         out.append(float(len(pred) - row.bit_count()))
     return out
 
 
+def best_scores(refs: list[list], preds: list[list], beta: float) -> list[float]:
+    """Best score of each reference claim among all prediction claims, given the distinct tokens of each."""
+    places = [token_places(pred) for pred in preds]
+    b = beta * beta
+
+    def pair_score(ref: list, pred: list, where: dict, lcs: float) -> float:
+        if not ref or not pred:
+            return float(not ref and not pred)
+        precision, recall = lcs / len(pred), lcs / len(ref)
+        f = 0.0 if precision + recall == 0 else (1 + b) * precision * recall / (b * precision + recall)
+        return max(f, len(where.keys() & ref) / len(ref))
+
+    out = []
+    for ref in refs:
+        rated = zip(preds, places, lcs_lengths(ref, preds, places))
+        out.append(max((pair_score(ref, pred, where, lcs) for pred, where, lcs in rated), default=0.0))
+    return out
+
+
 @F.arrow_udf(ArrayType(DoubleType()))
-def _lcs_rows(ref: pa.Array, pred: pa.Array) -> pa.Array:
-    """LCS of one reference claim with every prediction claim of its sample.  Token lists leave the Arrow batch one row at a time."""
+def _best_scores(ref: pa.Array, pred: pa.Array, beta: pa.Array) -> pa.Array:
+    """Scores of all reference claims of a sample.  Token lists leave the Arrow batch one row at a time."""
     offsets, flat = [0], []
-    for r, ps in zip(ref, pred):
-        flat.extend(lcs_lengths(r.as_py(), ps.as_py()))
+    for r, p, b in zip(ref, pred, beta):
+        flat.extend(best_scores(r.as_py(), p.as_py(), b.as_py()))
         offsets.append(len(flat))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.float64()))
 
 
-def claim_rouge(pairs: DataFrame, beta: float = 1.5, limit: int = 12, lex: Lexicons = DEFAULT, normalise: bool = True) -> DataFrame:
-    """One row per reference claim: ``claim_no``, ``claim``, ``weight``, ``score``."""
+def claim_rouge(pairs: DataFrame, beta: float = 1.5, limit: int | None = 12, lex: Lexicons = DEFAULT, normalise: bool = True) -> DataFrame:
+    """One row per reference claim: ``claim_no``, ``claim``, ``weight``, ``score``.
+
+    ``limit`` claims of the reference meet twice as many of the prediction; with None all meet all.
+    """
     staged = pairs.select(
         "sample_id", E.fold(F.col("reference"), normalise).alias("_r"), E.fold(F.col("prediction"), normalise).alias("_p")
-    ).withColumn("_pc", claims(F.col("_p"), limit * 2, lex))
-    staged = staged.withColumn(
-        "_pt",
+    ).withColumn("_pc", claims(F.col("_p"), limit and limit * 2, lex))
+    staged = staged.select(
+        "sample_id",
         F.transform(
             F.when(F.size("_pc") > 0, F.col("_pc")).otherwise(F.array("_p")), lambda c: claim_tokens(c, lex)
-        ),
-    )
-    rows = staged.select("sample_id", "_pt", F.posexplode(claims(F.col("_r"), limit, lex)).alias("claim_no", "claim"))
-    rows = rows.withColumn("_rt", claim_tokens(F.col("claim"), lex)).withColumn("_lcs", _lcs_rows("_rt", "_pt"))
-
-    def pair_score(pred: Column, lcs: Column) -> Column:
-        n_ref, n_pred = F.size("_rt"), F.size(pred)
-        shared = F.size(F.array_intersect(F.col("_rt"), pred)) / F.greatest(n_ref, F.lit(1))
-        f = f_beta(lcs / F.greatest(n_pred, F.lit(1)), lcs / F.greatest(n_ref, F.lit(1)), beta)
-        return (
-            F.when((n_ref == 0) & (n_pred == 0), 1.0).when((n_ref == 0) | (n_pred == 0), 0.0).otherwise(F.greatest(f, shared))
-        )
-
-    best = F.array_max(F.zip_with("_pt", "_lcs", pair_score))
-    return rows.select(
-        "sample_id", "claim_no", "claim", claim_weight(F.col("claim"), lex).alias("weight"), F.coalesce(best, F.lit(0.0)).alias("score")
-    )
+        ).alias("_pt"),
+        F.transform(
+            claims(F.col("_r"), limit, lex), lambda c: F.struct(c.alias("claim"), claim_tokens(c, lex).alias("tokens"))
+        ).alias("_rc"),
+    )
+    # a sample goes to Python in one row: a row per claim would carry the whole prediction each time
+    scored = staged.select("sample_id", "_rc", _best_scores("_rc.tokens", "_pt", F.lit(float(beta))).alias("_best"))
+    found = F.zip_with("_rc", "_best", lambda c, best: F.struct(c["claim"].alias("claim"), best.alias("score")))
+    rows = scored.select("sample_id", F.posexplode(found).alias("claim_no", "_c")).select("sample_id", "claim_no", "_c.*")
+    return rows.select("sample_id", "claim_no", "claim", claim_weight(F.col("claim"), lex).alias("weight"), "score")
 
 
 def claim_score(claim_rows: DataFrame, samples: DataFrame) -> DataFrame:
